@@ -50,14 +50,16 @@ def _encoders(train: DataFrame, categorical: list[str], how: str, skip: Sequence
     """The fitted mapping and a function that turns rows into purely numeric features."""
     mapping = encoding.fit_codes(train, categorical)
     if how in ("ordinal", "label"):
-        return mapping, lambda df: encoding.encode_codes(df, mapping, categorical, handle_unseen)
+        # the training part was seen by construction, so only new rows are checked
+        return mapping, lambda df, known=False: encoding.encode_codes(
+            df, mapping, categorical, "keep" if known else handle_unseen)
     if how == "onehot":
-        return mapping, lambda df: encoding.encode_one_hot(df, mapping, categorical)
+        return mapping, lambda df, known=False: encoding.encode_one_hot(df, mapping, categorical)
     if how == "target":
         if label is None:
             raise ValueError("target encoding needs a target")
         means = encoding.fit_target_encoder(train, categorical, label, classes)
-        return mapping, lambda df: encoding.encode_target(df, means, categorical)
+        return mapping, lambda df, known=False: encoding.encode_target(df, means, categorical)
     raise ValueError("encoder is ordinal, label, onehot or target")
 
 
@@ -68,7 +70,7 @@ def encode_label(df: DataFrame, target: str) -> tuple[DataFrame, encoding.Mappin
     if target not in categorical_columns(df):
         return df.withColumnRenamed(target, LABEL).withColumn(LABEL, F.col(LABEL).cast("double")), None
     labels = encoding.fit_codes(df, [target])
-    return encoding.encode_codes(df, labels, [target]).withColumnRenamed(target, LABEL), labels
+    return encoding.encode_codes(df, labels, [target], "keep").withColumnRenamed(target, LABEL), labels
 
 
 def prepare_supervised(
@@ -90,6 +92,8 @@ def prepare_supervised(
     if check_quality:
         quality.require_quality(df)
     labelled, labels = encode_label(_numeric_ready(df, [*keys, target]), target)
+    # several passes read these rows: split, codes, scaling, fit
+    labelled = labelled.persist()
     skip = [*keys, LABEL]
     categorical = categorical_columns(labelled, exclude=skip)
     if test_size is None:
@@ -101,19 +105,19 @@ def prepare_supervised(
         classes = sorted(r[0] for r in train.select(LABEL).distinct().limit(quality.CARDINALITY_LIMIT + 1).collect())
     mapping, encode = _encoders(train, categorical, encoder, skip, LABEL, classes, handle_unseen)
     warned = [f"column {c} has {n} distinct values" for c, n in mapping.cardinality.items() if n > quality.CARDINALITY_LIMIT]
-    encoded = encode(train)
+    encoded = encode(train, known=True)
     features = [c for c in encoded.columns if c not in skip]
     encoded = encoded.withColumns({c: F.col(c).cast("double") for c in features})
     fitted = scaling.fit_scaler(encoded, features, scaler)
 
-    def ready(rows: DataFrame) -> DataFrame:
-        out = fitted.transform(encode(rows).withColumns({c: F.col(c).cast("double") for c in features}))
+    def ready(rows: DataFrame, known: bool = False) -> DataFrame:
+        out = fitted.transform(encode(rows, known).withColumns({c: F.col(c).cast("double") for c in features}))
         return out.select(*[k for k in skip if k in out.columns], *features)
 
     def new_rows(rows: DataFrame) -> DataFrame:
         return ready(_numeric_ready(rows, skip))
 
-    return Prepared(ready(train), ready(test) if test is not None else None, features, keys, mapping, labels, fitted,
+    return Prepared(ready(train, True), ready(test) if test is not None else None, features, keys, mapping, labels, fitted,
                     warned, new_rows)
 
 
@@ -128,16 +132,17 @@ def prepare_unsupervised(
     ready_df = _numeric_ready(df, keys)
     categorical = categorical_columns(ready_df, exclude=keys)
     mapping, encode = _encoders(ready_df, categorical, encoder, keys, None, (), "error")
-    encoded = encode(ready_df)
+    ready_df = ready_df.persist()
+    encoded = encode(ready_df, known=True)
     features = [c for c in encoded.columns if c not in keys]
     encoded = encoded.withColumns({c: F.col(c).cast("double") for c in features})
     fitted = scaling.fit_scaler(encoded, features, scaler)
 
-    def ready(rows: DataFrame) -> DataFrame:
-        out = fitted.transform(encode(_numeric_ready(rows, keys)).withColumns({c: F.col(c).cast("double") for c in features}))
+    def ready(rows: DataFrame, known: bool = False) -> DataFrame:
+        out = fitted.transform(encode(_numeric_ready(rows, keys), known).withColumns({c: F.col(c).cast("double") for c in features}))
         return out.select(*[k for k in keys if k in out.columns], *features)
 
-    return Prepared(ready(df), None, features, keys, mapping, None, fitted, [], ready)
+    return Prepared(ready(ready_df, True), None, features, keys, mapping, None, fitted, [], ready)
 
 
 def column_stages(encoded: Sequence[str], numeric: Sequence[str], scale: bool = True) -> list:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,22 +18,23 @@ def row_hash(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def hash_cutoffs(df: DataFrame, hash_col: str, ranks: Sequence[int]) -> dict[int, str]:
-    """The hash standing at each 0-based rank, found by counting hash prefixes.
+def hash_cutoffs(df: DataFrame, hash_col: str, ranks: Callable[[int], Sequence[int]]) -> tuple[int, dict[int, str]]:
+    """The number of rows, and the hash standing at each 0-based rank ``ranks(n)`` asks for.
 
-    Every pass is one map-side-combined count over the hash column; rows are never sorted
+    Found by counting hash prefixes. Every pass is one map-side-combined count over the hash column; rows are never sorted
     or moved. Hashes spread evenly, so a bucket shrinks 4096-fold per pass.
     """
     hashes = df.select(hash_col)
     found: dict[int, str] = {}
-    open_targets = {r: ("", r) for r in set(ranks)}
+    sizes = _prefix_counts(hashes, hash_col, _DIGITS)
+    total = sum(sizes.values())
+    open_targets = {r: ("", r) for r in set(ranks(total))}
     width = 0
     while open_targets:
         width += _DIGITS
         prefixes = sorted({p for p, _ in open_targets.values()})
-        scoped = hashes if width == _DIGITS else hashes.filter(F.substring(hash_col, 1, width - _DIGITS).isin(prefixes))
-        counted = scoped.groupBy(F.substring(hash_col, 1, width).alias("p")).count().collect()
-        sizes = {r["p"]: r["count"] for r in counted}
+        if width > _DIGITS:
+            sizes = _prefix_counts(hashes.filter(F.substring(hash_col, 1, width - _DIGITS).isin(prefixes)), hash_col, width)
         small: dict[str, list[tuple[int, int]]] = {}
         later: dict[int, tuple[str, int]] = {}
         for rank, (prefix, rest) in open_targets.items():
@@ -47,16 +48,22 @@ def hash_cutoffs(df: DataFrame, hash_col: str, ranks: Sequence[int]) -> dict[int
                 small.setdefault(bucket, []).append((rank, rest))
             else:
                 later[rank] = (bucket, rest)
-        # at most _FETCH hashes per asked rank come back, whatever the table size
-        for bucket, wanted in small.items():
-            values = sorted(r[0] for r in hashes.filter(F.col(hash_col).startswith(bucket)).collect())
-            for rank, rest in wanted:
-                found[rank] = values[rest]
+        if small:
+            # at most _FETCH hashes per asked rank come back, whatever the table size
+            near = hashes.filter(F.substring(hash_col, 1, width).isin(sorted(small))).collect()
+            for bucket, wanted in small.items():
+                values = sorted(r[0] for r in near if r[0].startswith(bucket))
+                for rank, rest in wanted:
+                    found[rank] = values[rest]
         open_targets = later
-    return found
+    return total, found
 
 
-def test_rows(total: int, test_size: float) -> int:
+def _prefix_counts(hashes: DataFrame, hash_col: str, width: int) -> dict[str, int]:
+    return {r["p"]: r["count"] for r in hashes.groupBy(F.substring(hash_col, 1, width).alias("p")).count().collect()}
+
+
+def held_out_rows(total: int, test_size: float) -> int:
     return math.ceil(test_size * total)
 
 
@@ -67,10 +74,10 @@ def train_test_split(
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
     hashed = df.withColumn(HASH, row_hash(seed, *keys))
-    held_out = test_rows(df.count(), test_size)
-    if held_out == 0:
-        return hashed.drop(HASH), hashed.filter(F.lit(False)).drop(HASH)
-    cut = hash_cutoffs(hashed, HASH, [held_out - 1])[held_out - 1]
+    total, cuts = hash_cutoffs(hashed, HASH, lambda n: [held_out_rows(n, test_size) - 1] if n else [])
+    if not total:
+        return hashed.drop(HASH), hashed.drop(HASH)
+    cut = cuts[held_out_rows(total, test_size) - 1]
     return (hashed.filter(F.col(HASH) > cut).drop(HASH), hashed.filter(F.col(HASH) <= cut).drop(HASH))
 
 
@@ -90,8 +97,8 @@ def fold_starts(total: int, folds: int) -> list[int]:
 
 def assign_folds(df: DataFrame, hash_col: str, folds: int = 5, name: str = "fold") -> DataFrame:
     """Contiguous folds over the hash order, cut at exact ranks."""
-    starts = fold_starts(df.count(), folds)
-    cuts = hash_cutoffs(df, hash_col, starts[1:])
+    total, cuts = hash_cutoffs(df, hash_col, lambda n: fold_starts(n, folds)[1:])
+    starts = fold_starts(total, folds)
     fold = F.lit(0)
     for number, start in enumerate(starts[1:], start=1):
         fold = F.when(F.col(hash_col) >= cuts[start], F.lit(number)).otherwise(fold)
