@@ -57,7 +57,8 @@ def near_blocks(
     nearest ones; with neither, every block pair is visited. Both inputs carry
     ``id_col`` and ``vec``. The kernel must reduce: its rows are later merged per id.
     """
-    spark = right.sparkSession
+    # fresh column identities, so that one table may stand on both sides
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     right_rows = right.count()
     pivots = _pick_pivots(right, id_col, right_rows, space) if space.prunable and (radius is not None or nearest) else None
     cells = 1 if pivots is None else len(pivots)
