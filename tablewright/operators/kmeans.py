@@ -25,12 +25,18 @@ class CenterModel:
 
     def transform(self, df: DataFrame, prediction: str = "cluster") -> DataFrame:
         """The nearest centre, the first one on a tie."""
-        distances = F.array(*[self.squared(c) for c in self.centers])
+        if len(self.centers) * len(self.features) > 128:  # one lambda instead of very much generated code
+            rows = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in self.centers])
+            x = F.array(*[F.col(f).cast("double") for f in self.features])
+            distances = F.transform(rows, lambda c: F.aggregate(
+                F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v))
+        else:
+            distances = F.array(*[self.squared(c) for c in self.centers])
         return df.withColumn(prediction, (F.array_position(distances, F.array_min(distances)) - 1).cast("int"))
 
     def cost(self, df: DataFrame) -> float:
         distances = [self.squared(c) for c in self.centers]
-        nearest = F.least(*distances) if len(distances) > 1 else distances[0]
+        nearest = F.array_min(F.array(*distances))
         return df.agg(F.sum(nearest)).first()[0] or 0.0
 
 

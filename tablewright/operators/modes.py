@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.distances import Space
+from tablewright.functions.distances import Space, cross_distances
 from tablewright.operators.density import _spread_to_copies, distinct_points
 from tablewright.operators.graph import number_clusters
 from tablewright.operators.neighbors import nearest_neighbors
@@ -18,6 +18,7 @@ from tablewright.operators.pairwise import as_points, near_blocks
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.session import cut_lineage
 
+FEW_SEEDS = 2000  # seeds that may travel with the task instead of being joined
 _BINS = 64
 _PASSES = 5  # 64**5 steps: the distance is found to nine digits of the range
 
@@ -86,8 +87,14 @@ def fit_mean_shift(df: DataFrame, features: Sequence[str], id_col: str, bandwidt
 
     schema = "id bigint, n bigint, " + ", ".join(f"s{j} double" for j in range(d))
     moving, settled = cut_lineage(seeds), None
+    points = points.persist()
     for turn in range(max_iter):
-        sums = near_blocks(moving, points, "id", climb, schema, space, radius=width).groupBy("id").agg(
+        climbers = moving.limit(FEW_SEEDS + 1).collect()
+        if len(climbers) <= FEW_SEEDS:
+            partial = _climb_few(climbers, points, width, schema)
+        else:
+            partial = near_blocks(moving, points, "id", climb, schema, space, radius=width)
+        sums = partial.groupBy("id").agg(
             F.sum("n").alias("n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
         target = F.array(*[F.col(f"s{j}") / F.col("n") for j in range(d)])
         stepped = moving.join(sums, "id").filter("n > 0").withColumn("_to", target)
@@ -113,6 +120,23 @@ def fit_mean_shift(df: DataFrame, features: Sequence[str], id_col: str, bandwidt
     return _spread_to_copies(df, features, id_col, points.join(best.select("id", cluster.alias("cluster")), "id"), "cluster")
 
 
+def _climb_few(climbers: list, points: DataFrame, width: float, schema: str) -> DataFrame:
+    """A bounded number of seeds travels to the points instead of the points being shuffled."""
+    ids = np.array([r["id"] for r in climbers])
+    at = np.array([r["vec"] for r in climbers], dtype=float)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            vectors = np.stack(pdf["vec"].to_numpy())
+            near = (cross_distances(at, vectors, "euclidean") <= width) * pdf["weight"].to_numpy()[None, :]
+            total = near @ vectors
+            yield pd.DataFrame({"id": ids, "n": near.sum(axis=1).astype("int64"), **{f"s{j}": total[:, j] for j in range(total.shape[1])}})
+
+    return points.mapInPandas(sums, schema)
+
+
 def _strongest(modes: DataFrame, width: float, space: Space) -> DataFrame:
     """Modes with no denser surviving mode within ``width``: settled in rounds, denser ones first."""
     open_modes, kept = modes, None
