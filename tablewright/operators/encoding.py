@@ -80,13 +80,19 @@ def encode_codes(df: DataFrame, mapping: Mapping, columns: Sequence[str], handle
     """Replace each column by its code. ``keep`` turns unseen values into -1."""
     if handle_unseen not in ("error", "keep"):
         raise ValueError("handle_unseen is 'error' or 'keep'")
-    if handle_unseen == "error" and columns:
+    strict = handle_unseen == "error"
+    if strict and columns and not df.isStreaming:
         require_seen(df, mapping, columns)
     order = df.columns
     for c in columns:
         codes = mapping.hinted(c).select(F.col("value").alias("_value"), F.col("code").cast("double").alias("_code"))
         df = df.join(codes, df[c].cast("string") == F.col("_value"), "left")
-        df = df.withColumn(c, F.coalesce("_code", F.lit(UNSEEN_CODE))).drop("_value", "_code")
+        code = F.coalesce("_code", F.lit(UNSEEN_CODE))
+        if strict and df.isStreaming:
+            # a stream cannot be checked beforehand, so the offending row itself fails
+            message = F.concat(F.lit(f"column {c} holds a value unseen in training: "), F.col(c).cast("string"))
+            code = F.when(F.col("_code").isNull() & F.col(c).isNotNull(), F.raise_error(message).cast("double")).otherwise(code)
+        df = df.withColumn(c, code).drop("_value", "_code")
     return df.select(*order)
 
 

@@ -131,8 +131,18 @@ def _fit_scores(rows: DataFrame, features: list[str], classification: bool, loss
     k = 1 if classes is None or len(classes) == 2 else len(classes)
     signs = None if classes is None else (classes[1:] if k == 1 else classes)
     w = np.zeros((k, d + 1))
+    # targets are centred and brought to unit spread; the penalties below undo what that changes
+    centre, spread = (0.0, 1.0) if classification else _target_scale(rows)
+    share = {"l2": 0.0, "l1": 1.0, "elasticnet": l1_ratio, None: 0.0}[penalty]
+    ridge = 0.0 if penalty is None else alpha * (1 - share) * (spread if loss == "epsilon_insensitive" else 1.0)
+    sparse = alpha * share / (1.0 if loss == "epsilon_insensitive" else spread)
+    width = epsilon / spread
+    # steps stay below the inverse curvature, which keeps every schedule stable
+    norm = rows.select(F.aggregate("x", F.lit(1.0), lambda acc, v: acc + v * v).alias("q")).agg(F.avg("q")).first()[0]
+    ceiling = 1.0 / (norm * {"log_loss": 0.25, "squared_hinge": 2.0, "modified_huber": 2.0, "squared_epsilon_insensitive": 2.0}.get(loss, 1.0))
+    rough = loss in ("hinge", "perceptron", "epsilon_insensitive")
     power = power_t if power_t is not None else (0.5 if classification else 0.25)
-    seen, eta, best, stale, epoch, mean = 0, eta0, math.inf, 0, 0, math.inf
+    seen, turn, eta, best, stale, epoch, mean = 0, 0, eta0, math.inf, 0, 0, math.inf
     for epoch in range(1, max_iter + 1):
         total_loss, total_n = 0.0, 0
         for b in range(batches):
@@ -142,8 +152,8 @@ def _fit_scores(rows: DataFrame, features: list[str], classification: bool, loss
                 wide = np.hstack([x, np.ones((len(x), 1))])
                 score, worth, grad = wide @ now.T, 0.0, np.zeros_like(now)
                 for c in range(len(now)):
-                    target = y if signs is None else np.where(y == signs[c], 1.0, -1.0)
-                    each, slope = loss_and_slope(loss, target, score[:, c], epsilon)
+                    target = (y - centre) / spread if signs is None else np.where(y == signs[c], 1.0, -1.0)
+                    each, slope = loss_and_slope(loss, target, score[:, c], width)
                     worth += each.sum()
                     grad[c] = slope @ wide
                 return worth, grad.ravel()
@@ -152,16 +162,16 @@ def _fit_scores(rows: DataFrame, features: list[str], classification: bool, loss
             value, grad, n = summed_gradient(part, w.size, of)
             if not n:
                 continue
-            total_loss, total_n, seen = total_loss + value, total_n + n, seen + n
-            rate = {"optimal": 1.0 / (alpha * (1.0 / (alpha * 10.0) + seen)) if alpha else eta0, "invscaling": eta0 / (seen / total_n) ** power,
+            total_loss, total_n, seen, turn = total_loss + value, total_n + n, seen + n, turn + 1
+            rate = {"optimal": 1.0 / (alpha * (1.0 / (alpha * 10.0) + seen)) if alpha else eta0, "invscaling": eta0 / seen**power,
                     "constant": eta0, "adaptive": eta}[schedule]
+            # the schedule speaks per row; a batch takes its rows' steps at once
+            rate = min(rate * n, ceiling) / (math.sqrt(turn) if rough else 1.0)
             step = grad.reshape(w.shape) / n
-            share = {"l2": 0.0, "l1": 1.0, "elasticnet": l1_ratio, None: 0.0}[penalty]
-            ridge = 0.0 if penalty is None else alpha * (1 - share)
             w[:, :-1] -= rate * (step[:, :-1] + ridge * w[:, :-1])
             w[:, -1] -= rate * step[:, -1]
-            if share:
-                w[:, :-1] = np.sign(w[:, :-1]) * np.maximum(np.abs(w[:, :-1]) - rate * alpha * share, 0.0)
+            if sparse:
+                w[:, :-1] = np.sign(w[:, :-1]) * np.maximum(np.abs(w[:, :-1]) - rate * sparse, 0.0)
         mean = total_loss / max(total_n, 1)
         stale = stale + 1 if mean > best - tol else 0
         best = min(best, mean)
@@ -171,9 +181,16 @@ def _fit_scores(rows: DataFrame, features: list[str], classification: bool, loss
             else:
                 break
     rows.unpersist()
+    w = w * spread
+    w[:, -1] += centre
     return ScoreWeights(features, w[:, :-1].tolist(), w[:, -1].tolist(), classes, epoch, float(mean))
 
 
+def _target_scale(rows: DataFrame) -> tuple[float, float]:
+    centre, spread = rows.agg(F.avg("y"), F.stddev_pop("y")).first()
+    return float(centre), float(spread) or 1.0
+
+
 # --- support vector machines -------------------------------------------------------------
 
 
@@ -248,7 +265,7 @@ def fit_svm(train: DataFrame, features: Sequence[str], keys: Sequence[str], labe
     n = train.count()
     if not classification:
         rows = wide.select(F.col("_map").alias("x"), F.col(label).cast("double").alias("y"), F.lit(0).alias("batch"))
-        model = _fit_scores(rows, list(features), False, "epsilon_insensitive", "l2", 1.0 / (C * n), 0.0, max_iter, 1e-4, "adaptive", 0.1,
+        model = _fit_scores(rows, list(features), False, "epsilon_insensitive", "l2", 1.0 / (C * n), 0.0, max_iter, 1e-5, "constant", 1.0,
                             None, epsilon, 1, 5)
         return MachineModel(list(features), mapping, model)
     rows = wide.select(F.col(label).alias("label"), array_to_vector("_map").alias(VECTOR)).persist()
@@ -298,15 +315,17 @@ class NetworkModel:
     classes: list[float] | None
     n_iter: int
     loss: float
+    centre: float = 0.0
+    spread: float = 1.0
 
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
-        layers, activation = _unpack(self.flat, self.shapes), self.activation
+        layers, activation, centre, spread = _unpack(self.flat, self.shapes), self.activation, self.centre, self.spread
         classes = None if self.classes is None else np.array(self.classes)
 
         @F.pandas_udf(T.DoubleType())
         def predict(x: pd.Series) -> pd.Series:
             out = _forward(layers, np.stack(x.to_numpy()), activation)
-            return pd.Series(out[:, 0] if classes is None else classes[out.argmax(axis=1)])
+            return pd.Series(out[:, 0] * spread + centre if classes is None else classes[out.argmax(axis=1)])
 
         return df.withColumn(prediction, predict(F.array(*[F.col(f).cast("double") for f in self.features])))
 
@@ -327,6 +346,7 @@ def fit_mlp(train: DataFrame, features: Sequence[str], keys: Sequence[str], labe
     flat = np.concatenate([np.concatenate([rng.uniform(-1, 1, i * o) * math.sqrt(6 / (i + o)), np.zeros(o)]) for i, o in shapes])
     held = F.col("batch") % 10 == 9 if early_stopping else F.lit(False)
     table = None if classes is None else np.array(classes)
+    centre, spread = (0.0, 1.0) if classification else _target_scale(rows)
 
     def backward(flat: np.ndarray, slopes: bool) -> BatchGradient:
         def of(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
@@ -337,7 +357,7 @@ def fit_mlp(train: DataFrame, features: Sequence[str], keys: Sequence[str], labe
                 ders.append(da)
             out = acts[-1] @ layers[-1][0] + layers[-1][1]
             if table is None:
-                delta = out - y[:, None]
+                delta = out - ((y - centre) / spread)[:, None]
                 loss = 0.5 * float((delta**2).sum())
             else:
                 out = out - out.max(axis=1, keepdims=True)
@@ -377,4 +397,4 @@ def fit_mlp(train: DataFrame, features: Sequence[str], keys: Sequence[str], labe
         if stale >= n_iter_no_change:
             break
     rows.unpersist()
-    return NetworkModel(features, shapes, flat, activation, classes, epoch, float(mean))
+    return NetworkModel(features, shapes, flat, activation, classes, epoch, float(mean), centre, spread)

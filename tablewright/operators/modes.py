@@ -87,13 +87,11 @@ def fit_mean_shift(df: DataFrame, features: Sequence[str], id_col: str, bandwidt
 
     schema = "id bigint, n bigint, " + ", ".join(f"s{j} double" for j in range(d))
     moving, settled = cut_lineage(seeds), None
-    points = points.persist()
-    for turn in range(max_iter):
-        climbers = moving.limit(FEW_SEEDS + 1).collect()
-        if len(climbers) <= FEW_SEEDS:
-            partial = _climb_few(climbers, points, width, schema)
-        else:
-            partial = near_blocks(moving, points, "id", climb, schema, space, radius=width)
+    climbers = moving.limit(FEW_SEEDS + 1).collect()
+    if len(climbers) <= FEW_SEEDS:
+        settled = _climb_few(climbers, points.persist(), width, schema, max_iter)
+    for turn in range(max_iter if settled is None else 0):
+        partial = near_blocks(moving, points, "id", climb, schema, space, radius=width)
         sums = partial.groupBy("id").agg(
             F.sum("n").alias("n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
         target = F.array(*[F.col(f"s{j}") / F.col("n") for j in range(d)])
@@ -120,21 +118,38 @@ def fit_mean_shift(df: DataFrame, features: Sequence[str], id_col: str, bandwidt
     return _spread_to_copies(df, features, id_col, points.join(best.select("id", cluster.alias("cluster")), "id"), "cluster")
 
 
-def _climb_few(climbers: list, points: DataFrame, width: float, schema: str) -> DataFrame:
+def _climb_few(climbers: list, points: DataFrame, width: float, schema: str, max_iter: int) -> DataFrame:
     """A bounded number of seeds travels to the points instead of the points being shuffled."""
-    ids = np.array([r["id"] for r in climbers])
-    at = np.array([r["vec"] for r in climbers], dtype=float)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            vectors = np.stack(pdf["vec"].to_numpy())
-            near = (cross_distances(at, vectors, "euclidean") <= width) * pdf["weight"].to_numpy()[None, :]
-            total = near @ vectors
-            yield pd.DataFrame({"id": ids, "n": near.sum(axis=1).astype("int64"), **{f"s{j}": total[:, j] for j in range(total.shape[1])}})
-
-    return points.mapInPandas(sums, schema)
+    at = {r["id"]: np.array(r["vec"], dtype=float) for r in climbers}
+    size, open_ids = {}, sorted(at)
+    for _ in range(max_iter):
+        ids, here = np.array(open_ids), np.stack([at[i] for i in open_ids])
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                vectors = np.stack(pdf["vec"].to_numpy())
+                near = (cross_distances(here, vectors, "euclidean") <= width) * pdf["weight"].to_numpy()[None, :]
+                total = near @ vectors
+                yield pd.DataFrame({"id": ids, "n": near.sum(axis=1).astype("int64"), **{f"s{j}": total[:, j] for j in range(total.shape[1])}})
+
+        d = here.shape[1]
+        rows = points.mapInPandas(sums, schema).groupBy("id").agg(F.sum("n").alias("n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
+        still_open = []
+        for r in rows.collect():
+            if not r["n"]:
+                continue  # a seed without points has no mode
+            to = np.array([r[f"s{j}"] / r["n"] for j in range(d)])
+            moved = float(np.linalg.norm(to - at[r["id"]]))
+            at[r["id"]], size[r["id"]] = to, r["n"]
+            if moved > 1e-3 * width:
+                still_open.append(r["id"])
+        open_ids = sorted(still_open)
+        if not open_ids:
+            break
+    found = [(int(i), [float(v) for v in at[i]], int(n)) for i, n in size.items()]
+    return points.sparkSession.createDataFrame(found, "id bigint, vec array<double>, n bigint")
 
 
 def _strongest(modes: DataFrame, width: float, space: Space) -> DataFrame:
