@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators import cluster_metrics as cm
-from tablewright.operators import density, hierarchy, kmeans, mixture, modes, prepare
+from tablewright.operators import density, hdbscan, hierarchy, kmeans, mixture, modes, prepare
 from tablewright.plans.model_queries import EMBEDDING_FEATURES, _rounded, embedding_points
 from tablewright.plans.registry import query, table
 
@@ -174,6 +174,11 @@ def _(spark, sf):
     return density.fit_dbscan(embedding_points(spark, sf), EMBEDDING_FEATURES, "vec_id", eps=0.9, min_samples=5, metric="cosine")
 
 
+@query("c6_hdbscan")
+def _(spark, sf):
+    return hdbscan.fit_hdbscan(customer_points(spark, sf), CUSTOMER_FEATURES, "c_custkey", min_cluster_size=10)
+
+
 @query("c7_optics", _dbscan_sql(0.12, 6))
 def _(spark, sf):
     return density.fit_optics(customer_points(spark, sf), CUSTOMER_FEATURES, "c_custkey", eps=0.12, min_samples=6)
