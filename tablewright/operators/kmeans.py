@@ -103,7 +103,7 @@ def fit_minibatch(df: DataFrame, features: Sequence[str], keys: Sequence[str], n
         return cached.filter(F.substring(row_hash(seed + step, *keys), 1, 8) < format(int(share * 16**8), "08x"))
 
     start = batch(0)
-    model = fit_kmeans(start if start.count() >= n_clusters else cached, features, n_clusters, max_iter=1, seed=seed)
+    model = fit_kmeans(start if start.count() >= n_clusters else cached, features, n_clusters, n_init=3, max_iter=5, seed=seed)
     model = replace(model, weights=[0.0] * n_clusters)
     for step in range(1, max_iter + 1):
         moved = update_centers(model, batch(step))
