@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from tablewright.operators.spanning import spanning_tree
 from tablewright.session import cut_lineage
 
 GROUP_EDGES = 500_000  # edges of one group a task may merge
+SMALL_TREE = 200_000  # condensed clusters a task may settle
 _NODE = "rank bigint, w double, l bigint, r bigint, lsize bigint, rsize bigint"
 
 
@@ -127,11 +128,38 @@ def condensed_labels(points: DataFrame, merges: DataFrame, min_cluster_size: int
     return left.join(chosen, "cluster").select(F.col("node").alias("id"), "component")
 
 
-def _most_stable(clusters: DataFrame) -> DataFrame:
+def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The selection of ``_most_stable`` for a bounded number of clusters."""
+    whole = pd.concat(list(batches), ignore_index=True)
+    stability = dict(zip(whole["cluster"].tolist(), whole["stability"].tolist()))
+    parent = {c: None if pd.isna(p) else int(p) for c, p in zip(whole["cluster"].tolist(), whole["parent"].tolist())}
+    kids: dict[int, list[int]] = {}
+    for c, p in parent.items():
+        kids.setdefault(p, []).append(c)
+    order, at = list(kids.get(None, [])), 0
+    while at < len(order):  # parents before children
+        order += kids.get(order[at], [])
+        at += 1
+    best, own, component = {}, {}, {}
+    for c in reversed(order):
+        below = sum(best[k] for k in kids.get(c, []))
+        own[c] = parent[c] is not None and (c not in kids or stability[c] >= below)
+        best[c] = max(stability[c], below)
+    for c in order:
+        above = component.get(parent[c])
+        component[c] = above if above is not None else (c if own[c] else None)
+    rows = [(c, k) for c, k in component.items() if k is not None]
+    yield pd.DataFrame(rows, columns=["cluster", "component"]).astype("int64")
+
+
+def _most_stable(clusters: DataFrame, small: int | None = None) -> DataFrame:
     """``(cluster, component)``: excess-of-mass selection, children before parents, then passed down.
 
-    Rounds are as many as the condensed tree is high; the root is never selected.
+    The root is never selected. A measured, bounded number of clusters is settled in one
+    task; beyond it, rounds are as many as the condensed tree is high.
     """
+    if clusters.count() <= (SMALL_TREE if small is None else small):
+        return clusters.coalesce(1).mapInPandas(_choose, "cluster bigint, component bigint")
     state = clusters.select("cluster", "parent", "stability", F.lit(None).cast("double").alias("best"), F.lit(False).alias("own"))
     while True:
         open_rows = state.filter("best IS NULL")

@@ -31,9 +31,11 @@ def exact_quantiles(
     widest = distinct.agg(F.count("*").alias("groups"), *[F.max(v).alias(v) for v in values]).first()
     direct = [v for v in values if (widest[v] or 0) <= direct_limit]
     large = [v for v in values if v not in direct]
-    result = df.groupBy(*by).agg(*[
-        F.percentile(v, p).alias(f"{v}_q{i}") for v in direct for i, p in enumerate(probs)
-    ] or [F.count("*").alias("_n")])
+    # one call per column: each call keeps its own buffer of distinct values
+    marks = [F.percentile(v, F.array(*[F.lit(float(p)) for p in probs])).alias(f"_{v}") for v in direct]
+    result = df.groupBy(*by).agg(*(marks or [F.count("*").alias("_n")]))
+    result = result.select(*by, *[F.col(f"_{v}")[i].alias(f"{v}_q{i}") for v in direct for i in range(len(probs))],
+                           *([] if marks else ["_n"]))
     for v in large:
         refined = _bracketed(df, v, probs, by, direct_limit, widest["groups"])
         result = _attach(result, refined, by, widest["groups"])

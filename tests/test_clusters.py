@@ -179,7 +179,9 @@ def brute_hdbscan(x, m):
 
 
 @pytest.mark.parametrize("group_edges", [10**6, 70])
-def test_hdbscan(spark, blobs, group_edges):
+def test_hdbscan(spark, blobs, group_edges, monkeypatch):
+    if group_edges < 100:  # the small-group case also takes the path for very many clusters
+        monkeypatch.setattr(hdbscan, "SMALL_TREE", 0)
     data = blobs.filter("id < 120 or id >= 125")
     rows = data.orderBy("id").collect()
     want = brute_hdbscan(np.array([[r["x"], r["y"]] for r in rows]), 6)
