@@ -102,7 +102,7 @@ def prepare_supervised(
         train, test = ranking.train_test_split(labelled, keys, test_size, seed)
     classes: list[float] = []
     if encoder == "target" and classification:
-        classes = sorted(r[0] for r in train.select(LABEL).distinct().limit(quality.CARDINALITY_LIMIT + 1).collect())
+        classes = sorted(r[0] for r in train.select(LABEL).distinct().collect())
     mapping, encode = _encoders(train, categorical, encoder, skip, LABEL, classes, handle_unseen)
     warned = [f"column {c} has {n} distinct values" for c, n in mapping.cardinality.items() if n > quality.CARDINALITY_LIMIT]
     encoded = encode(train, known=True)

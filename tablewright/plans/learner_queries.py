@@ -51,7 +51,7 @@ DOC, PART = ["doc_id"], ["p_partkey"]
 def _(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").alias("label"))
     # edges at every distinct size, so no candidate is missed
-    edges = {"p_size": [float(r[0]) for r in parts.select("p_size").distinct().orderBy("p_size").limit(1000).collect()]}
+    edges = {"p_size": [float(r[0]) for r in parts.select("p_size").distinct().orderBy("p_size").collect()]}
     binned = trees.with_bins(parts, ["p_size"], edges)
     stump = trees.grow(binned, ["p_size"], edges, [(-F.col("label"), F.lit(1.0))], trees.Growth(max_depth=1))[0]
     return parts.select("p_partkey", F.round(stump.expression(), 4).alias("prediction"))
@@ -87,7 +87,7 @@ _value_query("l20_mlp_regressor", lambda t, f: gradient.fit_mlp(t, f, PART, clas
 def _(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").alias("label"))
     mean = parts.agg(F.avg("label")).first()[0]
-    edges = {"p_size": [float(r[0]) for r in parts.select("p_size").distinct().orderBy("p_size").limit(1000).collect()]}
+    edges = {"p_size": [float(r[0]) for r in parts.select("p_size").distinct().orderBy("p_size").collect()]}
     binned = trees.with_bins(parts, ["p_size"], edges)
     stump = trees.grow(binned, ["p_size"], edges, [(F.lit(mean) - F.col("label"), F.lit(1.0))], trees.Growth(max_depth=1, reg_lambda=1.0))[0]
     model = boosting.BoostedModel(["p_size"], [mean], [[stump]], 0.3, None)
