@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import minhash, repetition, subwords
+from tablewright.llm import licenses, minhash, mixing, pii, repetition, sharding, subwords, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +51,51 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(subwords.decode_pieces(ids, piece_model()))
 
 
+@query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's slot and shard among 64 shards."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", sharding.SHARDS)
+
+
+ORACLES["op5_sharding"] = sharding.shard_sql()
+
+
 @query
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of 60 % of all tokens, of at most two epochs: one row for each document and epoch."""
+    docs = table(spark, sf_dir, "documents").withColumn("n_tokens", mixing.word_count("text")).drop("text")
+    levels = mixing.corpus_levels()
+    mixed = mixing.mix_sources(docs, levels, mixing.WEIGHTS, percent=60, epochs=2, seed=1, tokens=F.col("n_tokens"))
+    names = {n: F.coalesce(c, F.lit("")).alias(n) for n, c in levels.items()}
+    return mixed.select("doc_id", *names.values(), "n_tokens", "epoch")
+
+
+ORACLES["op8_mixing"] = mixing.mixture_sql(percent=60, epochs=2, seed=1)
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("pii", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
+ORACLES["op10_licenses"] = licenses.license_sql()
