@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewright.llm.shared import broadcast_if_small
 from tablewright.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 3  # hex digits of the order hash whose token sums are kept for each leaf: 4096 sums
-BROADCAST_BYTES = 8 << 20
 
 Weights = Mapping[str, Mapping[str, int]]
 
@@ -33,12 +33,6 @@ def order_hash(key: str, epoch: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epoch).cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if its measured size allows it."""
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 64).alias("b")).first()["b"] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def _weight(level: str, weights: Weights) -> Column:
     given = weights.get(level, {})
     if any(w < 0 for w in given.values()):
@@ -102,14 +96,14 @@ def leaf_cuts(tokens: DataFrame, levels: Sequence[str], key: str, weights: Weigh
     plan = leaf_budgets(leaves, levels, weights, percent, epochs).withColumn(
         "full", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).cast("int"))
     plan = cut_lineage(plan.withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens")).select(*keys, "full", "rest"))
-    placed = tokens.join(_small(plan.filter("rest > 0")), keys).withColumn("h", order_hash(key, "full", seed))
+    placed = tokens.join(broadcast_if_small(plan.filter("rest > 0")), keys).withColumn("h", order_hash(key, "full", seed))
     placed = placed.withColumn("range", F.substring("h", 1, BUCKETS)).select(*keys, "range", "h", "tokens", "rest")
     sums = placed.groupBy(*keys, "range", "rest").agg(F.sum("tokens").alias("t"), F.max("h").alias("last"))
     upto = F.sum("t").over(Window.partitionBy(*keys).orderBy("range"))
     sums = cut_lineage(sums.withColumn("upto", upto))
     whole = sums.filter("upto <= rest").groupBy(*keys).agg(F.max("last").alias("cut"))
     torn = sums.filter("upto > rest AND upto - t <= rest").groupBy(*keys).agg(F.min_by("range", "range").alias("range"), F.min_by(F.col("upto") - F.col("t"), F.col("range")).alias("done"))
-    inside = placed.join(_small(torn), [*keys, "range"])
+    inside = placed.join(broadcast_if_small(torn), [*keys, "range"])
     inside = inside.withColumn("upto", F.col("done") + F.sum("tokens").over(Window.partitionBy(*keys, "range").orderBy("h")))
     inside = inside.filter("upto <= rest").groupBy(*keys).agg(F.max("h").alias("cut"))
     cuts = whole.unionByName(inside).groupBy(*keys).agg(F.max("cut").alias("cut"))
@@ -133,7 +127,7 @@ def mix_sources(df: DataFrame, levels: Mapping[str, Column], weights: Weights, p
     renamed = {f"_level_{n}": dict(values) for n, values in weights.items()}
     cuts = leaf_cuts(counted, names, "_key", renamed, percent, epochs, seed)
     cuts = cuts.select(*names, F.col("full").alias("_full"), F.col("cut").alias("_cut")).filter("_full > 0 OR _cut IS NOT NULL")
-    taken = source.join(_small(cuts), names)
+    taken = source.join(broadcast_if_small(cuts), names)
     times = F.col("_full") + F.coalesce(order_hash(key, "_full", seed) <= F.col("_cut"), F.lit(False)).cast("int")
     taken = taken.withColumn("_times", times).filter("_times > 0")
     return taken.select(*[c for c in df.columns if c != "epoch"], F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import licenses, minhash, mixing, pii, repetition, sharding, subwords, vectors
+from tablewright.llm import licenses, minhash, mixing, pages, pii, quality, repetition, sharding, subwords, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +33,27 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+KEEP_FROM = 0.3  # score from which a document counts as good
+
+
+def held_out(key: str = "doc_id") -> Column:
+    """The fifth of the documents whose labels are never learnt from."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5)) == 0, F.lit(False))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
+
+
+@query
+def op2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
