@@ -14,14 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.components import components
+from tablewright.llm.components import components, union_find
+from tablewright.llm.shared import broadcast_if_small, whole_groups
 from tablewright.llm.texts import mix, slices, split_words, window_hashes
 from tablewright.session import cut_lineage
 
 WORDS = 5
 SLOTS, BANDS = 128, 32  # 4 slots a band: a pair at similarity 0.75 shares no band with probability 5e-6
-BLOCK = 256  # members of a bucket compared in one group
-SURE = 0.5  # pairs whose signatures agree in fewer slots are no candidates; at similarity 0.75 that is six deviations away
+BLOCK = 256  # texts on one side of a comparison that is one group of rows
+COLUMNS = 4096  # shingles counted at once when blocks are compared
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,7 +89,7 @@ def _digests(values: np.ndarray, heads: np.ndarray) -> list[bytes]:
 
 
 def sign_texts(df: DataFrame, key: str, text: str, words: int = WORDS, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
-    """``(key, n_shingles, digest, slots, bands)``: one row per row of ``df``; no shuffle."""
+    """``(key, n_shingles, digest, bands)``: one row per row of ``df``; no shuffle."""
     rows = slots // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,15 +101,13 @@ def sign_texts(df: DataFrame, key: str, text: str, words: int = WORDS, slots: in
                     band = np.full((last - first, bands), 0, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
                     for k in range(rows):
                         band = mix(band * _STEP + bits[:, k::rows])
-                brief = (mix(bits) & np.uint64(0xFFFF)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, last - first), pa.array(np.diff(heads)), pa.array(_digests(values, heads), pa.binary()),
-                    pa.array([r.tobytes() for r in brief], pa.binary()),
                     pa.FixedSizeListArray.from_arrays(pa.array(band.reshape(-1).view(np.int64)), bands).cast(pa.list_(pa.int64()))],
-                    names=["key", "n_shingles", "digest", "slots", "bands"])
+                    names=["key", "n_shingles", "digest", "bands"])
 
     plain = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(run, "key bigint, n_shingles bigint, digest binary, slots binary, bands array<bigint>")
+    return plain.mapInArrow(run, "key bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
 
 def shingle_arrays(df: DataFrame, words: int = WORDS) -> DataFrame:
@@ -125,101 +124,156 @@ def shingle_arrays(df: DataFrame, words: int = WORDS) -> DataFrame:
     return df.mapInArrow(run, "key bigint, shingles array<bigint>")
 
 
-def _close(batch, sure: float):
-    """Pairs of different groups in one block pair whose signatures agree well enough."""
-    key, side, comp = batch["key"].to_numpy(), batch["side"].to_numpy(), batch["comp"].to_numpy()
-    slots = np.stack([np.frombuffer(s, dtype=np.uint16) for s in batch["slots"]])
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    out_a, out_b = [], []
-    for i in left:
-        others = right[(comp[right] != comp[i]) & ((side[right] == 1) & (side[i] == 0) | (key[right] > key[i]) & (side[right] == side[i]))]
-        if len(others):
-            others = others[(slots[others] == slots[i]).mean(axis=1) >= sure]
-            out_a += [key[i]] * len(others)
-            out_b += key[others].tolist()
-    import pandas as pd
-
-    return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
-
-
-def _verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets have a Jaccard similarity of at least ``percent``.
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of each set of ``left`` with each of ``right``."""
+    if len(left) * len(right) <= 4:
+        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left])
+    names = np.intersect1d(np.concatenate(left), np.concatenate(right))  # only these can be common
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    sides = []
+    for each in (left, right):
+        values, owner = np.concatenate(each), np.repeat(np.arange(len(each)), [len(s) for s in each])
+        at = np.minimum(np.searchsorted(names, values), max(len(names) - 1, 0))
+        hit = names[at] == values if len(names) else np.zeros(len(values), dtype=bool)
+        by = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][by], owner[hit][by]))
+    for first in range(0, len(names), COLUMNS):
+        width = min(COLUMNS, len(names) - first)
+        marks = []
+        for (at, owner), each in zip(sides, (left, right)):
+            a, b = np.searchsorted(at, [first, first + width])
+            mark = np.zeros((len(each), width), dtype=np.float32)
+            mark[owner[a:b], at[a:b] - first] = 1
+            marks.append(mark)
+        out += marks[0] @ marks[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def _linked(percent: int):
+    """Compares, in each group, side 0 with side 1, and the texts of side 2 with each other, if their components differ.
+
+    Puts out links enough to connect what is linked: a link for each text and group at most.
+    """
 
-    Sizes alone already exclude many; the sets are made again from the texts of the documents that are left.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, heads in whole_groups(batches, ("unit", "kind", "i", "j")):
+            key, side, comp = (batch.column(c).to_numpy() for c in ("key", "side", "comp"))
+            lists = batch.column("shingles")
+            ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+            sizes, found = np.diff(ends), []
+            for a, b in zip(heads, np.append(heads[1:], len(key))):
+                rows = np.arange(a, b)
+                left, right = rows[side[a:b] != 1], rows[side[a:b] != 0]
+                if not len(left) or not len(right):
+                    continue
+                common = common_counts([flat[ends[r]:ends[r + 1]] for r in left], [flat[ends[r]:ends[r + 1]] for r in right])
+                near = (100 * common >= percent * (sizes[left][:, None] + sizes[right] - common)) & (comp[left][:, None] != comp[right])
+                x, y = np.nonzero(near)
+                if len(x):
+                    v, root = union_find(key[left[x]], key[right[y]])
+                    found.append(np.stack([root, v])[:, root != v])
+            if found:
+                pairs = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return run
+
+
+def _compare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` of ``rows(unit, kind, i, j, side, key, comp)``, whose groups are bounded, on the full sets."""
+    full = rows.join(sets, "key").select("unit", "kind", "i", "j", "side", "key", "comp", "shingles")
+    full = full.repartition("unit", "kind", "i", "j").sortWithinPartitions("unit", "kind", "i", "j")
+    return full.mapInArrow(_linked(percent), "a bigint, b bigint")
+
+
+def _stars(mates: DataFrame) -> DataFrame:
+    """Rows that compare every member of a bucket with the bucket's least member."""
+    pairs = cut_lineage(mates.filter("key <> first").select("first", "key").distinct())
+    blocks = pairs.groupBy("first").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = cut_lineage(blocks)
+    zero = F.lit(0).cast("bigint")
+    members = pairs.join(blocks, "first").select(
+        F.col("first").alias("unit"), F.lit(0).alias("kind"), zero.alias("i"), F.pmod(F.xxhash64("key"), "blocks").alias("j"), F.lit(1).alias("side"), "key")
+    centers = blocks.select(F.col("first").alias("unit"), F.lit(0).alias("kind"), zero.alias("i"), F.explode(
+        F.sequence(zero, F.col("blocks").cast("bigint") - 1)).alias("j"), F.lit(0).alias("side"), F.col("first").alias("key"))
+    return members.unionByName(centers).withColumn("comp", F.col("key"))
+
+
+def _crossings(mates: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows that compare all members of a bucket that are in different components.
+
+    The largest component of a bucket meets the others, and the others meet each other. Buckets with the same largest
+    component are compared together if that is no more work than one by one, as for a group whose texts share most bands.
     """
-    size_a = sizes.select(F.col("key").alias("a"), F.col("n_shingles").alias("n_a"))
-    size_b = sizes.select(F.col("key").alias("b"), F.col("n_shingles").alias("n_b"))
-    near = pairs.join(size_a, "a").join(size_b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = cut_lineage(near)
-    needed = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = cut_lineage(shingle_arrays(texts.join(needed, "key", "left_semi").select("key", "text"), words))
-    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("set_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return near.join(left, "a").join(right, "b").filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+    placed = mates.join(groups.withColumnRenamed("id", "key"), "key", "left")
+    placed = cut_lineage(placed.select("bucket", "key", F.coalesce("component", "key").alias("comp")))
+    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
+    mixed = cut_lineage(mixed.filter("n_all > n_main"))
+    rows = cut_lineage(placed.join(mixed.select("bucket", "main"), "bucket"))
+
+    def work(n_main, n_all):
+        other = F.col(n_all) - F.col(n_main)
+        return F.col(n_main) * other + other * other / 2
+
+    single = mixed.groupBy("main").agg(F.sum(work("n_main", "n_all")).alias("alone"))
+    wide = rows.select("main", "key", "comp").distinct().groupBy("main").agg(
+        F.sum((F.col("comp") == F.col("main")).cast("bigint")).alias("n_main"), F.count("*").alias("n_all"))
+    together = cut_lineage(wide.join(single, "main").select("main", (work("n_main", "n_all") <= F.col("alone")).alias("wide")))
+    units = rows.join(together, "main").select(
+        F.when(F.col("wide"), F.col("main")).otherwise(F.col("bucket")).alias("unit"), F.when(F.col("wide"), 0).otherwise(2).alias("kind"),
+        "main", "key", "comp").distinct()
+    units = cut_lineage(units)
+    sizes = units.groupBy("unit", "kind").agg(
+        F.ceil(F.sum((F.col("comp") == F.col("main")).cast("bigint")) / BLOCK).cast("bigint").alias("main_blocks"),
+        F.ceil(F.sum((F.col("comp") != F.col("main")).cast("bigint")) / BLOCK).cast("bigint").alias("other_blocks"))
+    units = units.join(cut_lineage(sizes), ["unit", "kind"])
+    is_main, turn, one = F.col("comp") == F.col("main"), F.xxhash64("key", "unit"), F.lit(1).cast("bigint")
+    own = F.when(is_main, F.pmod(turn, "main_blocks")).otherwise(F.pmod(turn, "other_blocks"))
+    # kind + 0: a block of the largest component, i, with a block of others, j; kind + 1: two blocks of others, i <= j
+    with_others = F.transform(F.sequence(one - 1, F.col("other_blocks") - 1), lambda j: F.struct(
+        F.when(is_main, F.col("kind")).otherwise(F.col("kind") + 1).alias("kind"), F.when(is_main | (own <= j), own).otherwise(j).alias("i"),
+        F.when(is_main | (own <= j), j).otherwise(own).alias("j"), F.when(is_main | (own < j), 0).when(own == j, 2).otherwise(1).alias("side")))
+    with_main = F.transform(F.sequence(one - 1, F.col("main_blocks") - 1), lambda i: F.struct(
+        F.col("kind").alias("kind"), i.alias("i"), own.alias("j"), F.lit(1).alias("side")))
+    meets = F.explode(F.when(is_main, with_others).otherwise(F.concat(with_others, with_main)))
+    return units.select("unit", meets.alias("at"), "key", "comp").select("unit", "at.*", "key", "comp")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, words: int = WORDS,
-                    slots: int = SLOTS, bands: int = BANDS, sure: float = SURE) -> DataFrame:
+                    slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
     """``(key, n_shingles, component_id, kept)``: one row for every row of ``df``.
 
     Texts are compared whole, by their distinct ``words``-word shingles; two are linked if ``percent`` % of their union is
     common, and a component is named by its least key. NULL and empty texts, and texts without a word, have an empty set and
-    are linked with nothing; a NULL key keeps its row, with a NULL component. Rows with equal keys are one document each but
-    share a component. Other columns are ignored.
+    are linked with nothing; a NULL key keeps its row, with a NULL component. Rows with equal keys are one document and share a
+    component. Other columns are ignored. An empty table gives no rows.
 
-    Steps: equal sets become one class. The classes of a band bucket are first compared with its least member, which costs
-    one pair a member. Bucket mates that this leaves in different components are then compared in blocks of bounded
-    size, all of them: signatures first, full sets for what passes. So every candidate pair is either known to be
-    connected or verified, however large the bucket.
+    Equal sets become one class. The classes of a band bucket are first compared with its least member, one comparison a
+    member. Bucket mates that this leaves in different components are then compared in blocks of bounded size, all of them, on
+    their full sets. So every pair that shares a band is known to be connected or has been compared, however large the bucket,
+    and tasks put out links that connect, never pairs.
     """
     plain = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     signed = cut_lineage(sign_texts(df, key, text, words, slots, bands))
     real = signed.filter("n_shingles > 0 AND key IS NOT NULL")
-    classes = cut_lineage(real.groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("copies")))
-    member = signed.select("key", "n_shingles", "digest").filter("n_shingles > 0 AND key IS NOT NULL")
-    member = cut_lineage(member.join(classes.select("digest", "rep"), "digest").select("key", "n_shingles", "rep"))
-    reps = real.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    reps = cut_lineage(reps.select("key", "n_shingles", "slots", "bands"))
-    sizes = reps.select("key", "n_shingles")
-
+    classes = cut_lineage(real.groupBy("digest").agg(F.min("key").alias("rep")))
+    member = cut_lineage(real.select("key", "n_shingles", "digest").join(classes, "digest").select("key", "n_shingles", "rep"))
+    reps = real.join(classes.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
     entries = reps.select("key", F.explode("bands").alias("bucket"))
-    buckets = cut_lineage(entries.groupBy("bucket").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    mates = cut_lineage(entries.join(buckets, "bucket").select("bucket", "key", "first"))
-    stars = mates.filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
-    texts = plain.filter("key IS NOT NULL")
-    links = cut_lineage(_verified(stars, sizes, texts, percent, words))
-    groups = cut_lineage(components(links))
+    buckets = entries.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last")
+    mates = cut_lineage(entries.join(cut_lineage(buckets.select("bucket", "first")), "bucket").distinct())
 
-    placed = mates.join(groups.withColumnRenamed("id", "key"), "key", "left")
-    placed = cut_lineage(placed.select("bucket", "key", F.coalesce("component", "key").alias("comp")))
-    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(
-        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("parts"))
-    mixed = cut_lineage(mixed.filter("parts > 1").select(
-        "bucket", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("main_blocks"),
-        F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("other_blocks")))
-    rest = placed.join(mixed, "bucket").withColumn("turn", F.xxhash64("key", "bucket"))
-    is_main = F.col("comp") == F.col("main")
-    # the largest component of a bucket meets the others, and the others meet each other; side 0 is compared with side 1
-    own = F.when(is_main, F.pmod("turn", "main_blocks")).otherwise(F.pmod("turn", "other_blocks"))
-    other = F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda j: F.struct(
-        F.when(is_main, F.lit("m")).otherwise(F.lit("o")).alias("kind"),
-        F.when(is_main | (own <= j), own).otherwise(j).cast("bigint").alias("i"),
-        F.when(is_main | (own <= j), j).otherwise(own).cast("bigint").alias("j"),
-        F.when(is_main | (own < j), F.lit(0)).when(own == j, F.lit(2)).otherwise(F.lit(1)).alias("side")))
-    meets = F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda i: F.struct(
-        F.lit("m").alias("kind"), i.cast("bigint").alias("i"), own.cast("bigint").alias("j"), F.lit(1).alias("side")))
-    rest = rest.select("bucket", "key", "comp", F.explode(F.when(is_main, other).otherwise(F.concat(other, meets))).alias("at"))
-    rest = cut_lineage(rest.select("bucket", "key", "comp", "at.*"))
-    with_slots = rest.join(reps.select("key", "slots"), "key")
-    found = with_slots.groupBy("bucket", "kind", "i", "j").applyInPandas(lambda b: _close(b, sure), "a bigint, b bigint")
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(found, sizes, texts, percent, words)
+    needed = cut_lineage(mates.select("key").distinct())
+    texts = plain.join(broadcast_if_small(needed), "key", "left_semi")
+    sets = cut_lineage(shingle_arrays(texts, words))
+    links = cut_lineage(_compare(_stars(mates), sets, percent))
+    groups = cut_lineage(components(links))
+    more = _compare(_crossings(mates, groups), sets, percent)
     joined = cut_lineage(components(links.unionByName(more)))
 
     named = member.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "key", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.filter("n_shingles = 0 OR key IS NULL").select("key", "n_shingles", F.col("key").alias("component_id"))
-    out = named.unionByName(alone)
-    return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return named.unionByName(alone).select(
+        F.col("key").alias(key), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))

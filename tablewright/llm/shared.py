@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,3 +16,21 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     """``df``, marked for broadcast if the bytes of its values, measured, stay below ``limit``; else Spark shuffles it."""
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 16).alias("b")).first()["b"] or 0
     return F.broadcast(df) if size <= limit else df
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches that hold whole groups, and where each group begins, from batches sorted by integer ``keys``.
+
+    At most a batch and a group are held at a time, so groups must be of bounded size.
+    """
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if held is not None and held.num_rows:
+            batch = pa.concat_batches([held, batch])
+        columns = [batch.column(k).to_numpy() for k in keys]
+        begin = np.append(0, np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1)
+        if len(begin) > 1:
+            yield batch.slice(0, int(begin[-1])), begin[:-1]
+        held = batch.slice(int(begin[-1]))
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, dtype=np.int64)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm.components import components, union_find
+from tablewright.llm.shared import whole_groups
 from tablewright.llm.texts import mix
 from tablewright.session import cut_lineage
 
@@ -90,22 +91,6 @@ def _coded(tables: int, functions: int, probes: int):
     return run
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole groups, equal in (bucket, i, j), from batches sorted by them. A group holds about 2 * BLOCK rows at most."""
-    held: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-        keys = [table[c].to_numpy() for c in ("bucket", "i", "j")]
-        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        cut = int(new[-1]) if len(new) else 0
-        if cut:
-            yield table.slice(0, cut)
-        held = table.slice(cut)
-    if held is not None and held.num_rows:
-        yield held
-
-
 def _pairs(heads: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows inside each group, in bounded portions."""
     left = np.concatenate([np.arange(h, h + s - 1) for h, s in zip(heads, sizes)]) if len(heads) else heads
@@ -123,18 +108,12 @@ def _pairs(heads: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 def _linked(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _segments(batches):
-            bucket, i, j, side = (table[c].to_numpy() for c in ("bucket", "i", "j", "side"))
-            key, copies = table["key"].to_numpy(), table["copies"].to_numpy()
-            lists, codes = table["vector"].combine_chunks(), table["codes"].combine_chunks()
-            if isinstance(lists, pa.ChunkedArray):
-                lists, codes = lists.chunk(0), codes.chunk(0)
-            starts = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
-            length = np.diff(lists.offsets.to_numpy())
+        for batch, heads in whole_groups(batches, ("bucket", "i", "j")):
+            bucket, side, key, copies = (batch.column(c).to_numpy() for c in ("bucket", "side", "key", "copies"))
+            lists = batch.column("vector")
+            starts, length = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy().astype(np.float64)
-            codes = codes.flatten().to_numpy().reshape(len(key), -1)
-            new = np.append(True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-            heads = np.flatnonzero(new)
+            codes = batch.column("codes").flatten().to_numpy().reshape(len(key), -1)
             found_a, found_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for a, b in _pairs(heads, np.diff(np.append(heads, len(key)))):
                 ok = (length[a] == length[b]) & ((side[a] != side[b]) | (side[a] == 2))
