@@ -24,7 +24,8 @@ from tablewright.llm.texts import bounded
 SPACE = "▁"
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 _FAR = np.int64(1) << 40
-CACHE_CHARS = 8_000_000  # fragments a worker remembers, in characters
+CACHE_CHARS = 4_000_000  # fragments a worker remembers, in characters
+DECODE_IDS = 1 << 20  # ids decoded together
 ROUND_CHARS = 200_000  # characters merged together, so that the arrays of a round stay in the processor's cache
 
 
@@ -228,6 +229,8 @@ class Encoder:
 
 def decode_ids(model: PieceModel, ids: list[int]) -> str:
     """The text of ids: pieces joined, bytes read as UTF-8, the added first space removed."""
+    if not ids:
+        return ""
     raw = b"".join(map(model.bytes.__getitem__, ids))
     if model.prefix and raw[:1] == b" " and next(i for i in ids if model.bytes[i]) != model.byte_ids[0x20]:
         raw = raw[1:]
@@ -266,7 +269,13 @@ def decode_pieces(df: DataFrame, path: str, ids: str = "ids", text: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_encoder(path).model
         for batch in batches:
-            values = [decode_ids(model, v) if v else "" for v in batch.column(ids).to_pylist()]
-            yield batch.append_column(text, pa.array(values, pa.string()))
+            lists = batch.column(ids)
+            ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+            first = 0
+            while first < batch.num_rows:  # some texts at a time; only one is a list of Python numbers
+                last = max(int(np.searchsorted(ends, ends[first] + DECODE_IDS, side="right")) - 1, first + 1)
+                values = [decode_ids(model, flat[a:b].tolist()) for a, b in zip(ends[first:last], ends[first + 1:last + 1])]
+                yield batch.slice(first, last - first).append_column(text, pa.array(values, pa.string()))
+                first = last
 
     return df.select(*[c for c in df.columns if c != text]).mapInArrow(run, schema)
