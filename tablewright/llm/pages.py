@@ -35,6 +35,7 @@ NOISE_WORDS = frozenset("""ad ads adbox adsense adslot advert adverts advertisem
  pager login search copyright legal disclaimer skip skiplink teaser outbrain taboola paywall""".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_NAMES = re.compile(r"[A-Za-z0-9]+")
 RADIUS = 2
 
 
@@ -87,7 +88,7 @@ class _Lines(HTMLParser):
                 continue
             if name == "role" and value.lower() in NOISE_ROLES or name == "style" and "display:none" in value.replace(" ", "").lower():
                 return True
-            if name in ("class", "id") and any(p.lower() in NOISE_WORDS for p in _PARTS.findall(value)):
+            if name in ("class", "id") and any(p.lower() in NOISE_WORDS for p in _NAMES.findall(value) + _PARTS.findall(value)):
                 return True
         return False
 

@@ -1,0 +1,296 @@
+"""The operators as Spark jobs: against brute force and SQL, and on odd tables."""
+
+import hashlib
+import os
+import random
+
+import duckdb
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tablewright.llm import components, licenses, minhash, mixing, pages, pii, quality, queries, repetition, sharding, subwords, vectors
+from test_llm_texts import plain_sets
+from tools.check_queries import rows_of
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture(scope="module")
+def db(sf):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    return con
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """NULLs in every column, empty and long texts, repeated rows and ids, and columns named like what operators make."""
+    long = " ".join(f"word{i}" for i in range(30000))
+    rows = [(1, "one two three four five six", "en", "src0", 1), (1, "one two three four five six", "en", "src0", 1), (2, "", "de", None, None),
+            (3, None, None, "src1", 3), (None, "lost id", "fr", "src2", 4), (4, long, "es", "src0", 5), (5, long + " more", "es", None, 6),
+            (6, " \n\t ", "en", "src1", 7), (7, "Released under the MIT License.", "en", "src1", 8), (8, "mail a@b.co", None, None, None)]
+    names = "key comp unit digest score ids pii shard slot license licenses epoch n_words kept text_ tokens".split()
+    return spark.createDataFrame(rows, DOC).select("*", *[F.lit("x").alias(n) for n in names])
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.filter("false")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, sf, db, name):
+    df = queries.QUERIES[name](spark, sf)
+    rel = db.execute(queries.ORACLES[name])
+    names = [d[0] for d in rel.description]
+    assert sorted(names) == sorted(df.columns)
+    assert rows_of(df.columns, df.collect()) == rows_of(names, rel.fetchall())
+
+
+def plain_components(ids, links):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2100)] + [(5, 5)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    real = [(a, b) for a, b in links if a != b]
+    want = plain_components({x for e in real for x in e}, real)
+    assert got == want
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def close_texts():
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(4, 90))]
+        for _ in range(rng.randint(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    return texts + ["", " "] + texts[:4]
+
+
+def test_near_duplicates_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)  # so that small buckets already need several blocks
+    texts = close_texts()
+    sets = plain_sets(texts)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = plain_components(range(len(texts)), links)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in want}
+
+
+def test_near_duplicates_odd(odd, none):
+    got = sorted(minhash.near_duplicates(odd).collect(), key=str)
+    by_id = {r.doc_id: r for r in got}
+    assert len(got) == 10 and by_id[5].component_id == 4 and by_id[2].n_shingles == 0 and by_id[6].component_id == 6 and by_id[None].kept
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_near_vectors_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(12, 24))
+    x = [b + rng.normal(size=24) * s for b in base for s in (0, 0.05, 0.1, 0.15, 0.2, 0)] + list(rng.normal(size=(30, 24)))
+    x = np.array(x, dtype=np.float32)
+    label = [i % 2 if i < 40 else 1 for i in range(len(x))]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (np.array(label)[:, None] == np.array(label))
+    np.fill_diagonal(near, False)
+    want = plain_components(range(len(x)), [(i, j) for i, j in zip(*map(lambda a: a.tolist(), np.nonzero(near)))])
+    rows = [(i, v.tolist(), label[i], "y") for i, v in enumerate(x)]
+    odd = [(900, None, 1, ""), (901, [0.0] * 24, 1, ""), (902, [float("nan")] * 24, 1, ""), (903, [None] * 24, 1, ""), (904, x[0].tolist(), None, ""),
+           (905, [], 1, ""), (906, [1.0], 1, ""), (None, x[0].tolist(), 0, ""), (907, [float("inf")] * 24, 1, "")]
+    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>, label int, key string").repartition(4)
+    got = vectors.near_vectors(df, tables=16).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None and r.vec_id < 900} == {
+        i: (int(near[i].sum()), want[i], want[i] == i) for i in want}
+    assert all(r.n_links == 0 and r.kept and r.component_id == r.vec_id for r in got if r.vec_id is None or r.vec_id >= 900)
+    assert len(got) == len(rows) + len(odd)
+    assert vectors.near_vectors(df.filter("false")).count() == 0
+
+
+def test_near_vectors_recall_on_the_table(spark, sf):
+    got = {r.vec_id: r for r in queries.QUERIES["op7_embeddings"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r.label for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    found = sum(got[r.vec_id].n_links for r in rows)
+    assert found <= near.sum() and found >= 0.99 * near.sum()
+
+
+def mixture(spark, rows, **args):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, epoch string")
+    return mixing.mix_sources(df, {"lang": F.col("lang"), "source": F.col("source")}, **args)
+
+
+def test_shortage_goes_to_siblings_first(spark):
+    rows = [(i, "t " * 10, "en", "big", "") for i in range(100)] + [(100 + i, "t " * 10, "en", "small", "") for i in range(5)]
+    rows += [(200 + i, "t " * 10, "de", "only", "") for i in range(100)]
+    got = mixture(spark, rows, weights={"lang": {"en": 1, "de": 1}}, percent=40).groupBy("lang", "source").count().collect()
+    # 820 tokens, 410 for each language; "small" has 50 of its 205, its sibling takes the rest
+    assert {(r["lang"], r["source"]): r["count"] for r in got} == {("en", "big"): 36, ("en", "small"): 5, ("de", "only"): 41}
+
+
+def test_epochs_repeat_whole_leaves_before_a_prefix(spark):
+    rows = [(i, "a b c", "en", "s", "") for i in range(10)] + [(50 + i, "a b c", "de", "s", "") for i in range(90)]
+    got = mixture(spark, rows, weights={"lang": {"en": 1, "de": 1}}, percent=50, epochs=3).groupBy("lang", "epoch").count().collect()
+    assert {(r["lang"], r["epoch"]): r["count"] for r in got} == {("en", 0): 10, ("en", 1): 10, ("en", 2): 5, ("de", 0): 25}
+
+
+def test_prefix_is_the_order_of_the_epoch(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(0, 30), "en", "s", "") for i in range(400)]
+    got = {r.doc_id for r in mixture(spark, rows, weights={}, percent=35, seed=9).collect()}
+    total = sum(len(r[1].split()) for r in rows)
+    want, used = set(), 0
+    for row in sorted(rows, key=lambda r: hashlib.md5(f"9:0:{r[0]}".encode()).hexdigest()):
+        used += len(row[1].split())
+        if used > total * 35 // 100:
+            break
+        want.add(row[0])
+    assert got == want
+
+
+def test_mixing_odd(odd, none):
+    levels = {"lang": F.col("lang"), "source": F.col("source")}
+    whole = mixing.mix_sources(odd, levels, {}, percent=100)
+    assert sorted(whole.columns) == sorted(odd.columns) and whole.filter("doc_id = 1").count() == 2 and whole.filter("text <> '' AND trim(text) = ''").count() <= 1
+    assert mixing.mix_sources(odd, levels, {"lang": {"*": 0}}, percent=100).count() == 0
+    assert mixing.mix_sources(none, levels, {}).count() == 0
+
+
+def test_sharding_odd(odd, none, spark, tmp_path):
+    placed = sharding.assign_shards(odd, "doc_id", ["a", "b", "c"], 101)
+    assert placed.count() == 10 and placed.filter("shard IS NULL").count() == 0 and set(placed.columns) == set(odd.columns)
+    assert placed.filter("doc_id = 1").select("shard").distinct().count() == 1
+    assert sharding.assign_shards(none, "doc_id", ["a"], 7).count() == 0
+    sharding.write_shards(odd, str(tmp_path / "out"), "doc_id", ["a", "b"], 101, files=2)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_licenses_odd(odd, none, spark):
+    got = {r.doc_id: r for r in licenses.scan_licenses(odd).collect()}
+    assert got[7].license == "MIT" and got[7].licenses == ["MIT"] and got[7].license_units == 1
+    assert got[3].license is None and got[2].licenses == [] and got[4].license_units == 0
+    assert licenses.scan_licenses(none).count() == 0
+    text = "Copyright (c) 2020 A. Name\n\n" + licenses._MIT.upper().replace("SUBLICENSE", "SUB-LICENSE").replace(" ", "  ").replace(".", " .")
+    varied = [(1, text), (2, "prose\nlicenced under the  MIT license\nmore"), (3, licenses._ISC), (4, "Licensed under the MIT License, mostly."), (5, "\n\n.\n")]
+    got = {r.i: (r.license, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(varied, "i int, text string")).collect()}
+    assert got == {1: ("MIT", ["MIT"]), 2: (None, ["MIT"]), 3: ("ISC", ["ISC"]), 4: (None, []), 5: (None, [])}
+
+
+def test_repetition_odd(odd, none):
+    got = {r.doc_id: r for r in repetition.repetition_rules(odd.drop("n_words")).collect()}
+    assert got[2].n_words == 0 and got[3].base_failed and not got[3].kept and got[4].n_words == 30000 and got[4].kept and got[1].base_failed
+    assert repetition.repetition_rules(none).count() == 0
+    assert repetition.repetition_rules(odd).count() == 10  # columns of the same names are replaced
+
+
+def test_pii_odd(odd, none):
+    got = {r.doc_id: r for r in pii.find_pii(odd).collect()}
+    assert [(s.kind, s.start, s.end, s.base) for s in got[8].pii] == [("email", 5, 11, True)] and got[3].pii == [] and len(got[4].pii) == 0
+    marked = {r.doc_id: r.text for r in pii.redact(odd).collect()}
+    assert marked[8] == "mail [EMAIL]" and marked[3] is None and marked[2] == "" and marked[4] == got[4].text
+    assert pii.find_pii(none).count() == 0 and pii.redact(none).count() == 0
+
+
+def test_pieces_odd(odd, none):
+    ids = subwords.encode_pieces(odd, queries.piece_model())
+    got = {r.doc_id: r for r in subwords.decode_pieces(ids, queries.piece_model(), text="decoded").collect()}
+    assert got[3].ids == [2] and got[2].decoded == "" and all(r.decoded == (r.text or "") for r in got.values())
+    assert subwords.encode_pieces(none, queries.piece_model()).count() == 0
+
+
+def test_pages_odd(spark):
+    long = "<article>" + "<p>some words of text here" * 20000 + "</article>"
+    rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>a b", "x"), (3, "u", long, "x"), (3, "u", long, "x"), (4, "u", "<" * 3000 + "div", "x")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = pages.extract_text(df).collect()
+    assert len(got) == 6 and sorted(got[0].asDict()) == ["page_id", "text", "url"]
+    by_id = {r.page_id: r.text for r in got}
+    assert by_id[1] == "" and by_id[2] == "" and by_id[None] == "a b" and by_id[3].count("\n") == 19999
+    assert pages.extract_text(df.filter("false")).count() == 0
+
+
+def test_quality(spark, sf, odd, none):
+    more = f"{os.path.dirname(sf)}/sf0.01"  # enough held-out labels for an accuracy
+    docs, labels = spark.read.parquet(f"{more}/documents.parquet"), spark.read.parquet(f"{more}/labels.parquet")
+    model = quality.fit_quality(docs, labels.filter(~queries.held_out()))
+    scored = quality.score_quality(docs, model).join(labels, "doc_id").filter(queries.held_out()).select("score", "quality").toPandas()
+    assert ((scored["score"] >= 0.3).astype(int) == scored["quality"]).mean() > 0.9 and scored["score"].between(0, 1).all()
+    got = quality.score_quality(odd, model).collect()
+    assert len(got) == 10 and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if not r.text}) == 1
+    assert quality.score_quality(none, model).count() == 0
+    for part, score in (("quality = 1", 1.0), ("false", 0.5)):
+        flat = quality.fit_quality(docs, labels.filter(part))
+        assert quality.score_quality(docs, flat).agg(F.min("score"), F.max("score")).first() == pytest.approx((score, score))
+    extra = labels.limit(5).unionByName(spark.createDataFrame([(None, 1, 0), (3, None, 0), (4, 7, 0)], labels.schema))
+    assert quality.fit_quality(odd, extra) is not None
+
+
+def test_pipeline(spark, sf, db):
+    """Each stage against what it should keep, by plain Python on what the stage before returned."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    (_, keep_good), (_, drop), (_, redact), (_, mix), (_, encode) = corpus_pipeline.STAGES
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf}/labels.parquet").filter(~queries.held_out()))
+    good = keep_good(spark, docs, sf).persist()
+    assert good.columns == docs.columns
+    scores = {r.doc_id: r.score for r in quality.score_quality(docs, model).select("doc_id", "score").collect()}
+    assert {r.doc_id for r in good.collect()} == {i for i, s in scores.items() if s >= 0.3}
+    one = drop(spark, good, sf).persist()
+    rows = good.orderBy("doc_id").collect()
+    sets = plain_sets([r.text for r in rows])
+    links = [(rows[i].doc_id, rows[j].doc_id) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    named = plain_components([r.doc_id for r in rows], links)
+    assert sorted(r.doc_id for r in one.collect()) == sorted(set(named.values())) and one.columns == docs.columns
+    clean = redact(spark, one, sf).persist()
+    trees, limits = pii.train()
+    before = {r.doc_id: r.text for r in one.collect()}
+    after = {r.doc_id: r.text for r in clean.collect()}
+    assert after == {i: pii._marked(t, pii.find_spans(t, trees, limits)) for i, t in before.items()}
+    mixed = mix(spark, clean, sf).persist()
+    taken = [r.doc_id for r in mixed.collect()]
+    assert mixed.columns == docs.columns and len(taken) == len(set(taken)) and set(taken) <= set(after)
+    words = lambda ids: sum(len(after[i].split()) for i in ids)
+    assert words(taken) <= words(after) * 0.9
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    last = {r.doc_id: r for r in encode(spark, mixed, sf).collect()}
+    assert sorted(last) == sorted(taken)
+    for i in taken:
+        ids = library.encode(after[i]) + [2]
+        assert last[i].n_tokens == len(ids) and last[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert last[i].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_pipeline_stages_odd(spark, sf, odd, none):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none.select(*docs.columns), sf).count() == 0, name
+        out = stage(spark, docs, sf)
+        assert 0 < out.count() <= 10, name
+    assert corpus_pipeline.STAGES[1][1](spark, docs, sf).filter("doc_id = 1").count() == 1
