@@ -220,7 +220,7 @@ def _crossings(mates: DataFrame, groups: DataFrame) -> DataFrame:
     wide = rows.select("main", "key", "comp").distinct().groupBy("main").agg(
         F.sum((F.col("comp") == F.col("main")).cast("bigint")).alias("n_main"), F.count("*").alias("n_all"))
     together = cut_lineage(wide.join(single, "main").select("main", (work("n_main", "n_all") <= F.col("alone")).alias("wide")))
-    units = rows.join(together, "main").select(
+    units = rows.join(broadcast_if_small(together), "main").select(
         F.when(F.col("wide"), F.col("main")).otherwise(F.col("bucket")).alias("unit"), F.when(F.col("wide"), 0).otherwise(2).alias("kind"),
         "main", "key", "comp").distinct()
     units = cut_lineage(units)
