@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# a decimal number as text; casts alone would also take Java's suffixes, as in 5d or 7f
+NUMBER = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
 
 def is_categorical(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StringType, T.CharType, T.VarcharType))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import total
 from tablewright.operators.linear import VECTOR, assemble
 from tablewright.operators.quantiles import exact_quantiles
-from tablewright.operators.trees import Growth, Tree, bin_edges, grow, with_bins
+from tablewright.operators.trees import Growth, Tree, bin_edges, feature_share, grow, with_bins
 from tablewright.session import cut_lineage
 
 CUT_EVERY = 8  # rounds between checkpoints of the running margins
@@ -86,14 +86,15 @@ def _advance(rows: DataFrame, trees: list[Tree], rate: float, turn: int) -> Data
 
 
 def fit_boosted(train: DataFrame, features: Sequence[str], keys: Sequence[str], label: str = "label", classification: bool = True,
-                preset: str = "xgboost", subsample: float = 1.0, colsample_bytree: float = 1.0, seed: int = 42, **knobs) -> BoostedModel:
+                preset: str = "xgboost", subsample: float = 1.0, colsample_bytree: float = 1.0, seed: int = 42, bins: int = 32,
+                **knobs) -> BoostedModel:
     """Second-order boosting with the knobs the three boosting libraries share."""
     unknown = set(knobs) - set(PRESETS["xgboost"])
     if unknown:
         raise ValueError(f"unknown parameters {sorted(unknown)}")
     p = {**PRESETS[preset], **knobs}
     features = list(features)
-    edges = bin_edges(train, features)
+    edges = bin_edges(train, features, bins)
     base = with_bins(train.select(*keys, label, *features), features, edges)
     classes, start = _outputs(base, label, classification)
     if preset == "xgboost" and len(start) > 1:
@@ -128,7 +129,7 @@ def hash_unit(text: str) -> float:
 def fit_gradient_boosting(train: DataFrame, features: Sequence[str], keys: Sequence[str], label: str = "label", classification: bool = True,
                           loss: str | None = None, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3,
                           subsample: float = 1.0, min_samples_leaf: int = 1, min_impurity_decrease: float = 0.0, alpha: float = 0.9,
-                          seed: int = 42) -> BoostedModel:
+                          seed: int = 42, min_samples_split: int = 2, max_features: str | int | float | None = None, bins: int = 32) -> BoostedModel:
     """Friedman's gradient boosting: trees follow the negative gradient, leaves are then set to their best value."""
     # fixed values: accepted losses
     losses = ("log_loss", "exponential") if classification else ("squared_error", "absolute_error", "huber", "quantile")
@@ -136,7 +137,7 @@ def fit_gradient_boosting(train: DataFrame, features: Sequence[str], keys: Seque
     if loss not in losses:
         raise ValueError(f"loss is one of {losses}")
     features = list(features)
-    edges = bin_edges(train, features)
+    edges = bin_edges(train, features, bins)
     base = with_bins(train.select(*keys, label, *features), features, edges)
     classes, start = _outputs(base, label, classification)
     if loss == "exponential":
@@ -151,7 +152,8 @@ def fit_gradient_boosting(train: DataFrame, features: Sequence[str], keys: Seque
     for turn in range(n_estimators):
         residuals, steps = _gradients(rows, loss, label, classes, k, alpha)
         chosen = F.when(_drawn(keys, seed + turn, subsample), 1.0).otherwise(0.0)
-        rule = Growth(max_depth=max_depth, min_child_weight=0.0, min_rows=min_samples_leaf, gamma=min_impurity_decrease, seed=seed + turn)
+        rule = Growth(max_depth=max_depth, min_child_weight=0.0, min_rows=min_samples_leaf, gamma=min_impurity_decrease, seed=seed + turn,
+                      min_split=min_samples_split, feature_share=feature_share(max_features, len(features)))
         trees = grow(rows, features, edges, [(-r * chosen, chosen) for r in residuals], rule)
         if loss != "squared_error":
             trees = [_refit_leaves(rows.filter(chosen > 0), t, r, s, loss, label, alpha, k) for t, r, s in zip(trees, residuals, steps)]

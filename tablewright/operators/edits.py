@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.columns import NUMBER
 from tablewright.operators.rowid import ROW_ID, reset_row_id
 
 # fixed values: the selectable column types
@@ -104,10 +105,49 @@ def _missing(value: Any) -> Any:
     return None if isinstance(value, float) and value != value else value
 
 
+_GROUP = re.compile(r"\(\?P<(\w+)>|\(\?P=(\w+)\)|\\.", re.DOTALL)
+_REFERENCE = re.compile(r"\\g<(\w+)>|\\(\d{1,2})|\\(.)|([$\\])", re.DOTALL)
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\x0b", "a": "\a"}  # fixed values
+
+
+def _group_name(name: str) -> str:
+    """Java group names hold letters and digits only."""
+    return "n" + "".join(c if c.isascii() and c.isalnum() else f"x{ord(c):x}" for c in name)
+
+
+def to_java_pattern(pattern: str) -> str:
+    """Named groups and references to them in Java's spelling."""
+
+    def spell(m: re.Match) -> str:
+        if m.group(1):
+            return f"(?<{_group_name(m.group(1))}>"
+        return f"\\k<{_group_name(m.group(2))}>" if m.group(2) else m.group()
+
+    return _GROUP.sub(spell, pattern)
+
+
 def to_java_replacement(replacement: str) -> str:
-    r"""Back-references ``\1`` and ``\g<1>`` become ``$1``; a literal dollar is escaped."""
-    escaped = replacement.replace("$", r"\$")
-    return re.sub(r"\\(?:g<)?(\d+)>?", r"$\1", escaped)
+    r"""``\1``, ``\g<1>`` and ``\g<name>`` become group references; other escapes and dollars stand for themselves."""
+    out, upto = [], 0
+    for m in _REFERENCE.finditer(replacement):
+        out.append(replacement[upto:m.start()])
+        upto = m.end()
+        name, number, escaped, mark = m.groups()
+        group = number or (name if name and name.isdigit() else None)
+        if group is not None:
+            out.append(f"${int(group)}")
+            if replacement[upto:upto + 1].isdigit():  # a digit that follows is text, not part of the number
+                out.append("\\")
+        elif name:
+            out.append(f"${{{_group_name(name)}}}")
+        elif escaped is not None:
+            text = _ESCAPES.get(escaped, escaped if not escaped.isalpha() else None)
+            if text is None:
+                raise ValueError(f"bad escape \\{escaped} in replacement")
+            out.append(f"\\{text}" if text in "$\\" else text)
+        else:
+            out.append(f"\\{mark}")
+    return "".join([*out, replacement[upto:]])
 
 
 def regex_replace(df: DataFrame, column: str, pattern: str, replacement: str, null_as: str | None = None) -> DataFrame:
@@ -115,7 +155,7 @@ def regex_replace(df: DataFrame, column: str, pattern: str, replacement: str, nu
     text = F.col(column).cast("string")
     if null_as is not None:
         text = F.coalesce(text, F.lit(null_as))
-    return df.withColumn(column, F.regexp_replace(text, pattern, to_java_replacement(replacement)))
+    return df.withColumn(column, F.regexp_replace(text, to_java_pattern(pattern), to_java_replacement(replacement)))
 
 
 def cast_column(df: DataFrame, column: str, dtype: str) -> Column:
@@ -131,6 +171,9 @@ def cast_column(df: DataFrame, column: str, dtype: str) -> Column:
         return F.timestamp_micros(F.floor(source / 1000).cast("bigint")).cast(target)
     if isinstance(kind, T.IntegralType) and isinstance(target, T.DayTimeIntervalType):
         return F.make_dt_interval(secs=(source / F.lit(1e9)).cast("decimal(18,6)"))
+    if isinstance(target, T.DoubleType) and isinstance(kind, T.StringType):
+        wrong = source.isNotNull() & ~F.rlike(source, F.lit(NUMBER))
+        return F.when(wrong, F.raise_error(F.lit(f"column {column} holds texts that are no numbers")).cast("double")).otherwise(source.cast(target))
     return source.cast(target)
 
 
@@ -146,6 +189,8 @@ def conversion_failures(df: DataFrame, column: str, dtype: str) -> DataFrame:
         bad = source.isNotNull() & (source != F.floor(source))
     else:
         bad = source.isNotNull() & source.try_cast(DTYPES[dtype]).isNull()
+        if dtype == "Float64" and isinstance(df.schema[column].dataType, T.StringType):
+            bad = bad | (source.isNotNull() & ~F.rlike(source, F.lit(NUMBER)))
     return df.agg(
         F.lit(column).alias("column"), F.lit(dtype).alias("dtype"), F.count_if(bad).alias("failures")
     )
@@ -187,8 +232,9 @@ def apply_function(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataF
 
 
 def to_number(column: str | Column) -> Column:
-    """The value as a double, or NULL where it is not a number."""
-    number = (F.col(column) if isinstance(column, str) else column).try_cast("double")
+    """The value as a double, or NULL where it is not a number. Texts such as ``5d`` and ``7f`` are none."""
+    source = F.col(column) if isinstance(column, str) else column
+    number = F.when(F.rlike(source.cast("string"), F.lit(NUMBER)), source.try_cast("double"))
     return F.when(F.isnan(number), F.lit(None).cast("double")).otherwise(number)
 
 

@@ -21,9 +21,14 @@ MAPPING_SCHEMA = "column string, value string, code bigint"
 
 
 class EncodingError(ValueError):
-    def __init__(self, column: str, unseen: list[str], expected: list[str]):
+    """``unseen`` and ``expected`` name the first values; ``total`` counts all unseen ones, ``values`` and ``known`` list all of them."""
+
+    def __init__(self, column: str, unseen: list[str], expected: list[str], total: int | None = None, values: DataFrame | None = None,
+                 known: DataFrame | None = None):
         self.column, self.unseen, self.expected = column, sorted(unseen), expected
-        super().__init__(f"column {column} holds values unseen in training: {self.unseen}")
+        self.total, self.values, self.known = len(unseen) if total is None else total, values, known
+        more = f" and {self.total - len(unseen)} more" if self.total > len(unseen) else ""
+        super().__init__(f"column {column} holds values unseen in training: {self.unseen}{more}")
 
 
 @dataclass(frozen=True)
@@ -68,12 +73,15 @@ def unseen_values(df: DataFrame, mapping: Mapping, columns: Sequence[str]) -> Da
 
 
 def require_seen(df: DataFrame, mapping: Mapping, columns: Sequence[str], report: int = 1000) -> None:
-    """Raise for the first column with unseen values; at most ``report`` of them are named."""
-    found = unseen_values(df, mapping, columns).orderBy("column", "value").limit(report).collect()
+    """Raise for the first column with unseen values. The message names ``report`` of them; the error carries all as DataFrames."""
+    unseen = unseen_values(df, mapping, columns)
+    found = unseen.orderBy("column", "value").limit(report).collect()
     if found:
         column = found[0]["column"]
-        expected = [r["value"] for r in mapping.of(column).orderBy("code").limit(report).collect()]
-        raise EncodingError(column, [r["value"] for r in found if r["column"] == column], expected)
+        values, known = unseen.filter(F.col("column") == column).select("value"), mapping.of(column)
+        named = [r["value"] for r in found if r["column"] == column]
+        total = values.count() if len(found) == report else len(named)
+        raise EncodingError(column, named, [r["value"] for r in known.orderBy("code").limit(report).collect()], total, values, known)
 
 
 def encode_codes(df: DataFrame, mapping: Mapping, columns: Sequence[str], handle_unseen: str = "error") -> DataFrame:
@@ -153,7 +161,7 @@ def one_hot_names(mapping: Mapping, columns: Sequence[str]) -> list[tuple[str, s
     """``(column, value, output name)``; a column per category, so categories are bounded by design."""
     wide = [c for c in columns if mapping.cardinality[c] > 10 * CARDINALITY_LIMIT]
     if wide:
-        raise ValueError(f"one-hot encoding would add more than {10 * CARDINALITY_LIMIT} columns for {wide}; use target encoding")
+        raise ValueError(f"one-hot encoding would add more than {10 * CARDINALITY_LIMIT} columns for {wide}; use encode_one_hot_vector")
     names = []
     for c in columns:
         names += [(c, r["value"], f"{c}_{r['value']}") for r in mapping.of(c).orderBy("code").collect()]
@@ -167,6 +175,20 @@ def encode_one_hot(df: DataFrame, mapping: Mapping, columns: Sequence[str]) -> D
     return df.select(*[c for c in df.columns if c not in columns], *flags)
 
 
+def encode_one_hot_vector(df: DataFrame, mapping: Mapping, columns: Sequence[str]) -> DataFrame:
+    """Each column becomes a sparse vector of one indicator per category, however many; an unknown value gives an empty vector."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    coded = encode_codes(df, mapping, columns, "keep")
+    for c in columns:
+        size = mapping.cardinality[c]
+        codes = df.sparkSession.createDataFrame([(float(size),)], f"`{c}` double")  # one code past the last is the unknown one
+        model = OneHotEncoder(inputCols=[c], outputCols=["_hot"], dropLast=True).fit(codes)
+        known = coded.withColumn(c, F.when(F.col(c) >= 0, F.col(c)).otherwise(F.lit(float(size))))
+        coded = model.transform(known).drop(c).withColumnRenamed("_hot", c)
+    return coded.select(*df.columns)
+
+
 def encoding_info(mapping: Mapping, threshold: int = CARDINALITY_LIMIT) -> DataFrame:
     """The mapping with each column's cardinality and whether it deserves a warning."""
     sizes = mapping.table.groupBy("column").agg(F.count("*").alias("cardinality"))

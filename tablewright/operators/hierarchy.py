@@ -15,7 +15,7 @@ from tablewright.operators.kmeans import CenterModel, fit_kmeans
 from tablewright.operators.spanning import cut_tree, spanning_tree
 from tablewright.session import cut_lineage
 
-MICRO_CLUSTERS = 256  # centres the merge step works on
+MICRO_CLUSTERS = 256  # default number of centres the merge step works on
 
 
 def fit_single_linkage(df: DataFrame, features: Sequence[str], id_col: str, n_clusters: int | None = 3, metric: str = "euclidean",
@@ -30,7 +30,7 @@ def fit_single_linkage(df: DataFrame, features: Sequence[str], id_col: str, n_cl
 
 def merge_centers(centers: np.ndarray, sizes: np.ndarray, linkage: str, n_clusters: int | None, threshold: float | None,
                   metric: str = "euclidean") -> np.ndarray:
-    """Lance-Williams merging of at most ``MICRO_CLUSTERS`` weighted centres."""
+    """Lance-Williams merging of weighted centres."""
     m = len(centers)
     d = cross_distances(centers, centers, "euclidean" if linkage == "ward" else Space(metric).name)
     if linkage == "ward":
@@ -64,17 +64,21 @@ def merge_centers(centers: np.ndarray, sizes: np.ndarray, linkage: str, n_cluste
 
 
 def fit_agglomerative(df: DataFrame, features: Sequence[str], id_col: str, n_clusters: int | None = 3, linkage: str = "ward",
-                      metric: str = "euclidean", distance_threshold: float | None = None, seed: int = 42) -> DataFrame:
-    """``(id, cluster)``. Ward, complete and average linkage merge Spark-built micro-clusters; single is exact."""
+                      metric: str = "euclidean", distance_threshold: float | None = None, seed: int = 42,
+                      micro_clusters: int = MICRO_CLUSTERS) -> DataFrame:
+    """``(id, cluster)``. Ward, complete and average linkage merge ``micro_clusters`` Spark-built micro-clusters; single is exact.
+
+    With no more distinct points than micro-clusters, each is its own, and the result is the exact one.
+    """
     if linkage == "single":
         return fit_single_linkage(df, features, id_col, n_clusters, metric, distance_threshold)
     if linkage not in ("ward", "complete", "average"):
         raise ValueError("linkage is ward, complete, average or single")
-    distinct = df.select(*features).distinct().limit(MICRO_CLUSTERS + 1).collect()
-    if len(distinct) <= MICRO_CLUSTERS:
+    distinct = df.select(*features).distinct().limit(micro_clusters + 1).collect()
+    if len(distinct) <= micro_clusters:
         micro = CenterModel(list(features), [[float(v) for v in r] for r in sorted(distinct)])
     else:
-        micro = fit_kmeans(df, features, MICRO_CLUSTERS, max_iter=20, seed=seed)
+        micro = fit_kmeans(df, features, micro_clusters, max_iter=20, seed=seed)
     placed = micro.transform(df, "_micro")
     sizes = {r["_micro"]: r["count"] for r in placed.groupBy("_micro").count().collect()}
     used = sorted(sizes)
@@ -86,7 +90,7 @@ def fit_agglomerative(df: DataFrame, features: Sequence[str], id_col: str, n_clu
 
 
 def fit_birch(df: DataFrame, features: Sequence[str], id_col: str, n_clusters: int | None = 3, threshold: float = 0.5,
-              seed: int = 42) -> DataFrame:
+              seed: int = 42, micro_clusters: int = MICRO_CLUSTERS) -> DataFrame:
     """``(id, cluster)`` through clustering features of radius at most ``threshold``.
 
     The features (n, Σx, Σx²) are sums per cell of a grid whose cells have that radius, so
@@ -99,7 +103,7 @@ def fit_birch(df: DataFrame, features: Sequence[str], id_col: str, n_clusters: i
         named = number_clusters(cells.select("_cell", F.col("_cell").alias("component")))
     else:
         numbered = centers.withColumn("_key", F.col("_cell").cast("string"))
-        named = fit_agglomerative(numbered, features, "_key", n_clusters, "ward", seed=seed).join(
+        named = fit_agglomerative(numbered, features, "_key", n_clusters, "ward", seed=seed, micro_clusters=micro_clusters).join(
             numbered.select("_key", "_cell"), "_key").select("_cell", "cluster")
     return with_cell.join(named, "_cell").select(id_col, "cluster")
 

@@ -100,7 +100,7 @@ def fit_minibatch(df: DataFrame, features: Sequence[str], keys: Sequence[str], n
     def batch(step: int) -> DataFrame:
         if share >= 1.0:
             return cached
-        return cached.filter(F.substring(row_hash(seed + step, *keys), 1, 8) < format(int(share * 16**8), "08x"))
+        return cached.filter(F.substring(row_hash(seed + step, *keys), 1, 15) < format(int(share * 16**15), "015x"))
 
     start = batch(0)
     model = fit_kmeans(start if start.count() >= n_clusters else cached, features, n_clusters, n_init=3, max_iter=5, seed=seed)

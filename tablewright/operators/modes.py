@@ -53,9 +53,11 @@ def kth_distances(points: DataFrame, k: int, space: Space | None = None) -> Data
         found = counts.withColumn("cum", F.sum("n").over(running)).join(state.select("id", "rank"), "id").filter("cum >= rank")
         first = found.groupBy("id").agg(F.min(F.struct("bin", "cum", "n")).alias("f"))
         width = (F.col("hi") - F.col("lo")) / _BINS
-        state = cut_lineage(state.join(first, "id").select(
-            "id", "weight", "vec", (F.col("lo") + F.col("f.bin") * width).alias("lo"), (F.col("lo") + (F.col("f.bin") + 1) * width).alias("hi"),
-            (F.col("rank") - (F.col("f.cum") - F.col("f.n"))).alias("rank")))
+        # a point whose rank falls out of its bracket by rounding keeps the bracket
+        state = cut_lineage(state.join(first, "id", "left").select(
+            "id", "weight", "vec", F.coalesce(F.col("lo") + F.col("f.bin") * width, F.col("lo")).alias("lo"),
+            F.coalesce(F.col("lo") + (F.col("f.bin") + 1) * width, F.col("hi")).alias("hi"),
+            F.coalesce(F.col("rank") - (F.col("f.cum") - F.col("f.n")), F.col("rank")).alias("rank")))
     return state.select("id", "weight", ((F.col("lo") + F.col("hi")) / 2).alias("distance"))
 
 
@@ -220,8 +222,13 @@ def fit_affinity_propagation(df: DataFrame, features: Sequence[str], id_col: str
     exemplars = state.filter("i = k AND r + a > 0").select("k")
     choice = state.join(exemplars, "k").groupBy("i").agg(F.max(F.struct(
         (F.col("i") == F.col("k")).alias("self"), F.col("s"), (-F.col("k")).alias("neg"))).alias("b"))
-    assigned = df.select(F.col(id_col).cast("bigint").alias("i")).join(choice, "i", "left").select(
-        F.col("i").alias(id_col), (-F.col("b.neg")).alias("exemplar"))
+    placed = cut_lineage(choice.select("i", (-F.col("b.neg")).alias("exemplar")))
+    # rows with no exemplar among their neighbours go to the nearest one
+    chosen = df.join(exemplars.select(F.col("k").alias(id_col)), id_col, "left_semi")
+    lost = df.join(placed.select(F.col("i").alias(id_col)), id_col, "left_anti")
+    nearest = nearest_neighbors(lost, chosen, features, id_col, 1, "sqeuclidean")
+    assigned = placed.select(F.col("i").alias(id_col), "exemplar").unionByName(
+        nearest.select(F.col(id_col).cast("bigint").alias(id_col), F.col("neighbor").cast("bigint").alias("exemplar")))
     return number_clusters(assigned.withColumn("_c", F.col("exemplar")), "_c").select(id_col, "cluster", "exemplar")
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.feature import ElementwiseProduct, MinMaxScaler, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,19 +148,44 @@ def prepare_unsupervised(
     return Prepared(ready(ready_df, True), None, features, keys, mapping, None, fitted, [], ready)
 
 
-def column_stages(encoded: Sequence[str], numeric: Sequence[str], scale: bool = True) -> list:
-    """Stages giving ``features``: encoded categories first, then scaled numbers, the rest dropped."""
+class PopulationScaler(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Standard scaling of a vector column by the population deviation.
+
+    Spark's scaler divides by the sample deviation; the fitted model multiplies its result by sqrt(n / (n - 1)).
+    """
+
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None) -> None:
+        super().__init__()
+        self._set(**{k: v for k, v in (("inputCol", inputCol), ("outputCol", outputCol)) if v is not None})
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        middle = f"{self.getOutputCol()}_sample"
+        scaler = StandardScaler(inputCol=self.getInputCol(), outputCol=middle, withMean=True, withStd=True).fit(dataset)
+        n, width = dataset.count(), len(scaler.mean)
+        factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
+        return PipelineModel([scaler, ElementwiseProduct(scalingVec=Vectors.dense([factor] * width), inputCol=middle, outputCol=self.getOutputCol())])
+
+
+def column_stages(encoded: Sequence[str], numeric: Sequence[str], scale: str | bool | None = "standard") -> list:
+    """Stages giving ``features``: encoded categories first, then scaled numbers, the rest dropped.
+
+    ``scale`` is ``"standard"`` (or True), ``"minmax"``, or None (or False).
+    """
     if not encoded and not numeric:
         raise ValueError("no columns to transform")
+    how = {True: "standard", False: None, "none": None}.get(scale, scale)
+    scalers = {"standard": PopulationScaler, "minmax": MinMaxScaler}
+    if how is not None and how not in scalers:
+        raise ValueError("scale is standard, minmax or None")
     stages, parts = [], list(encoded)
     if numeric:
         stages.append(VectorAssembler(inputCols=list(numeric), outputCol="_numbers"))
-        if scale:
-            stages.append(StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True))
-        parts.append("_scaled" if scale else "_numbers")
+        if how is not None:
+            stages.append(scalers[how](inputCol="_numbers", outputCol="_scaled"))
+        parts.append("_scaled" if how is not None else "_numbers")
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
 
 
-def full_stages(encoded: Sequence[str], numeric: Sequence[str], estimator, scale: bool = True) -> Pipeline:
+def full_stages(encoded: Sequence[str], numeric: Sequence[str], estimator, scale: str | bool | None = "standard") -> Pipeline:
     """Preparation and estimator as one object to fit, save and load."""
     return Pipeline(stages=[*column_stages(encoded, numeric, scale), estimator])

@@ -8,6 +8,7 @@ node, a handful of numbers, reaches the driver.
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -19,13 +20,40 @@ from pyspark.sql import functions as F
 from tablewright.operators.linear import SparkModel, VECTOR, assemble
 
 MAX_SPARK_DEPTH = 30  # fixed value: deepest tree Spark accepts
-
-
-def _tree_params(max_depth: int | None, min_samples_leaf: int, min_weight_fraction: float, min_gain: float, seed: int) -> dict:
-    if max_depth is not None and not 1 <= max_depth <= 50:
-        raise ValueError("max_depth lies between 1 and 50")
-    return {"maxDepth": min(max_depth or MAX_SPARK_DEPTH, MAX_SPARK_DEPTH), "minInstancesPerNode": min_samples_leaf,
-            "minWeightFractionPerNode": min_weight_fraction, "minInfoGain": min_gain, "seed": seed}
+DEEPEST = 60  # node numbers double with each level and are 64-bit
+
+
+def _tree_params(max_depth: int | None, min_samples_leaf: int, min_weight_fraction: float, min_gain: float, seed: int,
+                 max_bins: int = 32) -> dict:
+    """``max_depth=None`` is Spark's deepest; deeper trees are refused, not cut."""
+    if max_depth is not None and not 1 <= max_depth <= MAX_SPARK_DEPTH:
+        raise ValueError(f"max_depth lies between 1 and {MAX_SPARK_DEPTH}, the deepest tree Spark grows")
+    return {"maxDepth": max_depth or MAX_SPARK_DEPTH, "minInstancesPerNode": min_samples_leaf,
+            "minWeightFractionPerNode": min_weight_fraction, "minInfoGain": min_gain, "seed": seed, "maxBins": max_bins}
+
+
+def least_leaf(min_samples_leaf: int, min_samples_split: int) -> int:
+    """Spark has no least size of a node to split. Only the values that its leaf rule implies are accepted."""
+    if min_samples_split > max(2, 2 * min_samples_leaf):
+        raise ValueError("min_samples_split above 2 * min_samples_leaf is not supported by Spark's trees; raise min_samples_leaf")
+    return min_samples_leaf
+
+
+def feature_share(max_features: str | int | float | None, size: int) -> float:
+    """The share of ``size`` features tried at a node: ``sqrt``, ``log2``, a count (int), a share (float), or all (None)."""
+    if max_features in (None, "all"):
+        return 1.0
+    if max_features == "sqrt":
+        return max(1, int(size ** 0.5)) / size
+    if max_features == "log2":
+        return max(1, int(math.log2(size))) / size if size > 1 else 1.0
+    if isinstance(max_features, int):
+        if not 1 <= max_features <= size:
+            raise ValueError(f"max_features lies between 1 and {size}")
+        return max_features / size
+    if isinstance(max_features, float) and 0 < max_features <= 1:
+        return max(1, int(max_features * size)) / size
+    raise ValueError("max_features is sqrt, log2, a count, a share or None")
 
 
 def _subset(max_features: str | float | None) -> str:
@@ -34,11 +62,12 @@ def _subset(max_features: str | float | None) -> str:
 
 def fit_tree(train: DataFrame, features: Sequence[str], label: str = "label", classification: bool = True, max_depth: int | None = 5,
              min_samples_leaf: int = 1, criterion: str | None = None, max_features: str | float | None = None,
-             min_impurity_decrease: float = 0.0, seed: int = 42) -> SparkModel:
-    params = _tree_params(max_depth, min_samples_leaf, 0.0, min_impurity_decrease, seed)
+             min_impurity_decrease: float = 0.0, seed: int = 42, min_samples_split: int = 2, max_bins: int = 32) -> SparkModel:
+    min_samples_leaf = least_leaf(min_samples_leaf, min_samples_split)
+    params = _tree_params(max_depth, min_samples_leaf, 0.0, min_impurity_decrease, seed, max_bins)
     if max_features is not None:
         return fit_forest(train, features, label, classification, 1, max_depth, min_samples_leaf, 0.0, max_features,
-                          min_impurity_decrease, False, criterion, seed)
+                          min_impurity_decrease, False, criterion, seed, max_bins=max_bins)
     common = {"featuresCol": VECTOR, "labelCol": label, **params}
     if classification:
         estimator = DecisionTreeClassifier(impurity=_impurity(criterion, True), **common)
@@ -59,8 +88,9 @@ def _impurity(criterion: str | None, classification: bool) -> str:
 def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label", classification: bool = True, n_estimators: int = 100,
                max_depth: int | None = None, min_samples_leaf: int = 1, min_weight_fraction_leaf: float = 0.0,
                max_features: str | float | None = "sqrt", min_impurity_decrease: float = 0.0, bootstrap: bool = True,
-               criterion: str | None = None, seed: int = 42) -> SparkModel:
-    params = _tree_params(max_depth, min_samples_leaf, min_weight_fraction_leaf, min_impurity_decrease, seed)
+               criterion: str | None = None, seed: int = 42, min_samples_split: int = 2, max_bins: int = 32) -> SparkModel:
+    min_samples_leaf = least_leaf(min_samples_leaf, min_samples_split)
+    params = _tree_params(max_depth, min_samples_leaf, min_weight_fraction_leaf, min_impurity_decrease, seed, max_bins)
     common = {"featuresCol": VECTOR, "labelCol": label, "numTrees": n_estimators, "bootstrap": bootstrap,
               "featureSubsetStrategy": _subset(max_features), **params}
     kind = RandomForestClassifier if classification else RandomForestRegressor
@@ -131,6 +161,7 @@ class Growth:
     feature_share: float = 1.0
     random_threshold: bool = False
     seed: int = 42
+    min_split: int = 2
 
 
 def grow(binned: DataFrame, features: Sequence[str], edges: dict[str, list[float]], targets: list[tuple[Column, Column]],
@@ -174,7 +205,7 @@ def grow(binned: DataFrame, features: Sequence[str], edges: dict[str, list[float
         gain = score(F.col("lg"), F.col("lh")) + score(rg, rh) - score(F.col("ag"), F.col("ah"))
         draw = F.pmod(F.xxhash64(F.lit(rule.seed), "t", "node", "f"), F.lit(1_000_003)) / F.lit(1_000_003.0)
         allowed = (F.col("b") < F.col("top")) & (F.col("lh") >= rule.min_child_weight) & (rh >= rule.min_child_weight) & (
-            F.col("ln") >= rule.min_rows) & (F.col("an") - F.col("ln") >= rule.min_rows)
+            F.col("ln") >= rule.min_rows) & (F.col("an") - F.col("ln") >= rule.min_rows) & (F.col("an") >= rule.min_split)
         if rule.random_threshold:
             # the first occupied bin at or beyond the drawn position
             spot = F.col("low") + F.floor(draw * (F.col("top") - F.col("low")))
@@ -232,14 +263,17 @@ class ForestModel:
 
 
 def fit_extra_trees(train: DataFrame, features: Sequence[str], keys: Sequence[str], label: str = "label", classification: bool = True,
-                    n_estimators: int = 100, max_depth: int | None = 8, min_samples_leaf: int = 1, max_features: str | float | None = "sqrt",
-                    bootstrap: bool = False, seed: int = 42, batch: int = 10) -> ForestModel:
-    """Extremely randomised trees. Members grow in batches that share one pass per level."""
+                    n_estimators: int = 100, max_depth: int | None = 8, min_samples_leaf: int = 1, max_features: str | int | float | None = "sqrt",
+                    bootstrap: bool = False, seed: int = 42, batch: int = 10, min_samples_split: int = 2, bins: int = 32) -> ForestModel:
+    """Extremely randomised trees. Members grow in batches that share one pass per level.
+
+    ``max_depth=None`` grows until no node can be split, at most ``DEEPEST`` levels, where node numbers end.
+    """
     features = list(features)
-    share = {"sqrt": len(features) ** -0.5, "log2": 1 / len(features), None: 1.0}.get(max_features, max_features)
-    if max_features == "sqrt" and not classification:
-        share = 1.0
-    edges = bin_edges(train, features)
+    if max_depth is not None and not 1 <= max_depth <= DEEPEST:
+        raise ValueError(f"max_depth lies between 1 and {DEEPEST}")
+    share = feature_share(max_features, len(features))
+    edges = bin_edges(train, features, bins)
     binned = with_bins(train.select(*keys, label, *features), features, edges).persist()
     classes = [float(r[0]) for r in binned.select(label).distinct().orderBy(label).collect()] if classification else None
     trees: list[Tree] = []
@@ -252,7 +286,8 @@ def fit_extra_trees(train: DataFrame, features: Sequence[str], keys: Sequence[st
             for c in classes or [None]:
                 y = F.col(label).cast("double") if c is None else (F.col(label) == c).cast("double")
                 targets.append((-y * copies, copies))
-        rule = Growth(max_depth=max_depth or 12, min_rows=min_samples_leaf, feature_share=float(share), random_threshold=True, seed=seed + first)
+        rule = Growth(max_depth=max_depth or DEEPEST, min_rows=min_samples_leaf, feature_share=share, random_threshold=True, seed=seed + first,
+                      min_split=min_samples_split)
         trees += grow(binned, features, edges, targets, rule)
     binned.unpersist()
     return ForestModel(features, trees, classes)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import bayes, boosting, gradient, hierarchy, kmeans, prepare, scoring, trees
+from tablewright.operators import bayes, boosting, gradient, hierarchy, kmeans, prepare, scaling, scoring, trees
 from tablewright.plans import model_sql as S
 from tablewright.plans.cluster_queries import CUSTOMER_FEATURES, customer_points
 from tablewright.plans.model_queries import ORDER_KEY, orders_with_customers
@@ -15,8 +15,10 @@ from tablewright.streaming import online
 
 
 def _labelled_documents(spark, sf):
-    """Text quality from what is known about a document besides its text."""
-    documents = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
+    """Text quality from counts of a document's characters, its language and its source."""
+    share = {"upper": "[A-Z]", "marks": "[#*$%&|<>!]", "ends": "[.]"}
+    documents = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source", *[
+        (F.regexp_count("text", F.lit(rule)) / F.greatest(F.length("text"), F.lit(1))).alias(name) for name, rule in share.items()])
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     return prepare.prepare_supervised(documents.join(labels, "doc_id"), "quality", ["doc_id"])
 
@@ -121,9 +123,12 @@ def _(spark, sf):
 
 @query("x2_refit_with_new_rows")
 def _(spark, sf):
+    # suppliers join the customers, scaled as these are
+    rows = table(spark, sf, "customer").select("c_custkey", *CUSTOMER_FEATURES)
     points = customer_points(spark, sf)
-    fresh = table(spark, sf, "supplier").select(
-        (F.col("s_suppkey") + 10**9).alias("c_custkey"), *[F.lit(0.0).alias(c) for c in CUSTOMER_FEATURES])
+    suppliers = table(spark, sf, "supplier").select(
+        (F.col("s_suppkey") + 10**9).alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))
+    fresh = scaling.fit_scaler(rows, CUSTOMER_FEATURES, "standard").transform(suppliers).select("c_custkey", *CUSTOMER_FEATURES)
     return scoring.refit_with(points, fresh, lambda both: hierarchy.fit_single_linkage(both, CUSTOMER_FEATURES, "c_custkey", distance_threshold=0.1), "c_custkey")
 
 

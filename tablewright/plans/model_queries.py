@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import vector_columns
 from tablewright.operators import (
-    bayes, crossval, encoding, evaluation, linear, neighbors, prepare, ranking, scaling,
+    bayes, crossval, encoding, evaluation, linear, neighbors, prepare, ranking, scaling, training,
 )
 from tablewright.plans import model_sql as S
 from tablewright.plans.registry import query, table
@@ -51,6 +51,19 @@ def _(spark, sf):
     return _rounded(evaluation.classification_metrics(_order_predictions(spark, sf)))
 
 
+@query("train_and_evaluate_classifier", f"WITH {S.scaled('standard')}{S.gaussian()}{_METRICS_SQL}")
+def _(spark, sf):
+    done = training.train_and_evaluate(orders_with_customers(spark, sf), "o_orderstatus", "gaussian_naive_bayes", "classification", ORDER_KEY)
+    return _rounded(done.metrics)
+
+
+@query("train_and_evaluate_regressor", f"WITH {S.PART_LINE}, pred AS (SELECT label, my + n * cxy / (n * vx + 10.0) * (x - mx) AS prediction FROM prep, g WHERE is_test) {S.REGRESSION_METRICS}")
+def _(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    metrics = training.train_and_evaluate(parts, "p_retailprice", "ridge", "regression", ["p_partkey"], alpha=10.0).metrics
+    return _rounded(metrics, 6, "mse").withColumn("mse", F.round("mse", 4))
+
+
 # --- feature preparation -----------------------------------------------------------------
 
 
@@ -200,8 +213,8 @@ def _(spark, sf):
 
 
 @query("p13_column_stages", """WITH e AS (SELECT p_partkey, (dense_rank() OVER (ORDER BY p_brand) - 1)::DOUBLE AS v0, p_size, p_retailprice FROM part)
-  SELECT p_partkey, v0, round((p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER (), 6) AS v1,
-  round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER (), 6) AS v2 FROM e""")
+  SELECT p_partkey, v0, round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER (), 6) AS v1,
+  round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 6) AS v2 FROM e""")
 def _(spark, sf):
     from pyspark.ml import Pipeline
 
@@ -212,7 +225,13 @@ def _(spark, sf):
     return _rounded(vectors.select("p_partkey", *[F.col("v")[i].alias(f"v{i}") for i in range(3)]))
 
 
-@query("p14_fitted_stages")
+# least squares on two predictors in closed form; neither shift nor scale of a predictor changes the predictions
+@query("p14_fitted_stages", """WITH src AS (SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS a, p_size AS b, p_retailprice AS label FROM part),
+  split AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || p_partkey)) <= ceil(0.2 * (SELECT count(*) FROM src)) AS is_test FROM src),
+  g AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(label) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, label) AS ay,
+    covar_pop(b, label) AS gy FROM split WHERE NOT is_test)
+  SELECT p_partkey, label, round(my + (ay * bb - gy * ab) / (aa * bb - ab * ab) * (a - ma) + (gy * aa - ay * ab) / (aa * bb - ab * ab) * (b - mb), 4) AS prediction
+  FROM split, g WHERE is_test""")
 def _(spark, sf):
     from pyspark.ml.regression import LinearRegression
 
@@ -220,7 +239,7 @@ def _(spark, sf):
     coded = encoding.encode_codes(parts, encoding.fit_codes(parts, ["p_brand"]), ["p_brand"])
     train, test = ranking.train_test_split(coded, ["p_partkey"])
     fitted = prepare.full_stages(["p_brand"], ["p_size"], LinearRegression(featuresCol="features", labelCol="label")).fit(train)
-    return fitted.transform(test).select("p_partkey", "label", "prediction")
+    return fitted.transform(test).select("p_partkey", "label", F.round("prediction", 4).alias("prediction"))
 
 
 # --- evaluation --------------------------------------------------------------------------

@@ -61,9 +61,18 @@ def _(spark, sf):
     return delimited.read_csv(spark, folder)
 
 
-@query("s1_read_parquet", "SELECT event_id, user_id, event_type, value FROM events")
+@query("s1_read_csv_codes", "SELECT p_partkey, p_size || 'd' AS code, p_size::DOUBLE / 2 AS half FROM part")
 def _(spark, sf):
-    return delimited.read_parquet(spark, f"{sf}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    """Texts such as ``5d`` stay texts."""
+    folder = scratch_path(spark, "codes-csv")
+    table(spark, sf, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("d")).alias("code"), (F.col("p_size") / 2).alias("half")).write.option(
+        "header", True).csv(folder)
+    return delimited.read_csv(spark, folder)
+
+
+@query("s1_read_parquet", "SELECT * FROM events")
+def _(spark, sf):
+    return delimited.read_parquet(spark, f"{sf}/events.parquet")
 
 
 @query("s2_export_csv", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS _row_id, c_custkey, c_name, "
@@ -145,6 +154,13 @@ def _(spark, sf):
     return edits.regex_replace(documents, "text", "([aeiou])([rst])", r"\2\1")
 
 
+@query("e6_regex_replace_delimiters", "SELECT doc_id, regexp_replace(text, '([aeiou])([rst])', '<\\1>$|\\2', 'g') AS text FROM documents")
+def _(spark, sf):
+    """Named groups, and references next to brackets and dollars."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return edits.regex_replace(documents, "text", "(?P<vowel_1>[aeiou])([rst])", r"<\g<vowel_1>>$|\g<2>")
+
+
 @query("e7_convert_dtype", """SELECT l_orderkey::VARCHAR AS l_orderkey, l_linenumber::DOUBLE AS l_linenumber,
   l_quantity::BIGINT AS l_quantity, (l_discount <> 0) AS has_discount FROM lineitem""")
 def _(spark, sf):
@@ -195,6 +211,15 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", edits.to_number(tail).alias("number"), edits.is_number(tail).alias("is_number"))
 
 
+@query("e12_is_number_suffix", """SELECT doc_id, TRY_CAST(code AS DOUBLE) AS number, TRY_CAST(code AS DOUBLE) IS NOT NULL AS is_number FROM (
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN n_chars || 'd' WHEN 1 THEN n_chars || 'f' WHEN 2 THEN n_chars || 'e1' ELSE ' ' || n_chars || '.5' END AS code FROM documents)""")
+def _(spark, sf):
+    turn, chars = F.pmod("doc_id", F.lit(4)), F.col("n_chars").cast("string")
+    code = F.when(turn == 0, F.concat(chars, F.lit("d"))).when(turn == 1, F.concat(chars, F.lit("f"))).when(
+        turn == 2, F.concat(chars, F.lit("e1"))).otherwise(F.concat(F.lit(" "), chars, F.lit(".5")))
+    return table(spark, sf, "documents").select("doc_id", edits.to_number(code).alias("number"), edits.is_number(code).alias("is_number"))
+
+
 # --- browse and quality ------------------------------------------------------------------
 
 

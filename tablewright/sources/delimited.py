@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.columns import NUMBER
 from tablewright.operators.rowid import ROW_ID
 
 # fixed values: texts read as missing
@@ -29,8 +30,8 @@ def infer_types(texts: DataFrame) -> T.StructType:
     checks = []
     for c in texts.columns:
         col = F.col(f"`{c}`")
-        for tag, kind in (("l", "bigint"), ("d", "double")):
-            checks.append(F.bool_and(col.isNull() | col.try_cast(kind).isNotNull()).alias(f"{tag}:{c}"))
+        checks.append(F.bool_and(col.isNull() | col.try_cast("bigint").isNotNull()).alias(f"l:{c}"))
+        checks.append(F.bool_and(col.isNull() | (F.rlike(col, F.lit(NUMBER)) & col.try_cast("double").isNotNull())).alias(f"d:{c}"))
         checks.append(F.bool_and(col.isNull() | col.isin("True", "False", "true", "false", "TRUE", "FALSE")).alias(f"b:{c}"))
         checks.append(F.count(col).alias(f"n:{c}"))
     seen = texts.agg(*checks).first().asDict()
