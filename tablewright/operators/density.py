@@ -114,14 +114,13 @@ def fit_optics(df: DataFrame, features: Sequence[str], id_col: str, eps: float,
                max_eps: float = float("inf"), metric: str = "euclidean", p: float = 2.0) -> DataFrame:
     """``(id, cluster, core)``: the reachability structure cut at ``eps``.
 
-    The structure is a spanning tree under mutual reachability; cutting it at another
-    ``eps`` needs no new distances (see ``hierarchy.cut_tree``).
+    The structure is a spanning forest under mutual reachability, of the edges up to ``eps``.
     """
     if not 0 < eps <= max_eps:
         raise ValueError("eps must be positive and at most max_eps")
     points = core_distances(df, features, id_col, min_samples, metric, p)
     reach = points.filter(F.col("core") <= max_eps)
-    tree = spanning_tree(reach, Space(metric, p), core="core")
+    tree = spanning_tree(reach, Space(metric, p), core="core", radius=eps)
     flagged = points.withColumn("core", F.col("core") <= eps)
     components = connected_components(flagged.filter("core").select("id"), tree.filter(F.col("w") <= eps).select("a", "b"))
     return _label(df, features, id_col, flagged, components, eps, Space(metric, p))

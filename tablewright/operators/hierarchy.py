@@ -22,7 +22,7 @@ def fit_single_linkage(df: DataFrame, features: Sequence[str], id_col: str, n_cl
                        distance_threshold: float | None = None) -> DataFrame:
     """``(id, cluster)``, exact; clusters are numbered by their least id."""
     points = cut_lineage(distinct_points(df, features, id_col))
-    tree = spanning_tree(points, Space(metric))
+    tree = spanning_tree(points, Space(metric), radius=distance_threshold)
     groups = cut_tree(points.select("id"), tree, n_clusters if distance_threshold is None else None, distance_threshold)
     labelled = number_clusters(points.join(groups, "id"))
     return _spread_to_copies(df, features, id_col, labelled, "cluster")

@@ -56,31 +56,41 @@ def block_tree(d: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.array(left), np.array(right), np.array(w)
 
 
-def spanning_tree(points: DataFrame, space: Space, core: str | None = None, small: int = SMALL_FOREST) -> DataFrame:
+def spanning_tree(points: DataFrame, space: Space, core: str | None = None, small: int = SMALL_FOREST, radius: float | None = None) -> DataFrame:
     """Minimum spanning tree ``(a, b, w)`` over ``(id, vec)``.
 
     ``core`` names a column of core distances; the edge weight is then the mutual
     reachability. One pass over the block pairs keeps the spanning tree of each pair: an
     edge outside it closes a lighter cycle and cannot be needed. The remaining edges,
     about rows × blocks of them, are reduced by Borůvka rounds on the edge table.
+
+    With ``radius`` only edges up to that weight are wanted: blocks farther apart are never compared, and the result is
+    the spanning forest of those edges.
     """
     points = points.select(F.col("id").cast("bigint").alias("id"), "vec", *([core] if core else []))
 
     def tree_of(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
         ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-        same = len(ia) == len(ib) and set(ia) == set(ib)
-        if not same and ia.min() > ib.min():
+        same = radius is None and len(ia) == len(ib) and set(ia) == set(ib)
+        if radius is None and not same and ia.min() > ib.min():
             return pd.DataFrame({"a": [], "b": [], "w": []})  # the mirrored pair yields these edges
         if core:
             d = np.maximum(d, np.maximum(a[core].to_numpy()[:, None], b[core].to_numpy()[None, :]))
+        if radius is not None:
+            # rows of a block pair overlap here: a point's two copies are joined first, by an edge that is dropped again
+            d = np.where(ia[:, None] == ib[None, :], -1.0, d)
         if same:
             order = np.argsort(ia)
             back = np.argsort(ib)
             d, ia, ib = d[np.ix_(order, back)], ia[order], ib[back]
         x, y, w = block_tree(d, same)
+        if radius is not None:
+            wanted = (ia[x] != ib[y]) & (w <= radius)
+            x, y, w = x[wanted], y[wanted], w[wanted]
         return pd.DataFrame({"a": np.minimum(ia[x], ib[y]), "b": np.maximum(ia[x], ib[y]), "w": w})
 
-    edges = cut_lineage(near_blocks(points, points, "id", tree_of, "a bigint, b bigint, w double", space))
+    found = near_blocks(points, points, "id", tree_of, "a bigint, b bigint, w double", space, radius=radius)
+    edges = cut_lineage(found if radius is None else found.groupBy("a", "b").agg(F.min("w").alias("w")))
     return reduce_forest(points.select("id"), edges, small)
 
 

@@ -264,3 +264,23 @@ def test_affinity_spectral_birch(spark, blobs):
     assert same_partition(labels_of(got), truth)
     assert same_partition(labels_of(modes.fit_spectral(three, ["x", "y"], "id", 3, "rbf", n_neighbors=119, gamma=0.1)), truth)
     assert same_partition(labels_of(hierarchy.fit_birch(three, ["x", "y"], "id", 3, 0.4)), truth)
+
+
+def test_spanning_forest_within_a_radius(spark, monkeypatch):
+    """Cells and blocks of a few rows, so that block pairs share rows; the components are those of all pairs."""
+    import numpy as np
+    from tablewright.functions.distances import Space
+    from tablewright.operators import pairwise, spanning
+
+    monkeypatch.setattr(pairwise, "_SMALL", 20)
+    monkeypatch.setattr(pairwise, "BLOCK", 9)
+    x = np.random.default_rng(8).uniform(0, 10, size=(150, 2))
+    points = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(x)], "id bigint, vec array<double>")
+    for radius in (0.5, 0.9):
+        tree = spanning.spanning_tree(points, Space("euclidean"), radius=radius)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        near, root = d <= radius, np.arange(150)
+        for _ in range(150):
+            root = np.array([root[near[i]].min() for i in range(150)])
+        got = {r.id: r.component for r in spanning.cut_tree(points.select("id"), tree, threshold=np.nextafter(radius, 99)).collect()}
+        assert got == dict(enumerate(root.tolist())) and tree.count() == 150 - len(set(root.tolist()))
