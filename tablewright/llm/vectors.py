@@ -15,7 +15,7 @@ from tablewright.llm.shared import whole_groups
 from tablewright.llm.texts import mix
 from tablewright.session import cut_lineage
 
-TABLES, FUNCTIONS, PROBES = 8, 2, 2  # hash tables, cross-polytope functions joined in a table, further buckets a vector enters
+TABLES, FUNCTIONS, PROBES = 8, 3, 2  # hash tables, cross-polytope functions joined in a table, further buckets a vector enters
 BLOCK = 256  # members of a bucket compared in one group
 PAIRS = 1 << 16  # pairs compared at once
 
