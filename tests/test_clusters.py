@@ -284,3 +284,21 @@ def test_spanning_forest_within_a_radius(spark, monkeypatch):
             root = np.array([root[near[i]].min() for i in range(150)])
         got = {r.id: r.component for r in spanning.cut_tree(points.select("id"), tree, threshold=np.nextafter(radius, 99)).collect()}
         assert got == dict(enumerate(root.tolist())) and tree.count() == 150 - len(set(root.tolist()))
+
+
+def test_streamed_centres_survive_a_restart(spark, blobs, tmp_path):
+    from tablewright.operators import kmeans
+    from tablewright.streaming import online
+
+    start = kmeans.CenterModel(["x", "y"], [[0.0, 0.0], [5.0, 1.0], [1.0, 6.0]])
+    parts = [blobs.filter(f"pmod(id, 3) = {k}").coalesce(1) for k in range(3)]
+    want = start
+    for part in parts:
+        want = kmeans.update_centers(want, part)
+    folder, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    for part in parts:  # each run is a new query, with centres that know nothing of the runs before
+        part.write.mode("append").parquet(folder)
+        got = online.update_on_stream(online.read_stream(spark, folder, blobs, 1), start, progress)
+    assert got.weights == want.weights and all(abs(a - b) < 1e-9 for p, q in zip(got.centers, want.centers) for a, b in zip(p, q))
+    again = online.update_on_stream(online.read_stream(spark, folder, blobs, 1), start, progress)  # nothing new
+    assert again.centers == got.centers
