@@ -10,7 +10,7 @@ scores are calibrated on parts of it that the model did not see, weighted back t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +21,12 @@ from pyspark.sql import types as T
 
 from tablewright.llm.shared import broadcast_if_small
 from tablewright.llm.texts import mix, slices, split_words
+from tablewright.session import cut_lineage
 
 BITS = 17
 SIZE = 1 << BITS
 SAMPLE = 2000  # labelled texts of each class that the linear model is fitted to, at most
+SAMPLE_FEATURES = 24_000_000  # features of these texts together, at most: 4 bytes each on the driver
 EPOCHS, COST = 12, 1.0
 
 
@@ -79,16 +81,19 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.scale[0] * margin + self.scale[1], -500, 500))))
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: float = COST,
+def dual_descent(vector: Callable[[int], tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: float = COST,
                  epochs: int = EPOCHS, seed: int = 5) -> np.ndarray:
-    """Weights of the linear model with hinge loss; the last is the bias. Visits one dual variable at a time, in seeded order."""
+    """Weights of the linear model with hinge loss; the last is the bias. Visits one dual variable at a time, in seeded order.
+
+    ``vector(i)`` gives the positions and values of row ``i``.
+    """
     w, alpha = np.zeros(size + 1), np.zeros(len(y))
-    diag = np.array([float(v @ v) + 1 for v in values])
+    diag = np.array([float(v @ v) + 1 for _, v in map(vector, range(len(y)))])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            f, v = rows[i], values[i]
+            f, v = vector(i)
             gradient = y[i] * (w[f] @ v + w[-1]) - 1
             new = min(max(alpha[i] - gradient / diag[i], 0.0), cost)
             step = (new - alpha[i]) * y[i]
@@ -139,12 +144,13 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-                sample: int = SAMPLE, cost: float = COST, epochs: int = EPOCHS, smoothing: float = 1.0) -> QualityModel:
+                sample: int = SAMPLE, cost: float = COST, epochs: int = EPOCHS, smoothing: float = 1.0,
+                sample_features: int = SAMPLE_FEATURES) -> QualityModel:
     """A model of ``label`` (0 or 1) from the texts of ``docs`` whose key has a label.
 
     Rows of ``labels`` with a NULL or other label or key are left out; of several labels of a key the larger counts. Labels are
     joined by key and nothing but the text is an input. ``sample`` bounds the texts of each class that the linear model is
-    fitted to, the first by a hash of the key. With labels of one class only, or none, every score is that class or 0.5.
+    fitted to, the first by a hash of the key, and ``sample_features`` their features together. With labels of one class only, or none, every score is that class or 0.5.
     """
     marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     marked = marked.withColumn("place", F.md5(F.col("key").cast("string")))
@@ -165,25 +171,33 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     for y in (0, 1):
         own = marked.filter(F.col("y") == y).orderBy("place").limit(sample)
         chosen = own if chosen is None else chosen.unionByName(own)
-    rows = texts.join(F.broadcast(chosen), "key").select("text", "y", "place").mapInArrow(_listed, "features array<int>, y int, place string").toPandas()
-    rows = rows.sort_values("place", kind="stable")
-    y = rows["y"].to_numpy()
-    features = [np.asarray(f, dtype=np.int64) for f in rows["features"]]
-    values = []
-    for f in features:
+    rows = cut_lineage(texts.join(F.broadcast(chosen), "key").select("text", "y", "place").mapInArrow(_listed, "features array<int>, y int, place string"))
+    sizes = sorted((r["place"], r["n"]) for r in rows.select("place", F.size("features").alias("n")).collect())
+    within = int(np.searchsorted(np.cumsum([n for _, n in sizes]), sample_features, side="right"))
+    if within < len(sizes):  # both classes end at the same place of the hash order
+        rows = rows.filter(F.col("place") < sizes[within][0])
+    held = rows.toArrow().sort_by("place").combine_chunks()
+    y = held["y"].to_numpy()
+    lists = held["features"].chunk(0) if held.num_rows else pa.array([], pa.list_(pa.int32()))
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+
+    def vector(i: int) -> tuple[np.ndarray, np.ndarray]:
+        f = flat[ends[i]:ends[i + 1]]
         v = ratio[f]
         length = np.sqrt(v @ v)
-        values.append(v / length if length else v)
+        return f, v / length if length else v
+
     sign, fold = 2.0 * y - 1, np.arange(len(y)) % 3
     margins = np.zeros(len(y))
     for k in range(3):
         train = np.flatnonzero(fold != k)
-        w = dual_descent([features[i] for i in train], [values[i] for i in train], sign[train], SIZE, cost, epochs)
+        w = dual_descent(lambda i, train=train: vector(train[i]), sign[train], SIZE, cost, epochs)
         for i in np.flatnonzero(fold == k):
-            margins[i] = w[features[i]] @ values[i] + w[-1]
+            f, v = vector(i)
+            margins[i] = w[f] @ v + w[-1]
     weight = np.where(y == 1, have[1] / max((y == 1).sum(), 1), have[0] / max((y == 0).sum(), 1))
     scale = _calibrate(margins, y.astype(float), weight / weight.mean())
-    w = dual_descent(features, values, sign, SIZE, cost, epochs)
+    w = dual_descent(vector, sign, SIZE, cost, epochs)
     return QualityModel(w[:-1] * ratio, ratio**2, float(w[-1]), scale)
 
 

@@ -180,7 +180,7 @@ def test_dual_descent_meets_the_optimality_conditions():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 5))
     y = np.where(x[:, 0] + 0.3 * rng.normal(size=200) > 0, 1.0, -1.0)
-    w = quality.dual_descent([np.arange(5)] * 200, list(x), y, 5, cost=1.0, epochs=3000)
+    w = quality.dual_descent(lambda i: (np.arange(5), x[i]), y, 5, cost=1.0, epochs=3000)
 
     def objective(v):
         return v @ v / 2 + np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])).sum()
