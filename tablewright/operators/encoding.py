@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,17 +33,24 @@ class EncodingError(ValueError):
 
 @dataclass(frozen=True)
 class Mapping:
-    """``(column, value, code)`` with the measured number of values per column."""
+    """``(column, value, code)`` with the measured number of values per column, and their length in bytes."""
 
     table: DataFrame
     cardinality: dict[str, int]
+    bytes: dict[str, int] = field(default_factory=dict)
 
     def of(self, column: str) -> DataFrame:
         return self.table.filter(F.col("column") == column).select("value", "code")
 
     def hinted(self, column: str) -> DataFrame:
         part = self.of(column)
-        return F.broadcast(part) if fits_broadcast(self.cardinality.get(column, 0), 2) else part
+        return F.broadcast(part) if fits_broadcast(self.cardinality.get(column, 0), 2, text_bytes=self.bytes.get(column, 0)) else part
+
+
+def _measured(values: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """Number and bytes of the values of each column."""
+    rows = values.groupBy("column").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("b")).collect()
+    return {r["column"]: r["n"] for r in rows}, {r["column"]: r["b"] for r in rows}
 
 
 def fit_codes(train: DataFrame, columns: Sequence[str]) -> Mapping:
@@ -52,7 +59,7 @@ def fit_codes(train: DataFrame, columns: Sequence[str]) -> Mapping:
     if not columns:
         return Mapping(spark.createDataFrame([], MAPPING_SCHEMA), {})
     values = long_form(train, columns).filter("value IS NOT NULL").distinct().persist()
-    sizes = {r["column"]: r["count"] for r in values.groupBy("column").count().collect()}
+    sizes, lengths = _measured(values)
     if max(sizes.values(), default=0) <= WINDOW_LIMIT:
         order = Window.partitionBy("column").orderBy("value")
         coded = values.withColumn("code", (F.row_number().over(order) - 1).cast("bigint"))
@@ -60,14 +67,14 @@ def fit_codes(train: DataFrame, columns: Sequence[str]) -> Mapping:
         numbered = add_row_id(values, ["column", "value"], "_n")
         first = numbered.groupBy("column").agg(F.min("_n").alias("_first"))
         coded = numbered.join(F.broadcast(first), "column").withColumn("code", F.col("_n") - F.col("_first"))
-    return Mapping(coded.select("column", "value", "code").persist(), sizes)
+    return Mapping(coded.select("column", "value", "code").persist(), sizes, lengths)
 
 
 def unseen_values(df: DataFrame, mapping: Mapping, columns: Sequence[str]) -> DataFrame:
     """``(column, value)`` pairs that training never saw."""
     present = long_form(df, columns).filter("value IS NOT NULL").distinct()
     known = mapping.table.select("column", "value")
-    if fits_broadcast(sum(mapping.cardinality.values()), 2):
+    if fits_broadcast(sum(mapping.cardinality.values()), 2, text_bytes=sum(mapping.bytes.values())):
         known = F.broadcast(known)
     return present.join(known, ["column", "value"], "left_anti")
 
@@ -128,18 +135,19 @@ class TargetMeans:
     tables: dict[str, DataFrame]  # suffix -> (column, value, encoded)
     defaults: dict[str, float]
     cardinality: dict[str, int]
+    bytes: dict[str, int] = field(default_factory=dict)
 
 
 def fit_target_encoder(train: DataFrame, columns: Sequence[str], label: str, classes: Sequence[float] = ()) -> TargetMeans:
     """One encoding, or one per class when the label has three or more."""
-    sizes = {r["column"]: r["count"] for r in long_form(train, columns).distinct().groupBy("column").count().collect()}
+    sizes, lengths = _measured(long_form(train, columns).distinct())
     targets = {f"_{int(c)}": c for c in classes} if len(classes) > 2 else {"": None}
     tables, defaults = {}, {}
     for suffix, value in targets.items():
         y = F.col(label).cast("double") if value is None else (F.col(label) == value).cast("double")
         defaults[suffix] = train.agg(F.avg(y)).first()[0]
         tables[suffix] = fit_target_means(train, columns, label, value).persist()
-    return TargetMeans(tables, defaults, sizes)
+    return TargetMeans(tables, defaults, sizes, lengths)
 
 
 def encode_target(df: DataFrame, means: TargetMeans, columns: Sequence[str]) -> DataFrame:
@@ -149,7 +157,7 @@ def encode_target(df: DataFrame, means: TargetMeans, columns: Sequence[str]) ->
     for c in columns:
         for suffix, table in means.tables.items():
             side = table.filter(F.col("column") == c).select(F.col("value").alias("_value"), F.col("encoded").alias("_enc"))
-            side = F.broadcast(side) if fits_broadcast(means.cardinality.get(c, 0)) else side
+            side = F.broadcast(side) if fits_broadcast(means.cardinality.get(c, 0), text_bytes=means.bytes.get(c, 0)) else side
             df = df.join(side, df[c].cast("string") == F.col("_value"), "left")
             name = f"_t{len(added)}"
             df = df.withColumn(name, F.coalesce("_enc", F.lit(means.defaults[suffix]))).drop("_value", "_enc")

@@ -56,6 +56,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits_broadcast(rows: int, columns: int = 2, limit_mb: int = 64) -> bool:
-    """Size check behind every explicit broadcast: ``rows`` must be a measured count."""
-    return rows * max(columns, 1) * 32 <= limit_mb * 1024 * 1024
+def fits_broadcast(rows: int, columns: int = 2, limit_mb: int = 64, text_bytes: int = 0) -> bool:
+    """Size check behind every explicit broadcast: ``rows`` and, where cells are texts, ``text_bytes`` must be measured."""
+    return rows * max(columns, 1) * 32 + 2 * text_bytes <= limit_mb * 1024 * 1024
