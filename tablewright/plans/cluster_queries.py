@@ -88,7 +88,7 @@ def _(spark, sf):
 def _(spark, sf):
     parts = []
     for kind in ("full", "tied", "diag", "spherical"):
-        model = mixture.fit_mixture(customer_points(spark, sf), CUSTOMER_FEATURES, 3, kind, max_iter=15)
+        model = mixture.fit_mixture(customer_points(spark, sf), CUSTOMER_FEATURES, 3, kind)
         parts.append(model.criteria(spark).withColumn("covariance", F.lit(kind)))
     result = parts[0]
     for p in parts[1:]:
@@ -125,24 +125,24 @@ def _(spark, sf):
 @query("c2_minibatch_kmeans")
 def _(spark, sf):
     points = customer_points(spark, sf)
-    return kmeans.fit_minibatch(points, CUSTOMER_FEATURES, ["c_custkey"], 3, batch_size=256, max_iter=10).transform(points).select("c_custkey", "cluster")
+    return kmeans.fit_minibatch(points, CUSTOMER_FEATURES, ["c_custkey"], 3).transform(points).select("c_custkey", "cluster")
 
 
 @query("c3_elbow")
 def _(spark, sf):
-    return kmeans.elbow(customer_points(spark, sf), CUSTOMER_FEATURES, max_clusters=6)
+    return kmeans.elbow(customer_points(spark, sf), CUSTOMER_FEATURES)
 
 
 @query("c4_gaussian_mixture")
 def _(spark, sf):
     points = customer_points(spark, sf)
-    return mixture.fit_mixture(points, CUSTOMER_FEATURES, 3, "full", max_iter=20).transform(points).select("c_custkey", "cluster")
+    return mixture.fit_mixture(points, CUSTOMER_FEATURES, 3, "full").transform(points).select("c_custkey", "cluster")
 
 
 @query("c4_gaussian_mixture_diagonal")
 def _(spark, sf):
     points = customer_points(spark, sf)
-    return mixture.fit_mixture(points, CUSTOMER_FEATURES, 3, "diag", max_iter=20).transform(points).select("c_custkey", "cluster")
+    return mixture.fit_mixture(points, CUSTOMER_FEATURES, 3, "diag").transform(points).select("c_custkey", "cluster")
 
 
 # --- density and hierarchy ---------------------------------------------------------------
