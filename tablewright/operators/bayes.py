@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import total
+from tablewright.session import fits_broadcast
 
 ALPHA_FLOOR = 1e-10  # fixed value: least smoothing unless force_alpha
 
@@ -118,23 +119,68 @@ def fit_bernoulli(train: DataFrame, features: Sequence[str], label: str = "label
     return ScoreModel([float(r[label]) for r in rows], scores)
 
 
+@dataclass(frozen=True)
+class CategoricalModel:
+    """Log frequencies by feature and category as a table ``(f, k, logs)``, an array entry for each class."""
+
+    features: list[str]
+    classes: list[float]
+    priors: list[float]
+    table: DataFrame
+    cells: int  # measured rows of the table
+    widths: list[int]  # categories of each feature
+    unseen: list[list[float]]  # log frequency of a category that no class shows, by feature and class
+
+    def _summed(self, df: DataFrame) -> Column:
+        whole = F.array(*[F.lit(v) for v in self.priors])
+        for i, (f, width, rest) in enumerate(zip(self.features, self.widths, self.unseen)):
+            code = F.col(f).cast("bigint")
+            known = (code >= 0) & (code < width)
+            error = F.raise_error(F.concat(F.lit(f"column {f} holds a code unseen in training: "), code.cast("string"))).cast("array<double>")
+            logs = F.when(code.isNull() | known, F.coalesce(F.col(f"_logs{i}"), F.array(*[F.lit(v) for v in rest]))).otherwise(error)
+            whole = F.zip_with(whole, logs, lambda x, y: x + y)
+        return whole
+
+    def _joined(self, df: DataFrame) -> DataFrame:
+        for i, f in enumerate(self.features):
+            side = self.table.filter(F.col("f") == i).select(F.col("k").alias(f"_k{i}"), F.col("logs").alias(f"_logs{i}"))
+            side = F.broadcast(side) if fits_broadcast(self.cells, 2 + len(self.classes)) else side
+            df = df.join(side, df[f].cast("bigint") == F.col(f"_k{i}"), "left")
+        return df
+
+    def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
+        scored = self._joined(df).withColumn("_scores", self._summed(df))
+        at = F.array_position("_scores", F.array_max("_scores")).cast("int")
+        return scored.select(*[c for c in df.columns if c != prediction], F.element_at(F.array(*[F.lit(c) for c in self.classes]), at).alias(prediction))
+
+    def transform_scores(self, df: DataFrame) -> DataFrame:
+        scored = self._joined(df).withColumn("_scores", self._summed(df))
+        return scored.select(*df.columns, *[F.col("_scores")[i].alias(f"score_{c:g}") for i, c in enumerate(self.classes)])
+
+
 def fit_categorical(train: DataFrame, features: Sequence[str], label: str = "label", alpha: float = 1.0,
-                    min_categories: int | None = None, force_alpha: bool = True, fit_prior: bool = True) -> ScoreModel:
-    """Smoothed category frequencies per class. Features are codes 0..; a code beyond training is an error."""
+                    min_categories: int | None = None, force_alpha: bool = True, fit_prior: bool = True) -> CategoricalModel:
+    """Smoothed category frequencies per class. Features are codes 0..; a code beyond training is an error.
+
+    The frequencies stay a table that scoring joins; only class sizes and the number of categories reach the driver.
+    """
     _require_non_negative(train, features)
     a = _alpha(alpha, force_alpha)
+    sizes = {float(r[label]): r["count"] for r in train.groupBy(label).count().collect()}
+    classes = sorted(sizes)
     cells = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).cast("bigint").alias("k")) for i, f in enumerate(features)])
-    long = train.select(F.col(label), F.inline(cells)).groupBy(label, "f", "k").agg(F.count("*").alias("n"))
-    table = {(float(r[label]), r["f"], r["k"]): r["n"] for r in long.collect()}
-    sizes = {r[label]: r["count"] for r in train.groupBy(label).count().orderBy(label).collect()}
-    classes = sorted(float(c) for c in sizes)
-    width = [max((k for _, g, k in table if g == i), default=0) + 1 for i in range(len(features))]
-    width = [max(w, min_categories or 0) for w in width]
-    scores = []
-    for c, prior in zip(classes, _priors([sizes[c] for c in classes], fit_prior)):
-        terms = []
-        for i, f in enumerate(features):
-            logs = [math.log((table.get((c, i, k), 0) + a) / (sizes[c] + a * width[i])) for k in range(width[i])]
-            terms.append(F.element_at(F.array(*[F.lit(v) for v in logs]), F.col(f).cast("int") + 1))
-        scores.append(F.lit(prior) + total(terms))
-    return ScoreModel(classes, scores)
+    # one row a category, with its count in every class: groups are combined before the shuffle
+    hits = [F.count_if(F.col(label).cast("double") == c).cast("double") for c in classes]
+    counts = train.select(label, F.inline(cells)).filter("k IS NOT NULL").groupBy("f", "k").agg(F.array(*hits).alias("n")).persist()
+    seen = {r["f"]: (r["w"], r["cells"]) for r in counts.groupBy("f").agg((F.max("k") + 1).alias("w"), F.count("*").alias("cells")).collect()}
+    widths = [max(seen.get(i, (1, 0))[0], min_categories or 0) for i in range(len(features))]
+
+    def log_share(hit: float, c: float, i: int) -> float:
+        top, bottom = hit + a, sizes[c] + a * widths[i]
+        return math.log(top / bottom) if top > 0 else float("-inf")
+
+    unseen = [[log_share(0.0, c, i) for c in classes] for i in range(len(features))]
+    bottoms = F.element_at(F.array(*[F.array(*[F.lit(float(sizes[c] + a * w)) for c in classes]) for w in widths]), F.col("f") + 1)
+    logs = F.zip_with("n", bottoms, lambda n, b: F.when(n + a > 0, F.log((n + a) / b)).otherwise(float("-inf")))
+    return CategoricalModel(list(features), classes, _priors([sizes[c] for c in classes], fit_prior), counts.select("f", "k", logs.alias("logs")),
+                            sum(n for _, n in seen.values()), widths, unseen)

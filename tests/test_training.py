@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tablewright.operators import edits, encoding, modes, prepare, quality, training, trees
+from tablewright.operators import bayes, edits, encoding, modes, prepare, quality, training, trees
 from tablewright.sources import delimited
 
 
@@ -133,3 +133,24 @@ def test_one_hot_vector_past_the_column_limit(spark):
 def test_every_row_has_an_exemplar(blobs):
     got = modes.fit_affinity_propagation(blobs, ["x", "y"], "id", n_neighbors=4, max_iter=30)
     assert got.filter("cluster = -1 OR exemplar IS NULL").count() == 0 and got.count() == blobs.count()
+
+
+def test_categorical_counts_stay_a_table(spark):
+    """A hot category, a category only one class shows, and a code that training never saw."""
+    rows = [(float(i % 2), 0.0 if i % 10 else 1.0 + i % 3, float(i % 4)) for i in range(400)] + [(1.0, 9.0, 0.0)]
+    train = spark.createDataFrame(rows, "label double, a double, b double")
+    model = bayes.fit_categorical(train, ["a", "b"])
+    got = model.transform_scores(spark.createDataFrame([(9.0, 0.0), (5.0, 3.0)], "a double, b double")).collect()
+
+    def score(c, codes):
+        own = [r for r in rows if r[0] == c]
+        out = np.log(len(own) / len(rows))
+        for i, (code, width) in enumerate(zip(codes, (10, 4))):
+            out += np.log((sum(r[1 + i] == code for r in own) + 1) / (len(own) + width))
+        return out
+
+    for r in got:
+        assert np.allclose([r.score_0, r.score_1], [score(0.0, (r.a, r.b)), score(1.0, (r.a, r.b))])
+    assert model.transform(train).count() == len(rows)
+    with pytest.raises(Exception, match="unseen in training"):
+        model.transform(spark.createDataFrame([(10.0, 0.0)], "a double, b double")).collect()
