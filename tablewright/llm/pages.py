@@ -2,9 +2,10 @@
 
 The standard library's parser streams its events into lines: a line is the text between two block-level tags. A line's
 ratio is its characters over its tags. Ratios are smoothed along the page, and lines whose smoothed ratio reaches the
-standard deviation of all form the content cluster. Content lines select regions (an article, or the nearest block that holds
-them); a selected region gives all of its lines, so a short paragraph between long ones stays. Elements that by their tag,
-role, class or id are menus, headers, footers, sidebars, notices, adverts, forms or comments never take part.
+standard deviation of all form the content cluster. Content lines select regions: the articles that hold any, or without
+articles the smallest block that holds most of the content. A selected region gives all of its lines, so a short paragraph
+between long ones stays. Elements that by their tag, role, class or id are menus, headers, footers, sidebars, notices, adverts,
+forms or comments never take part; of an article's own header the heading does.
 """
 
 from __future__ import annotations
@@ -32,7 +33,12 @@ SIBLINGS = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd
 NOISE_WORDS = frozenset("""ad ads adbox adsense adslot advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion sidebar menu navbar nav
  navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup social share sharing
  related recommended recommendations comment comments commentlist respond reply replies disqus discussion popup modal overlay widget widgets toolbar topbar pagination
- pager login search copyright legal disclaimer skip skiplink teaser outbrain taboola paywall""".split())
+ pager login search copyright legal disclaimer skip skiplink teaser outbrain taboola paywall feedback responses guestbook""".split())
+NOISE_STEMS = ("advert", "adsense", "adslot", "adunit", "adbanner", "adcontainer", "sponsor", "promo", "cookie", "sidebar", "navbar", "navigation", "breadcrumb",
+               "newsletter", "subscri", "recommend", "popup", "paginat", "disqus", "commentlist", "commentform")
+HEADER_WORDS = frozenset("header masthead".split())
+ARTICLE_WORDS = frozenset("article post entry story content".split())
+MOST = 0.8  # share of the content that the chosen block holds on pages without articles
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _NAMES = re.compile(r"[A-Za-z0-9]+")
@@ -40,16 +46,16 @@ RADIUS = 2
 
 
 class _Lines(HTMLParser):
-    """Collects ``[text, tags, link characters, region, in an article]`` for each line."""
+    """Collects ``(text, tags, link characters, region, in an article, in a list item, enclosing blocks, first heading)`` for each line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # open elements: (tag, in furniture, in a page header, region, in an article, in a link)
-        self.open: list[tuple[str, bool, bool, int, bool, bool]] = [("", False, False, 0, False, False)]
-        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
+        # open elements: (tag, in furniture, in a header (1: of the page, 2: of an article), region, in an article, in a link, enclosing blocks)
+        self.open: list[tuple[str, bool, int, int, bool, bool, tuple[int, ...]]] = [("", False, 0, 0, False, False, (0,))]
+        self.lines: list[tuple[str, int, int, int, bool, bool, tuple[int, ...], bool]] = []
         self.text: list[str] = []
         self.tags = self.links = self.regions = 0
-        self.kind = (0, False, False)
+        self.kind: tuple = (0, False, False, (0,), False)
 
     def _cut(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -71,14 +77,22 @@ class _Lines(HTMLParser):
         if tag in SIBLINGS:
             for same in ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,):
                 self._close(same, SIBLINGS[tag])
-        _, noise, header, region, inside, link = self.open[-1]
+        _, noise, header, region, inside, link, path = self.open[-1]
         if tag in REGIONS or tag in HOLDERS and not inside:
             self.regions += 1
-            region, inside = self.regions, inside or tag in REGIONS
+            region, inside, path = self.regions, inside or tag in REGIONS, (*path, self.regions)
         if not noise:
             noise = tag in NOISE_TAGS or bool(attrs) and self._furniture(tag, attrs)
-        header = header or tag == "header" or tag == "hgroup" and header
-        self.open.append((tag, noise, header, region, inside, link or tag == "a"))
+        if not header:
+            header = 1 if tag == "header" else self._header(tag, attrs) if attrs else 0
+            header = 2 if header and inside else header
+        self.open.append((tag, noise, header, region, inside, link or tag == "a", path))
+
+    def _header(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        if tag in ("html", "body", "main", "article"):
+            return 0
+        words = {w.lower() for name, value in attrs if value and name in ("class", "id") for w in _NAMES.findall(value) + _PARTS.findall(value)}
+        return 0 if not words & HEADER_WORDS else 2 if words & ARTICLE_WORDS else 1
 
     def _furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         for name, value in attrs:
@@ -88,7 +102,8 @@ class _Lines(HTMLParser):
                 continue
             if name == "role" and value.lower() in NOISE_ROLES or name == "style" and "display:none" in value.replace(" ", "").lower():
                 return True
-            if name in ("class", "id") and any(p.lower() in NOISE_WORDS for p in _NAMES.findall(value) + _PARTS.findall(value)):
+            if name in ("class", "id") and any(
+                    p in NOISE_WORDS or p.startswith(NOISE_STEMS) for p in map(str.lower, _NAMES.findall(value) + _PARTS.findall(value))):
                 return True
         return False
 
@@ -111,13 +126,11 @@ class _Lines(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        _, noise, header, region, inside, link = self.open[-1]
-        if noise:
+        _, noise, header, region, inside, link, path = self.open[-1]
+        if noise or header == 1 or header == 2 and not any(e[0] in HEADINGS for e in self.open):
             return
-        if header and not (inside and any(e[0] in HEADINGS for e in self.open)):
-            return  # of an article's header only the heading is text
         if not self.text:
-            self.kind = (region, inside, any(e[0] == "li" for e in self.open))
+            self.kind = (region, inside, any(e[0] == "li" for e in self.open), path, any(e[0] == "h1" for e in self.open))
         self.text.append(data)
         if link:
             self.links += len(data)
@@ -142,9 +155,18 @@ def main_text(html: str) -> str:
         return ""
     ratio = smooth(np.array([len(x[0]) / max(x[1], 1) for x in lines], dtype=float))
     content = ratio >= min(ratio.std(), ratio.max())
-    within = any(c and x[4] for c, x in zip(content, lines))  # articles, if they hold content, are all there is
-    regions = {x[3] for c, x in zip(content, lines) if c and x[4] == within}
-    return "\n".join(x[0] for x in lines if x[3] in regions and x[4] == within)
+    if any(c and x[4] for c, x in zip(content, lines)):  # articles, if they hold content, are all there is
+        regions = {x[3] for c, x in zip(content, lines) if c and x[4]}
+        return "\n".join(x[0] for x in lines if x[4] and x[3] in regions)
+    held: dict[int, int] = {}
+    for c, x in zip(content, lines):
+        for block in x[6] if c else ():
+            held[block] = held.get(block, 0) + len(x[0])
+    # blocks are numbered from the outside in, so the last one that holds enough is the smallest
+    chosen = max(block for block, size in held.items() if size >= MOST * held[0])
+    first = next(i for i, x in enumerate(lines) if chosen in x[6])
+    title = [x for x in lines[:first] if x[7]][-1:] if not any(x[7] for x in lines if chosen in x[6]) else []  # its heading may stand before it
+    return "\n".join(x[0] for x in [*title, *(x for x in lines if chosen in x[6])])
 
 
 def extract_text(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

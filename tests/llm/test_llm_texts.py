@@ -225,6 +225,9 @@ def test_table_is_filled_by_turns():
      "<div class='sideBar'>Other</div><aside>x</aside><form>Name <p>s</form><div class=cookie-notice>We use</div>", "Title\nLong paragraph of text that is here.\nShort."),
     ("<ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div><p>Here is a real paragraph of words.</p></div>", "Here is a real paragraph of words."),
     ("<article><p>Main article text is here.</article><section class=comments><article><p>A long comment of a reader, longer than the text.</article></section>", "Main article text is here."),
+    ("<div id=header><p>The Site of Many Words and more of them</div><div class=wrap><div class='post-header'><h1>Head</h1><p>by me</div><div class=text><div>A long first"
+     " paragraph of text, quite long.</div><div>Ok.</div><div>Another long paragraph of the text, as long.</div></div></div><div class=adsBox2>Buy</div>",
+     "Head\nA long first paragraph of text, quite long.\nOk.\nAnother long paragraph of the text, as long."),
     ("<div hidden>h</div><div style='display: none'>n</div><p>shown</p><p role=alert>x</p>", "shown"),
 ])
 def test_main_text(html, text):
