@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -41,21 +42,24 @@ ARTICLE_WORDS = frozenset("article post entry story content".split())
 MOST = 0.8  # share of the content that the chosen block holds on pages without articles
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 _NAMES = re.compile(r"[A-Za-z0-9]+")
 RADIUS = 2
 
 
 class _Lines(HTMLParser):
-    """Collects ``(text, tags, link characters, region, in an article, in a list item, enclosing blocks, first heading)`` for each line."""
+    """Collects ``(text, tags, link characters, region, in an article, in a list item, first heading)`` for each line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # open elements: (tag, in furniture, in a header (1: of the page, 2: of an article), region, in an article, in a link, enclosing blocks)
-        self.open: list[tuple[str, bool, int, int, bool, bool, tuple[int, ...]]] = [("", False, 0, 0, False, False, (0,))]
-        self.lines: list[tuple[str, int, int, int, bool, bool, tuple[int, ...], bool]] = []
+        # open elements: (tag, in furniture, in a header (1: of the page, 2: of an article), region, in an article, in a link, list item, heading, h1)
+        self.open: list[tuple[str, bool, int, int, bool, bool, bool, bool, bool]] = [("", False, 0, 0, False, False, False, False, False)]
+        self.count: dict[str, int] = {}  # open elements by tag
+        self.parent = [-1]  # enclosing region of each region
+        self.lines: list[tuple[str, int, int, int, bool, bool, bool]] = []
         self.text: list[str] = []
-        self.tags = self.links = self.regions = 0
-        self.kind: tuple = (0, False, False, (0,), False)
+        self.tags = self.links = 0
+        self.kind: tuple = (0, False, False, False)
 
     def _cut(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -77,16 +81,17 @@ class _Lines(HTMLParser):
         if tag in SIBLINGS:
             for same in ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,):
                 self._close(same, SIBLINGS[tag])
-        _, noise, header, region, inside, link, path = self.open[-1]
+        _, noise, header, region, inside, link, item, heading, first = self.open[-1]
         if tag in REGIONS or tag in HOLDERS and not inside:
-            self.regions += 1
-            region, inside, path = self.regions, inside or tag in REGIONS, (*path, self.regions)
+            self.parent.append(region)
+            region, inside = len(self.parent) - 1, inside or tag in REGIONS
         if not noise:
             noise = tag in NOISE_TAGS or bool(attrs) and self._furniture(tag, attrs)
         if not header:
             header = 1 if tag == "header" else self._header(tag, attrs) if attrs else 0
             header = 2 if header and inside else header
-        self.open.append((tag, noise, header, region, inside, link or tag == "a", path))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.open.append((tag, noise, header, region, inside, link or tag == "a", item or tag == "li", heading or tag in HEADINGS, first or tag == "h1"))
 
     def _header(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in ("html", "body", "main", "article"):
@@ -108,9 +113,13 @@ class _Lines(HTMLParser):
         return False
 
     def _close(self, tag: str, within: frozenset[str]) -> None:
-        """Close an open ``tag`` that no element of ``within`` hides."""
+        """Close an open ``tag``, and what is open in it, unless an element of ``within`` hides it."""
+        if not self.count.get(tag):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
+                for each in self.open[i:]:
+                    self.count[each[0]] -= 1
                 del self.open[i:]
                 return
             if self.open[i][0] in within:
@@ -120,17 +129,14 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self._cut()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
+        self._close(tag, frozenset())
 
     def handle_data(self, data: str) -> None:
-        _, noise, header, region, inside, link, path = self.open[-1]
-        if noise or header == 1 or header == 2 and not any(e[0] in HEADINGS for e in self.open):
+        _, noise, header, region, inside, link, item, heading, first = self.open[-1]
+        if noise or header == 1 or header == 2 and not heading:
             return
         if not self.text:
-            self.kind = (region, inside, any(e[0] == "li" for e in self.open), path, any(e[0] == "h1" for e in self.open))
+            self.kind = (region, inside, item, first)
         self.text.append(data)
         if link:
             self.links += len(data)
@@ -146,8 +152,11 @@ def smooth(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 def main_text(html: str) -> str:
     """The main text of one page, a line for each block; empty if there is none."""
     parser = _Lines()
-    parser.feed(html)
+    # past the last ">" no tag is complete: what looks like the begin of one is dropped, as at a page's end, without trying every "<"
+    end = html.rfind(">") + 1
+    parser.feed(html[:end])
     parser.close()
+    parser.handle_data(unescape(_UNFINISHED.split(html[end:], maxsplit=1)[0]))
     parser._cut()
     # a list item that is nothing but a link is a menu entry, unless it stands in an article
     lines = [x for x in parser.lines if x[4] or not (x[5] and x[2] >= len(x[0]))]
@@ -158,15 +167,19 @@ def main_text(html: str) -> str:
     if any(c and x[4] for c, x in zip(content, lines)):  # articles, if they hold content, are all there is
         regions = {x[3] for c, x in zip(content, lines) if c and x[4]}
         return "\n".join(x[0] for x in lines if x[4] and x[3] in regions)
-    held: dict[int, int] = {}
+    # regions are numbered from the outside in, so one pass from the last to the first adds each to its parent
+    held, parent = [0] * len(parser.parent), parser.parent
     for c, x in zip(content, lines):
-        for block in x[6] if c else ():
-            held[block] = held.get(block, 0) + len(x[0])
-    # blocks are numbered from the outside in, so the last one that holds enough is the smallest
-    chosen = max(block for block, size in held.items() if size >= MOST * held[0])
-    first = next(i for i, x in enumerate(lines) if chosen in x[6])
-    title = [x for x in lines[:first] if x[7]][-1:] if not any(x[7] for x in lines if chosen in x[6]) else []  # its heading may stand before it
-    return "\n".join(x[0] for x in [*title, *(x for x in lines if chosen in x[6])])
+        held[x[3]] += len(x[0]) if c else 0
+    for region in range(len(parent) - 1, 0, -1):
+        held[parent[region]] += held[region]
+    chosen = max(region for region, size in enumerate(held) if size >= MOST * held[0])
+    within = [region == chosen for region in range(len(parent))]
+    for region in range(chosen + 1, len(parent)):
+        within[region] = within[parent[region]]
+    at = [i for i, x in enumerate(lines) if within[x[3]]]
+    before = [i for i in range(at[0]) if lines[i][6]] if not any(lines[i][6] for i in at) else []  # its heading may stand before it
+    return "\n".join(lines[i][0] for i in [*before[-1:], *at])
 
 
 def extract_text(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -219,6 +219,7 @@ def test_table_is_filled_by_turns():
 
 @pytest.mark.parametrize("html, text", [
     ("", ""), ("plain words", "plain words"), ("<p>one<p>two", "one\ntwo"), ("<script>x</script>", ""),
+    ("<p>words <a href='http://", "words"), ("<p>a < b &lt; c", "a < b < c"), ("<a " * 50000, ""),
     ("<p>a &amp; b&nbsp;c<br>d\n\t e</p>", "a & b c d e"),
     ("<header>Site</header><nav><a>m</a></nav><article><header><h1>T</h1><p>by x</p></header><p>Body text of the page.<p>End.</article><footer>f</footer>", "T\nBody text of the page.\nEnd."),
     ("<div class=menu><a href=x>A</a></div><div id=content><h1>Title</h1><p>Long paragraph of text that is here.<p>Short.<div class='comments'><p>nice!</p></div></div>"
