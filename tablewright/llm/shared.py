@@ -34,3 +34,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
         held = batch.slice(int(begin[-1]))
     if held is not None and held.num_rows:
         yield held, np.zeros(1, dtype=np.int64)
+
+
+def lean(run):
+    """``run`` over batches, giving memory that Arrow keeps for later back to the system when it ends: workers outlive their tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped

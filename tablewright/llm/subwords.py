@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tablewright.llm.shared import lean
 from tablewright.llm.texts import bounded
 
 SPACE = "▁"
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 _FAR = np.int64(1) << 40
-CACHE_CHARS = 4_000_000  # fragments a worker remembers, in characters
-DECODE_IDS = 1 << 20  # ids decoded together
+CACHE_CHARS = 3_000_000  # fragments a worker remembers, in characters
+PART_BYTES = 1 << 20  # text encoded together
+DECODE_IDS = 1 << 18  # ids decoded together
 ROUND_CHARS = 200_000  # characters merged together, so that the arrays of a round stay in the processor's cache
 
 
@@ -61,9 +63,9 @@ class PairTable:
 
 
 class PieceModel:
-    """Pieces, scores and the pair table of a BPE model file."""
+    """Pieces, scores and the pair table of a BPE model file; without ``pairs`` it can only decode."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pairs: bool = True) -> None:
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -87,6 +89,10 @@ class PieceModel:
         self.bytes[self.unknown] = " ⁇ ".encode()
         for value, i in self.byte_ids.items():
             self.bytes[i] = bytes([value])
+        if pairs:
+            self._read_pairs(model, normal)
+
+    def _read_pairs(self, model, normal: dict[str, int]) -> None:
         order = sorted({-p.score for p in model.pieces})
         rank_of = {s: r for r, s in enumerate(order)}
         self.rank = np.array([rank_of[-p.score] for p in model.pieces], dtype=np.int64)
@@ -242,6 +248,11 @@ def load_encoder(path: str) -> Encoder:
     return Encoder(PieceModel(path))
 
 
+@lru_cache(maxsize=2)
+def load_decoder(path: str) -> PieceModel:
+    return PieceModel(path, pairs=False)
+
+
 def encode_pieces(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end: bool = True) -> DataFrame:
     """``df`` with a column ``ids`` (array of int) holding the ids of ``text``.
 
@@ -253,13 +264,13 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(path)
         for batch in batches:
-            for part in bounded(batch, text):
+            for part in bounded(batch, text, PART_BYTES):
                 values = encoder.encode([t or "" for t in part.column(text).to_pylist()], end)
                 flat = pa.array(np.frombuffer(b"".join(values), dtype=np.int32))
                 offsets = np.cumsum([0, *map(len, values)]) // 4
                 yield part.append_column(ids, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat))
 
-    return df.select(*[c for c in df.columns if c != ids]).mapInArrow(run, schema)
+    return df.select(*[c for c in df.columns if c != ids]).mapInArrow(lean(run), schema)
 
 
 def decode_pieces(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -267,7 +278,7 @@ def decode_pieces(df: DataFrame, path: str, ids: str = "ids", text: str = "decod
     schema = T.StructType([f for f in df.schema.fields if f.name != text] + [T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load_encoder(path).model
+        model = load_decoder(path)
         for batch in batches:
             lists = batch.column(ids)
             ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
@@ -278,4 +289,4 @@ def decode_pieces(df: DataFrame, path: str, ids: str = "ids", text: str = "decod
                 yield batch.slice(first, last - first).append_column(text, pa.array(values, pa.string()))
                 first = last
 
-    return df.select(*[c for c in df.columns if c != text]).mapInArrow(run, schema)
+    return df.select(*[c for c in df.columns if c != text]).mapInArrow(lean(run), schema)

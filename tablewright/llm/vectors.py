@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm.components import components, union_find
-from tablewright.llm.shared import whole_groups
+from tablewright.llm.shared import lean, whole_groups
 from tablewright.llm.texts import mix
 from tablewright.session import cut_lineage
 
@@ -168,7 +168,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     one = real.join(classes.select("digest", F.col("rep").alias("key"), "copies"), ["digest", "key"]).dropDuplicates(["digest"])
     coded = one.select("key", "grp", "vector", "copies")
     schema = T.StructType([*coded.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])
-    coded = cut_lineage(coded.mapInArrow(_coded(tables, functions, probes), schema))
+    coded = cut_lineage(coded.mapInArrow(lean(_coded(tables, functions, probes)), schema))
     entries = coded.select("key", F.explode(F.array_distinct("codes")).alias("bucket"))
     buckets = cut_lineage(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(
         "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
@@ -180,7 +180,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     full = spread.join(coded.select("key", "vector", "copies", "codes"), "key")
     full = full.select("bucket", "i", "j", "side", "key", "copies", "vector", "codes")
     full = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = cut_lineage(full.mapInArrow(_linked(least), "key bigint, n bigint, root bigint"))
+    found = cut_lineage(full.mapInArrow(lean(_linked(least)), "key bigint, n bigint, root bigint"))
     links = found.groupBy("key").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     stats = classes.join(links.withColumnRenamed("key", "rep"), "rep", "left").join(
