@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.components import components, union_find
-from tablewright.llm.shared import broadcast_if_small, lean, whole_groups
+from tablewright.llm.shared import broadcast_if_small, lean, small_batches, whole_groups
 from tablewright.llm.texts import mix, slices, split_words, window_hashes
 from tablewright.session import cut_lineage
 
@@ -107,7 +107,7 @@ def sign_texts(df: DataFrame, key: str, text: str, words: int = WORDS, slots: in
                     names=["key", "n_shingles", "digest", "bands"])
 
     plain = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(lean(run), "key bigint, n_shingles bigint, digest binary, bands array<bigint>")
+    return small_batches(plain).mapInArrow(lean(run), "key bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
 
 def shingle_arrays(df: DataFrame, words: int = WORDS) -> DataFrame:
@@ -121,7 +121,7 @@ def shingle_arrays(df: DataFrame, words: int = WORDS) -> DataFrame:
                     batch.column(0).slice(first, last - first),
                     pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), pa.array(values.view(np.int64)))], names=["key", "shingles"])
 
-    return df.mapInArrow(lean(run), "key bigint, shingles array<bigint>")
+    return small_batches(df).mapInArrow(lean(run), "key bigint, shingles array<bigint>")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tablewright.llm.shared import lean
+from tablewright.llm.shared import lean, small_batches
 
 # Element names of the HTML standard by their part here, and the class, id and role words of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -202,4 +202,4 @@ def extract_text(df: DataFrame, html: str = "html", text: str = "text") -> DataF
                 texts = pa.array([main_text(p.as_py() or "") for p in pages], pa.string())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], texts], names=[*kept, text])
 
-    return df.select(*kept, html).mapInArrow(lean(run), schema)
+    return small_batches(df.select(*kept, html)).mapInArrow(lean(run), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm.boosted import BoostedTrees
-from tablewright.llm.shared import lean
+from tablewright.llm.shared import lean, small_batches
 from tablewright.llm.texts import slices
 
 # Kinds in their order, the first four with a base rule.
@@ -258,7 +258,7 @@ def find_pii(df: DataFrame, text: str = "text", spans: str = "pii", examples: in
                 found, _ = _scan(data, bounds, model, limits)
                 yield batch.slice(first, last - first).append_column(spans, pa.array([[dict(zip(names, s)) for s in each] for each in found], kind))
 
-    return df.select(*kept).mapInArrow(lean(run), schema)
+    return small_batches(df.select(*kept)).mapInArrow(lean(run), schema)
 
 
 def redact(df: DataFrame, text: str = "text", examples: int = EXAMPLES, precision: float = PRECISION) -> DataFrame:
@@ -283,7 +283,7 @@ def redact(df: DataFrame, text: str = "text", examples: int = EXAMPLES, precisio
                     part = part.set_column(at, part.schema.field(at), pa.array(values, part.schema.field(at).type))
                 yield part
 
-    return df.mapInArrow(lean(run), schema)
+    return small_batches(df).mapInArrow(lean(run), schema)
 
 
 def _marked(text: str, spans: list[tuple]) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.shared import broadcast_if_small, lean
+from tablewright.llm.shared import broadcast_if_small, lean, small_batches
 from tablewright.llm.texts import mix, slices, split_words
 from tablewright.session import cut_lineage
 
@@ -156,7 +156,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     marked = marked.withColumn("place", F.md5(F.col("key").cast("string")))
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     labelled = texts.join(broadcast_if_small(marked), "key").select("text", "y")
-    sums = labelled.mapInArrow(lean(_counts), "f int, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    sums = small_batches(labelled).mapInArrow(lean(_counts), "f int, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     held = sums.toPandas()  # one row a feature: SIZE + 1 at most
     counts = np.zeros((2, SIZE + 1))
     counts[:, held["f"].to_numpy(dtype=np.int64)] = held[["n0", "n1"]].to_numpy(dtype=float).T
@@ -216,4 +216,4 @@ def score_quality(df: DataFrame, model: QualityModel, text: str = "text", score:
                 values = [model.score(f) for f in doc_features(data, bounds)]
                 yield batch.slice(first, last - first).append_column(score, pa.array(values, pa.float64()))
 
-    return df.select(*kept).mapInArrow(lean(run), schema)
+    return small_batches(df.select(*kept)).mapInArrow(lean(run), schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.shared import lean
+from tablewright.llm.shared import lean, small_batches
 from tablewright.llm.texts import Words, hash_spans, mix, slices, split_words, window_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -116,7 +116,7 @@ def repetition_measures(df: DataFrame, text: str = "text", lengths: tuple[int, .
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(found[n], pa.int64()) for n in names]],
                                                  names=[*part.schema.names, *names])
 
-    return df.select(*kept).mapInArrow(lean(run), schema)
+    return small_batches(df.select(*kept)).mapInArrow(lean(run), schema)
 
 
 def repetition_rules(df: DataFrame, text: str = "text", min_words: int = 50, limits: Mapping[int, float] = GRAM_LIMITS,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 8 << 20
+BATCH_ROWS = 500
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -36,6 +37,17 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
         yield held, np.zeros(1, dtype=np.int64)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` of long texts, in a session whose Arrow batches hold ``BATCH_ROWS`` rows.
+
+    A batch of Spark's 10,000 texts is held several times over, in the JVM and in Python. A number that the user chose stays.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def lean(run):
     """``run`` over batches, giving memory that Arrow keeps for later back to the system when it ends: workers outlive their tasks."""
 

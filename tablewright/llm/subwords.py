@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tablewright.llm.shared import lean
+from tablewright.llm.shared import lean, small_batches
 from tablewright.llm.texts import bounded
 
 SPACE = "▁"
@@ -270,7 +270,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", ids: str = "ids"
                 offsets = np.cumsum([0, *map(len, values)]) // 4
                 yield part.append_column(ids, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat))
 
-    return df.select(*[c for c in df.columns if c != ids]).mapInArrow(lean(run), schema)
+    return small_batches(df.select(*[c for c in df.columns if c != ids])).mapInArrow(lean(run), schema)
 
 
 def decode_pieces(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -289,4 +289,4 @@ def decode_pieces(df: DataFrame, path: str, ids: str = "ids", text: str = "decod
                 yield batch.slice(first, last - first).append_column(text, pa.array(values, pa.string()))
                 first = last
 
-    return df.select(*[c for c in df.columns if c != text]).mapInArrow(lean(run), schema)
+    return small_batches(df.select(*[c for c in df.columns if c != text])).mapInArrow(lean(run), schema)
