@@ -230,13 +230,21 @@ _MARK = np.zeros(256, dtype=bool)
 _MARK[[*range(ord("0"), ord("9") + 1), ord("@"), ord("["), ord("("), ord("="), ord(":")]] = True
 
 
+# What the rules for secrets match without any of these characters: keys by their prefix, and a hexadecimal run of letters only.
+_BARE = re.compile(rb"A[KS]IA[0-9A-Z]|gh[pousr]_|sk-|[A-Fa-f]{32}")
+
+
 def _scan(data: np.ndarray, bounds: np.ndarray, model: BoostedTrees, limits: dict[str, float]) -> tuple[list[list[tuple]], list[str | None]]:
-    """Spans of each text of a slice. Every rule needs a digit, ``@``, a bracket, ``=`` or ``:``, so other texts are not decoded."""
+    """Spans of each text of a slice. Every rule needs a digit, ``@``, a bracket, ``=`` or ``:``, or what ``_BARE`` finds, so other texts are not decoded."""
     spans: list[list[tuple]] = [[] for _ in range(len(bounds) - 1)]
     texts: list[str | None] = [None] * (len(bounds) - 1)
-    for d in np.unique(np.searchsorted(bounds, np.flatnonzero(_MARK[data]), side="right") - 1).tolist():
-        texts[d] = data[bounds[d]:bounds[d + 1]].tobytes().decode("utf-8")
-        spans[d] = find_spans(texts[d], model, limits)
+    marked = np.zeros(len(bounds) - 1, dtype=bool)
+    marked[np.searchsorted(bounds, np.flatnonzero(_MARK[data]), side="right") - 1] = True
+    raw = data.tobytes()
+    for d in range(len(marked)):
+        if marked[d] or _BARE.search(raw, bounds[d], bounds[d + 1]):
+            texts[d] = raw[bounds[d]:bounds[d + 1]].decode("utf-8")
+            spans[d] = find_spans(texts[d], model, limits)
     return spans, texts
 
 
