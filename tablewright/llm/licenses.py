@@ -7,7 +7,9 @@ between blank lines, and each line. All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,22 +53,93 @@ You may obtain a copy of the License at
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
 WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
 limitations under the License."""
-LICENSES: Mapping[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0.",
-                   "This work is licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", _APACHE),
-    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0-1.0": ("Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"),
-    "GPL-2.0-only": ("This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2."),
-    "GPL-3.0-only": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.",
-                     "SPDX-License-Identifier: GPL-3.0-only"),
-    "ISC": (_ISC,),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "This work is licensed under the MIT License.",
-            "SPDX-License-Identifier: MIT", _MIT),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+_BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.
+"""
+_BSD_NAMES = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission.
+"""
+_BSD_DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+# The names of each licence in notices, and the verb forms that stand before them; every pair is a notice.
+NAMES: Mapping[str, tuple[str, ...]] = {
+    "AGPL-3.0-only": ("the GNU Affero General Public License, version 3", "the GNU AGPL, version 3", "the AGPL v3", "AGPL-3.0"),
+    "AGPL-3.0-or-later": ("the GNU Affero General Public License, version 3 or later", "the AGPL v3 or later", "AGPL-3.0-or-later"),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License", "Apache 2.0", "Apache-2.0"),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License", "BSD-3-Clause"),
+    "CC-BY-4.0": ("CC BY 4.0", "a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License",
+                     "the Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License",
+                     "the Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "the CC0 1.0 License", "the CC0 1.0 Universal License", "the Creative Commons Zero v1.0 Universal License"),
+    "GPL-2.0-only": ("the GNU General Public License, version 2", "the GNU General Public License version 2.0", "the GNU GPL, version 2", "the GPL v2", "GPL-2.0"),
+    "GPL-2.0-or-later": ("the GNU General Public License, version 2 or later", "the GNU GPL, version 2 or later", "the GPL v2 or later", "GPL-2.0-or-later"),
+    "GPL-3.0-only": ("the GNU General Public License, version 3", "the GNU General Public License version 3.0", "the GNU GPL, version 3", "the GPL v3", "GPL-3.0"),
+    "GPL-3.0-or-later": ("the GNU General Public License, version 3 or later", "the GNU GPL, version 3 or later", "the GPL v3 or later", "GPL-3.0-or-later"),
+    "ISC": ("the ISC License", "ISC"),
+    "LGPL-2.1-only": ("the GNU Lesser General Public License, version 2.1", "the GNU LGPL, version 2.1", "the LGPL v2.1", "LGPL-2.1"),
+    "LGPL-2.1-or-later": ("the GNU Lesser General Public License, version 2.1 or later", "the LGPL v2.1 or later", "LGPL-2.1-or-later"),
+    "LGPL-3.0-only": ("the GNU Lesser General Public License, version 3", "the GNU LGPL, version 3", "the LGPL v3", "LGPL-3.0"),
+    "LGPL-3.0-or-later": ("the GNU Lesser General Public License, version 3 or later", "the LGPL v3 or later", "LGPL-3.0-or-later"),
+    "MIT": ("the MIT License", "MIT"),
+    "MPL-2.0": ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "the MPL 2.0", "MPL-2.0"),
 }
+VERBS = tuple(f"{who}{verb} under" for verb in ("licensed", "released", "distributed", "available", "made available") for who in (
+    "", "This work is ", "This project is ", "This software is ", "This program is ", "This code is ", "This document is "))
+
+
+def _editions(name: str) -> list[str]:
+    """The whole text of a file of ``license_texts``, its addresses in both schemes, with and without what follows its terms."""
+    text = resources.files("tablewright.llm").joinpath(f"license_texts/{name}.txt").read_text(encoding="utf-8")
+    terms, mark, rest = text.partition("END OF TERMS AND CONDITIONS")
+    texts = [text, terms, terms + mark] if mark else [text]
+    texts += [text.replace("Copyright [yyyy] [name of copyright owner]", "")] if "[yyyy]" in text else []  # filled in, that is a copyright line
+    return [t.replace("http://", "https://").replace("https://", scheme) for t in texts for scheme in ("http://", "https://")]
+
+
+def _titled(text: str, *titles: str) -> list[str]:
+    """A text with and without its title, and with or without the reservation of rights that may stand in a line of its own."""
+    return [title + rights + text for title in ("", *(f"{t}\n\n" for t in titles)) for rights in ("", "All rights reserved.\n\n")]
+
+
+def _bsd(text: str, *titles: str) -> list[str]:
+    """The clauses may be numbered or not, and the disclaimer may say owner for holder, which is one spelling here."""
+    bullets = text.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    return [t for each in (text, bullets) for t in _titled(each, *titles)]
+
+
+_TEXTS: Mapping[str, list[str]] = {
+    "Apache-2.0": [_APACHE, *_editions("Apache-2.0")],
+    "BSD-2-Clause": _bsd(_BSD_TERMS + _BSD_DISCLAIMER, "BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": _bsd(_BSD_TERMS + _BSD_NAMES + _BSD_DISCLAIMER, "BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"),
+    "CC-BY-SA-4.0": _editions("CC-BY-SA-4.0"),
+    "CC0-1.0": _editions("CC0-1.0"),
+    "GPL-2.0-only": _editions("GPL-2.0"),
+    "GPL-3.0-only": _editions("GPL-3.0"),
+    "ISC": _titled(_ISC, "ISC License", "The ISC License", "ISC License (ISC)"),
+    "LGPL-2.1-only": _editions("LGPL-2.1"),
+    "LGPL-3.0-only": _editions("LGPL-3.0"),
+    "MIT": _titled(_MIT, "MIT License", "The MIT License", "The MIT License (MIT)"),
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+                """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+this file, You can obtain one at http://mozilla.org/MPL/2.0/.""", *_editions("MPL-2.0")],
+}
+LICENSES: Mapping[str, tuple[str, ...]] = {
+    name: (*[f"{verb} {each}." for verb in VERBS for each in names], f"SPDX-License-Identifier: {name}", *_TEXTS.get(name, ())) for name, names in NAMES.items()}
 
 
 def canonical_line(line: Column) -> Column:
@@ -108,11 +181,15 @@ def scan_licenses(df: DataFrame, text: str = "text", licenses: Mapping[str, tupl
     rows = df.select(*kept, canonical_blocks(F.coalesce(text, F.lit(""))).alias("_blocks"))
     rows = rows.withColumn("_whole", F.sha2(canonical_text(F.flatten("_blocks")), 256))
     rows = rows.join(F.broadcast(known.withColumnRenamed("digest", "_whole")), "_whole", "left")
-    # the digests of all units, distinct; the known ones are looked up in a constant map
+    # the digests of all units, distinct; the known ones are looked up in constant maps, one for each first byte as a map is searched in turn
     parts = F.concat(F.array(canonical_text(F.flatten("_blocks"))), F.transform("_blocks", canonical_text), F.flatten("_blocks"))
     digests = F.transform(F.array_distinct(F.filter(parts, lambda u: u != "")), lambda u: F.sha2(u, 256))
-    names = F.create_map(*[F.lit(v) for r in known.collect() for v in (r["digest"], r["license"])])  # as many as the list
-    rows = rows.withColumn("_found", F.filter(F.transform(digests, lambda d: F.element_at(names, d)), lambda n: n.isNotNull()))
+    maps: list[dict[str, str]] = [{} for _ in range(256)]
+    for r in known.collect():  # as many as the list
+        maps[int(r["digest"][:2], 16)][r["digest"]] = r["license"]
+    names = F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>")  # one literal, folded once, in place of one for each digest
+    rows = rows.withColumn("_found", F.filter(F.transform(digests, lambda d: F.element_at(
+        F.element_at(names, F.conv(F.substring(d, 1, 2), 16, 10).cast("int") + 1), d)), lambda n: n.isNotNull()))
     return rows.select(*kept, "license", F.array_sort(F.array_distinct("_found")).alias("licenses"), F.size("_found").cast("bigint").alias("license_units"))
 
 

@@ -204,6 +204,28 @@ def test_licenses_odd(odd, none, spark):
     assert got == {1: ("MIT", ["MIT"]), 2: (None, ["MIT"]), 3: ("ISC", ["ISC"]), 4: (None, []), 5: (None, [])}
 
 
+def test_licenses_hold_whole_texts(spark, db):
+    """One whole text of each licence, taken from its file or spelled anew, and notices of every licence; Spark and SQL agree."""
+    names = {"Apache-2.0": "Apache-2.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only",
+             "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0"}
+    folder = os.path.join(os.path.dirname(licenses.__file__), "license_texts")
+    whole = [(open(os.path.join(folder, f"{f}.txt"), encoding="utf-8").read().replace("\n", "\r\n"), n) for f, n in names.items()]
+    bsd = "\n".join(["BSD {}-Clause License", "", "Copyright (c) 2009, A. Name", "All rights reserved.", "", licenses._BSD_TERMS])
+    whole += [(bsd.format(2) + licenses._BSD_DISCLAIMER, "BSD-2-Clause"), (bsd.format(3) + licenses._BSD_NAMES + licenses._BSD_DISCLAIMER, "BSD-3-Clause")]
+    whole += [("The MIT License (MIT)\n\nCopyright (c) 2001 A. Name\n\n" + licenses._MIT, "MIT"), ("ISC License\n\nCopyright (c) 2001 A. Name\n\n" + licenses._ISC, "ISC")]
+    whole += [("Released under the GNU General Public License, version 3.", "GPL-3.0-only"), ("This work is licensed under the BSD 3-Clause License.", "BSD-3-Clause")]
+    whole += [(f"This project is distributed under {each[0]}.", name) for name, each in licenses.NAMES.items()]
+    whole += [("The GNU General Public License, version 3, is long.", None)]
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(whole)], "doc_id bigint, text string")
+    got = licenses.scan_licenses(df).withColumn("licenses", F.array_join("licenses", ",")).drop("text")
+    assert {r.doc_id: r.license for r in got.collect()} == {i: name for i, (_, name) in enumerate(whole)}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    rel = con.execute(licenses.license_sql())
+    names = [d[0] for d in rel.description]
+    assert rows_of(got.columns, got.collect()) == rows_of(names, rel.fetchall())
+
+
 def test_repetition_odd(odd, none):
     got = {r.doc_id: r for r in repetition.repetition_rules(odd.drop("n_words")).collect()}
     assert got[2].n_words == 0 and got[3].base_failed and not got[3].kept and got[4].n_words == 30000 and got[4].kept and got[1].base_failed
