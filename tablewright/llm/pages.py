@@ -3,7 +3,7 @@
 The standard library's parser streams its events into lines: a line is the text between two block-level tags. A line's
 ratio is its characters over its tags. Ratios are smoothed along the page, and lines whose smoothed ratio reaches the
 standard deviation of all form the content cluster. Content lines select regions: the articles that hold any, or without
-articles the smallest block that holds most of the content. A selected region gives all of its lines, so a short paragraph
+articles the smallest block that holds all of the content. A selected region gives all of its lines, so a short paragraph
 between long ones stays. Elements that by their tag, role, class or id are menus, headers, footers, sidebars, notices, adverts,
 forms or comments never take part; of an article's own header the heading does.
 """
@@ -41,7 +41,6 @@ NOISE_STEMS = ("advert", "adsense", "adslot", "adunit", "adbanner", "adcontainer
                "newsletter", "subscri", "recommend", "popup", "paginat", "disqus", "commentlist", "commentform")
 HEADER_WORDS = frozenset("header masthead".split())
 ARTICLE_WORDS = frozenset("article post entry story content".split())
-MOST = 0.8  # share of the content that the chosen block holds on pages without articles
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _UNFINISHED = re.compile(r"<[A-Za-z/!?]")
@@ -175,7 +174,7 @@ def main_text(html: str) -> str:
         held[x[3]] += len(x[0]) if c else 0
     for region in range(len(parent) - 1, 0, -1):
         held[parent[region]] += held[region]
-    chosen = max(region for region, size in enumerate(held) if size >= MOST * held[0])
+    chosen = max(region for region, size in enumerate(held) if size == held[0])
     within = [region == chosen for region in range(len(parent))]
     for region in range(chosen + 1, len(parent)):
         within[region] = within[parent[region]]

@@ -235,5 +235,15 @@ def test_main_text(html, text):
     assert pages.main_text(html) == text
 
 
+def test_unmarked_pages_keep_every_block_of_content():
+    """Without an article element, content in sibling blocks stays, whatever its shares."""
+    line = "<p>" + "some longer sentence of the text " * 6 + "{}</p>"
+    for first, second in ((17, 3), (12, 8), (3, 17)):
+        for tag in ("div", "section"):
+            parts = ["".join(line.format(f"{name}{i}") for i in range(n)) for name, n in (("a", first), ("b", second))]
+            got = pages.main_text(f"<html><body><nav><a href='x'>Menu</a></nav><div>{parts[0]}</div><{tag}>{parts[1]}</{tag}><footer>Imprint</footer></body></html>")
+            assert [x.split()[-1] for x in got.split("\n")] == [f"a{i}" for i in range(first)] + [f"b{i}" for i in range(second)]
+
+
 def test_smoothing_keeps_constants():
     assert np.allclose(pages.smooth(np.full(9, 3.0)), 3.0) and pages.smooth(np.ones(1)).tolist() == [1.0]
