@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import licenses, minhash, mixing, pages, pii, quality, repetition, sharding, subwords, vectors
+from tablewright.llm import licenses, minhash, mixing, pages, pii, quality, repetition, search, sharding, subwords, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,3 +120,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_licenses"] = licenses.license_sql()
+
+
+@query
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item; the index holds the lists of the items' terms."""
+    items = table(spark, sf_dir, "benchmark")
+    index = search.build_index(table(spark, sf_dir, "documents"), terms=search.asked_terms(items))
+    return search.search(index, items)
+
+
+ORACLES["op12_search"] = search.search_sql()

@@ -16,6 +16,8 @@ SLICE_BYTES = 1 << 20  # a slice holds whole texts of about this many bytes toge
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_TERM = np.zeros(256, dtype=bool)  # ASCII letters and digits, and every byte of a longer character
+_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _BYTE_KEYS = np.random.default_rng(20240229).integers(1, 1 << 63, size=256, dtype=np.uint64)
@@ -80,9 +82,15 @@ class Words:
 
 
 def split_words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:
-    if lower:
-        data = _LOWER[data]
-    solid = ~_SPACE[data]
+    return _runs(_LOWER[data] if lower else data, bounds, ~_SPACE[data])
+
+
+def split_terms(data: np.ndarray, bounds: np.ndarray) -> Words:
+    """Runs of ASCII letters, digits and other characters beyond ASCII, with A-Z in lower case."""
+    return _runs(_LOWER[data], bounds, _TERM[data])
+
+
+def _runs(data: np.ndarray, bounds: np.ndarray, solid: np.ndarray) -> Words:
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[bounds] = True
     before = np.concatenate([[False], solid[:-1]]) if len(data) else solid
