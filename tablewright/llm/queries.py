@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import licenses, minhash, mixing, pages, pii, quality, repetition, search, sharding, subwords, vectors
+from tablewright.llm import alignment, licenses, minhash, mixing, pages, pii, quality, repetition, search, sharding, subwords, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,6 +122,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op10_licenses"] = licenses.license_sql()
 
 
+def byte_model() -> str:
+    """The place of the byte-level BPE file: ``BYTE_MODEL``, else that of the installed tokenizer files."""
+    if path := os.environ.get("BYTE_MODEL"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), byte_model(), piece_model())
+
+
 @query
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for each benchmark item; the index holds the lists of the items' terms."""
