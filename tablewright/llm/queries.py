@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import alignment, licenses, minhash, mixing, pages, pii, quality, repetition, search, sharding, subwords, vectors
+from tablewright.llm import alignment, licenses, minhash, mixing, pages, pii, quality, repetition, search, sharding, subwords, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,9 +36,9 @@ def piece_model() -> str:
 KEEP_FROM = 0.3  # score from which a document counts as good
 
 
-def held_out(key: str = "doc_id") -> Column:
-    """The fifth of the documents whose labels are never learnt from."""
-    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5)) == 0, F.lit(False))
+def held_out(key: str = "doc_id", parts: int = 5, part: int = 0) -> Column:
+    """The fifth of the documents whose labels are never learnt from; or another share."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(parts)) == part, F.lit(False))
 
 
 @query
@@ -145,3 +145,12 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_search"] = search.search_sql()
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = held_out(parts=4, part=2)
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").filter(~apart))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
