@@ -7,13 +7,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import total
 from tablewright.operators.kmeans import fit_kmeans
-from tablewright.operators.linear import VECTOR, assemble
 
 REG_COVAR = 1e-6  # fixed value: added to every variance
 
@@ -63,17 +61,11 @@ class MixtureModel:
 
 def fit_mixture(df: DataFrame, features: Sequence[str], n_components: int = 3, covariance: str = "full", max_iter: int = 100,
                 tol: float = 1e-3, seed: int = 42, centers: Sequence[Sequence[float]] | None = None) -> MixtureModel:
+    """Expectation maximisation from k-means centres, or from ``centers``; every step is one aggregate of bounded width."""
     features = list(features)
-    if covariance == "full" and centers is None:
-        rows = assemble(df, features)
-        fitted = GaussianMixture(featuresCol=VECTOR, k=n_components, maxIter=max_iter, tol=tol, seed=seed).fit(rows)
-        model = MixtureModel(features, list(fitted.weights), [g.mean.toArray().tolist() for g in fitted.gaussians],
-                             [g.cov.toArray() + REG_COVAR * np.eye(len(features)) for g in fitted.gaussians], "full", 0.0, 0)
-        loglik, n = _likelihood(df, model)
-        return MixtureModel(features, model.weights, model.means, model.covariances, "full", loglik, n)
     if covariance not in ("full", "tied", "diag", "spherical"):
         raise ValueError("covariance is full, tied, diag or spherical")
-    rows = df.select(*features).persist()
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features]).persist()
     start = centers or fit_kmeans(rows, features, n_components, seed=seed).centers
     spread = rows.agg(*[F.var_pop(f) for f in features]).first()
     first = [max(float(v), REG_COVAR) for v in spread]
