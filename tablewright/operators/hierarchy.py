@@ -1,23 +1,21 @@
-"""Hierarchical clustering: exact single linkage on a spanning tree, other linkages on micro-clusters."""
+"""Hierarchical clustering: single linkage on a spanning tree, other linkages by reciprocal nearest neighbours, and Birch."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.distances import Space, cross_distances
+from tablewright.functions.distances import Space
 from tablewright.operators.density import _spread_to_copies, distinct_points
 from tablewright.operators.graph import number_clusters
-from tablewright.operators.kmeans import CenterModel, fit_kmeans
+from tablewright.operators.kmeans import fit_kmeans
+from tablewright.operators.linkage import LINKAGES, REST, linkage_tree
+from tablewright.operators.rowid import add_row_id
 from tablewright.operators.spanning import cut_tree, spanning_tree
 from tablewright.session import cut_lineage
 
-MICRO_CLUSTERS = 256  # default number of centres the merge step works on
-
-
 def fit_single_linkage(df: DataFrame, features: Sequence[str], id_col: str, n_clusters: int | None = 3, metric: str = "euclidean",
                        distance_threshold: float | None = None) -> DataFrame:
     """``(id, cluster)``, exact; clusters are numbered by their least id."""
@@ -28,69 +26,38 @@ def fit_single_linkage(df: DataFrame, features: Sequence[str], id_col: str, n_cl
     return _spread_to_copies(df, features, id_col, labelled, "cluster")
 
 
-def merge_centers(centers: np.ndarray, sizes: np.ndarray, linkage: str, n_clusters: int | None, threshold: float | None,
-                  metric: str = "euclidean") -> np.ndarray:
-    """Lance-Williams merging of weighted centres."""
-    m = len(centers)
-    d = cross_distances(centers, centers, "euclidean" if linkage == "ward" else Space(metric).name)
-    if linkage == "ward":
-        d = d * np.sqrt(2 * sizes[:, None] * sizes[None, :] / (sizes[:, None] + sizes[None, :]))
-    np.fill_diagonal(d, np.inf)
-    sizes, owner, active = sizes.astype(float).copy(), np.arange(m), m
-    while active > (n_clusters or 1):
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        height = d[i, j]
-        if threshold is not None and height >= threshold:
-            break
-        a, b = d[i], d[j]
-        if linkage == "complete":
-            merged = np.maximum(a, b)
-        elif linkage == "single":
-            merged = np.minimum(a, b)
-        elif linkage == "average":
-            merged = (sizes[i] * a + sizes[j] * b) / (sizes[i] + sizes[j])
-        else:
-            with np.errstate(invalid="ignore"):
-                merged = np.sqrt(((sizes[i] + sizes) * a**2 + (sizes[j] + sizes) * b**2 - sizes * height**2) / (sizes[i] + sizes[j] + sizes))
-        merged[[i, j]] = np.inf
-        merged[~np.isfinite(a) | ~np.isfinite(b)] = np.inf
-        d[i], d[:, i] = merged, merged
-        d[j], d[:, j] = np.inf, np.inf
-        sizes[i] += sizes[j]
-        owner[owner == j] = i
-        active -= 1
-    _, labels = np.unique(owner, return_inverse=True)
-    return labels
-
-
 def fit_agglomerative(df: DataFrame, features: Sequence[str], id_col: str, n_clusters: int | None = 3, linkage: str = "ward",
                       metric: str = "euclidean", distance_threshold: float | None = None, seed: int = 42,
-                      micro_clusters: int = MICRO_CLUSTERS) -> DataFrame:
-    """``(id, cluster)``. Ward, complete and average linkage merge ``micro_clusters`` Spark-built micro-clusters; single is exact.
+                      micro_clusters: int | None = None, rest: int = REST) -> DataFrame:
+    """``(id, cluster)``, exact at every size; clusters are numbered by their least id.
 
-    With no more distinct points than micro-clusters, each is its own, and the result is the exact one.
+    Finding nearest neighbours takes time quadratic in the distinct points, and complete and average linkage also hold a table of
+    all distances. For tables beyond that, ``micro_clusters`` names a number of k-means centres that are merged in their place,
+    each with the number of its rows; the result is then that of the two stages, whatever the number of rows. ``rest`` clusters
+    are finished in one task, which changes no result. Ward always measures Euclidean distances.
     """
     if linkage == "single":
         return fit_single_linkage(df, features, id_col, n_clusters, metric, distance_threshold)
-    if linkage not in ("ward", "complete", "average"):
+    if linkage not in LINKAGES:
         raise ValueError("linkage is ward, complete, average or single")
-    distinct = df.select(*features).distinct().limit(micro_clusters + 1).collect()
-    if len(distinct) <= micro_clusters:
-        micro = CenterModel(list(features), [[float(v) for v in r] for r in sorted(distinct)])
+    if micro_clusters is None:
+        points = cut_lineage(distinct_points(df, features, id_col))
     else:
         micro = fit_kmeans(df, features, micro_clusters, max_iter=20, seed=seed)
-    placed = micro.transform(df, "_micro")
-    sizes = {r["_micro"]: r["count"] for r in placed.groupBy("_micro").count().collect()}
-    used = sorted(sizes)
-    labels = merge_centers(np.array([micro.centers[k] for k in used]), np.array([sizes[k] for k in used]), linkage,
-                           None if distance_threshold is not None else n_clusters, distance_threshold, metric)
-    final = {k: int(c) for k, c in zip(used, labels)}
-    lookup = F.array(*[F.lit(final.get(k, -1)) for k in range(len(micro.centers))])
-    return placed.select(id_col, F.element_at(lookup, F.col("_micro") + 1).cast("bigint").alias("cluster"))
+        placed = cut_lineage(micro.transform(df, "_micro").select(id_col, "_micro"))
+        at = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in micro.centers])
+        points = cut_lineage(placed.groupBy("_micro").agg(F.min(id_col).cast("bigint").alias("id"), F.count("*").alias("weight")).select(
+            "id", "weight", F.element_at(at, F.col("_micro") + 1).alias("vec"), "_micro"))
+    tree = linkage_tree(points, linkage, metric, rest)
+    groups = cut_tree(points.select("id"), tree, n_clusters if distance_threshold is None else None, distance_threshold)
+    labelled = number_clusters(points.join(groups, "id"))
+    if micro_clusters is None:
+        return _spread_to_copies(df, features, id_col, labelled, "cluster")
+    return placed.join(F.broadcast(labelled.select("_micro", "cluster")), "_micro").select(id_col, "cluster")
 
 
 def fit_birch(df: DataFrame, features: Sequence[str], id_col: str, n_clusters: int | None = 3, threshold: float = 0.5,
-              seed: int = 42, micro_clusters: int = MICRO_CLUSTERS) -> DataFrame:
+              seed: int = 42, micro_clusters: int | None = None) -> DataFrame:
     """``(id, cluster)`` through clustering features of radius at most ``threshold``.
 
     The features (n, Σx, Σx²) are sums per cell of a grid whose cells have that radius, so
@@ -102,7 +69,7 @@ def fit_birch(df: DataFrame, features: Sequence[str], id_col: str, n_clusters: i
     if n_clusters is None:
         named = number_clusters(cells.select("_cell", F.col("_cell").alias("component")))
     else:
-        numbered = centers.withColumn("_key", F.col("_cell").cast("string"))
+        numbered = cut_lineage(add_row_id(centers, ["_cell"], "_key"))
         named = fit_agglomerative(numbered, features, "_key", n_clusters, "ward", seed=seed, micro_clusters=micro_clusters).join(
             numbered.select("_key", "_cell"), "_key").select("_cell", "cluster")
     return with_cell.join(named, "_cell").select(id_col, "cluster")

@@ -1,26 +1,33 @@
 """Decision trees and forests: Spark's own, and a level-wise histogram builder for the kinds it lacks.
 
-The builder grows many trees at once. A level is one grouped aggregate over
-(tree, node, feature, bin), combined before the shuffle; only the best split of each
-node, a handful of numbers, reaches the driver.
+The builder grows many trees at once. In a level each partition fills flat arrays of
+histograms by node, feature and bin, which are summed as arrays; only the best split of
+each node, a handful of numbers, reaches the driver. Trees are applied as flat arrays.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.operators.linear import SparkModel, VECTOR, assemble
 
 MAX_SPARK_DEPTH = 30  # fixed value: deepest tree Spark accepts
-DEEPEST = 60  # node numbers double with each level and are 64-bit
+SMALL_TREE = 31  # splits of a tree that is written as column arithmetic
+NO_LIMIT = 10**9  # levels; growth ends when no node can be split
+LEVEL_CELLS = 4_000_000  # histogram cells that a task fills in one pass
+GROUP_CELLS = 200_000  # cells that are judged together
 
 
 def _tree_params(max_depth: int | None, min_samples_leaf: int, min_weight_fraction: float, min_gain: float, seed: int,
@@ -132,22 +139,80 @@ class Tree:
     values: dict[int, float] = field(default_factory=dict)
     gains: dict[str, float] = field(default_factory=dict)
 
-    def expression(self, node: int = 1) -> Column:
-        if node not in self.splits:
-            return F.lit(float(self.values.get(node, 0.0)))
-        feature, threshold = self.splits[node]
-        return F.when(F.col(feature) <= threshold, self.expression(2 * node)).otherwise(self.expression(2 * node + 1))
+    def expression(self) -> Column:
+        """A small tree as column arithmetic; a larger one, whose plan would grow with it, as a function over flat arrays."""
+        if len(self.splits) > SMALL_TREE:
+            used = sorted({f for f, _ in self.splits.values()})
+            return tree_sums([[self]], used)[0]
 
+        def walk(node: int) -> Column:
+            if node not in self.splits:
+                return F.lit(float(self.values.get(node, 0.0)))
+            feature, threshold = self.splits[node]
+            return F.when(F.col(feature) <= threshold, walk(2 * node)).otherwise(walk(2 * node + 1))
+        return walk(1)
 
-def _node_column(trees: list[Tree], t: int, edges: dict[str, list[float]], level: int) -> Column:
-    """Node number of tree ``t`` on the way to ``level``, from binned features."""
-    def walk(node: int, depth: int) -> Column:
-        if depth == level or node not in trees[t].splits:
-            return F.lit(node)
-        feature, threshold = trees[t].splits[node]
-        inside = F.col(f"_b_{feature}") <= bisect.bisect_left(edges[feature], threshold)
-        return F.when(inside, walk(2 * node, depth + 1)).otherwise(walk(2 * node + 1, depth + 1))
-    return walk(1, 0)
+
+@dataclass
+class FlatTree:
+    """A tree as arrays over its nodes, the root first: feature (-1 at a leaf), threshold, children and value."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    names: list[int]
+
+    @staticmethod
+    def of(tree: Tree, features: Sequence[str], cuts: dict[str, list[float]] | None = None) -> "FlatTree":
+        """With ``cuts`` thresholds are bin numbers in place of values."""
+        at = {f: i for i, f in enumerate(features)}
+        names, place = [1], {1: 0}
+        for node in names:  # grows while it is walked
+            if node in tree.splits:
+                for child in (2 * node, 2 * node + 1):
+                    place[child] = len(names)
+                    names.append(child)
+        n = len(names)
+        out = FlatTree(np.full(n, -1), np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n), names)
+        for i, node in enumerate(names):
+            if node in tree.splits:
+                feature, threshold = tree.splits[node]
+                out.feature[i] = at[feature]
+                out.threshold[i] = threshold if cuts is None else bisect.bisect_left(cuts[feature], threshold)
+                out.left[i], out.right[i] = place[2 * node], place[2 * node + 1]
+            else:
+                out.value[i] = tree.values.get(node, 0.0)
+        return out
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The place of each row's node; rows that reached a leaf leave the walk."""
+        at = np.zeros(len(x), dtype=np.int64)
+        moving = np.arange(len(x)) if self.feature[0] >= 0 else np.zeros(0, dtype=np.int64)
+        while len(moving):
+            node = at[moving]
+            inside = x[moving, self.feature[node]] <= self.threshold[node]  # a NULL goes right, as in SQL
+            at[moving] = np.where(inside, self.left[node], self.right[node])
+            moving = moving[self.feature[at[moving]] >= 0]
+        return at
+
+
+def tree_sums(groups: list[list[Tree]], features: Sequence[str]) -> list[Column]:
+    """For each group of trees the sum of their values, from one vectorised function."""
+    flat = [[FlatTree.of(t, features) for t in group] for group in groups]
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def summed(x: pd.Series) -> pd.Series:
+        rows = np.array(list(x), dtype=float).reshape(len(x), -1)
+        out = np.zeros((len(rows), len(flat)))
+        for c, group in enumerate(flat):
+            for tree in group:
+                out[:, c] += tree.value[tree.leaves(rows)]
+        return pd.Series(list(out))
+
+    sums = summed(F.array(*[F.col(f).cast("double") for f in features]) if features else F.array(F.lit(0.0)))
+    return [sums[c] for c in range(len(groups))]
 
 
 @dataclass(frozen=True)
@@ -164,75 +229,142 @@ class Growth:
     min_split: int = 2
 
 
+def _unit(*parts: int) -> float:
+    """A number from 0 to 1 that follows from whole numbers."""
+    x = 0
+    for part in parts:
+        x = (x ^ (part & _MASK)) * 0x9E3779B97F4A7C15 & _MASK
+        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _MASK
+        x ^= x >> 32
+    return x / 2**64
+
+
+_MASK = 2**64 - 1
+
+
+def best_split(cells: np.ndarray, rule: Growth, t: int, node: int) -> tuple:
+    """``(G, H, gain, feature, bin, left G, left H)`` of a node's histogram: features x bins x (gradient, hessian, rows)."""
+    lam, alpha = rule.reg_lambda, rule.reg_alpha
+
+    def score(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        g = np.sign(g) * np.maximum(np.abs(g) - alpha, 0.0)
+        return np.divide(g * g, h + lam, out=np.zeros_like(g), where=h + lam > 0)
+
+    whole = cells[0].sum(axis=0)
+    run = np.cumsum(cells, axis=1)
+    rest = whole - run
+    gain = score(run[..., 0], run[..., 1]) + score(rest[..., 0], rest[..., 1]) - score(whole[0:1], whole[1:2])
+    allowed = (run[..., 1] >= rule.min_child_weight) & (rest[..., 1] >= rule.min_child_weight) & (run[..., 2] >= rule.min_rows) & (
+        rest[..., 2] >= rule.min_rows) & (rest[..., 2] > 0) & (run[..., 2] > 0) & (whole[2] >= rule.min_split)
+    n_features, bins = gain.shape
+    if rule.random_threshold:
+        pick = np.zeros_like(allowed)
+        for f in range(n_features):
+            held = np.flatnonzero(cells[f, :, 2])
+            if len(held):
+                # the first occupied bin at or beyond the drawn position
+                spot = held[0] + int(_unit(rule.seed, t, node, f) * (held[-1] - held[0]))
+                pick[f, held[np.searchsorted(held, spot)]] = True
+        allowed &= pick
+    if rule.feature_share < 1.0:
+        order = sorted(range(n_features), key=lambda f: _unit(rule.seed + 1, t, node, f))
+        allowed[order[max(1, round(rule.feature_share * n_features)):]] = False
+    gain = np.where(allowed & (gain > max(rule.gamma, 1e-12)), gain, -np.inf)
+    at = int(gain.argmax())  # of equal gains the first feature and bin
+    f, b = divmod(at, bins)
+    if not np.isfinite(gain[f, b]):
+        return float(whole[0]), float(whole[1]), None, None, None, None, None
+    return float(whole[0]), float(whole[1]), float(gain[f, b]), f, b, float(run[f, b, 0]), float(run[f, b, 1])
+
+
+def _level(packed: DataFrame, flat: list[FlatTree], nodes: list[tuple[int, int]], n_features: int, bins: int, rule: Growth) -> list:
+    """The best split of each open node ``(tree, node)``: histograms within partitions, summed as arrays, judged per group of nodes."""
+    by_tree: dict[int, list[tuple[int, int]]] = {}
+    for slot, (t, node) in enumerate(nodes):
+        by_tree.setdefault(t, []).append((slot, node))
+    size = n_features * bins
+    group = max(1, GROUP_CELLS // size)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(nodes), size, 3))
+        slots = {}
+        for t, own in by_tree.items():  # nodes of a tree have neighbouring slots
+            place = {name: i for i, name in enumerate(flat[t].names)}
+            slots[t] = np.full(len(place), -1)
+            for slot, node in own:
+                slots[t][place[node]] = slot - own[0][0]
+        for batch in batches:
+            x, g, h = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("bins", "g", "h"))
+            for t, own in by_tree.items():
+                slot = slots[t][flat[t].leaves(x)]
+                keep = np.flatnonzero((slot >= 0) & (h[:, t] > 0))
+                cell = (slot[keep, None] * size + np.arange(n_features) * bins + x[keep]).ravel()
+                part = total[own[0][0]:own[0][0] + len(own)].reshape(-1, 3)
+                for i, w in enumerate((g[keep, t], h[keep, t], None)):
+                    part[:, i] += np.bincount(cell, None if w is None else np.repeat(w, n_features), minlength=len(part))
+        held = np.flatnonzero(total[:, :, 2].any(axis=1))
+        for k in range(0, len(held), group):
+            some = held[k:k + group]
+            values = pa.array(total[some].ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * size * 3, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([pa.array(some // group, pa.int32()), pa.array(some, pa.int32()), lists], names=["part", "slot", "cells"])
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, cells = [], {}
+        for slot, values in zip(pdf["slot"], pdf["cells"]):  # one row for each partition that holds rows of the node
+            cells[slot] = cells[slot] + values if slot in cells else np.array(values)
+        for slot, values in cells.items():
+            rows.append((slot, *best_split(values.reshape(n_features, bins, 3), rule, *nodes[slot])))
+        return pd.DataFrame(rows, columns=["slot", "G", "H", "gain", "f", "b", "lg", "lh"])
+
+    counted = packed.mapInArrow(count, "part int, slot int, cells array<double>")
+    return counted.groupBy("part").applyInPandas(judge, "slot int, G double, H double, gain double, f double, b double, lg double, lh double").collect()
+
+
 def grow(binned: DataFrame, features: Sequence[str], edges: dict[str, list[float]], targets: list[tuple[Column, Column]],
          rule: Growth, weight: Column | None = None) -> list[Tree]:
     """One tree per (gradient, hessian) pair, all grown level by level together.
 
-    Gain and leaf weight follow Chen & Guestrin (2016): G²/(H+λ), −G/(H+λ), with
-    soft-thresholded G for ``reg_alpha``. ``random_threshold`` lets a hash draw one
-    threshold per node and feature, as extremely randomised trees do.
+    Gain and leaf weight follow Chen & Guestrin (2016): G²/(H+λ), −G/(H+λ), with soft-thresholded G for ``reg_alpha``.
+    ``random_threshold`` lets a hash draw one threshold per node and feature, as extremely randomised trees do. Each partition
+    fills one array of histograms; open nodes whose arrays would pass ``LEVEL_CELLS`` are taken in several passes. A level sends
+    the driver one row for each open node.
     """
     trees = [Tree() for _ in targets]
-    lam, alpha = F.lit(float(rule.reg_lambda)), float(rule.reg_alpha)
-
-    def shrunk(g: Column) -> Column:
-        return F.signum(g) * F.greatest(F.abs(g) - F.lit(alpha), F.lit(0.0)) if alpha else g
-
-    def score(g: Column, h: Column) -> Column:
-        return F.when(h + lam > 0, shrunk(g) * shrunk(g) / (h + lam)).otherwise(0.0)
-
-    open_nodes: set[tuple[int, int]] = {(t, 1) for t in range(len(trees))}
-    for level in range(rule.max_depth + 1):
-        per_tree = F.array(*[F.struct(
-            F.lit(t).alias("t"), _node_column(trees, t, edges, level).alias("node"), g.cast("double").alias("g"), h.cast("double").alias("h"))
-            for t, (g, h) in enumerate(targets)])
-        rows = binned.select(F.inline(per_tree), *[f"_b_{f}" for f in features])
-        rows = rows.filter((F.col("node") >= 2**level) & (F.col("h") > 0))
-        if level == rule.max_depth:
-            totals = rows.groupBy("t", "node").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
-            for r in totals.select("t", "node", (-shrunk(F.col("G")) / (F.col("H") + lam)).alias("v")).collect():
-                trees[r["t"]].values[r["node"]] = r["v"]
-            break
-        cells = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"_b_{f}").alias("b")) for i, f in enumerate(features)])
-        hist = rows.select("t", "node", "g", "h", F.inline(cells)).groupBy("t", "node", "f", "b").agg(
-            F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
-        # at most nodes × features × bins rows from here on
-        group = Window.partitionBy("t", "node", "f")
-        running = group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        runs = hist.select("t", "node", "f", "b", *[F.sum(c).over(running).alias(f"l{c}") for c in ("g", "h", "n")],
-                           *[F.sum(c).over(group).alias(f"a{c}") for c in ("g", "h", "n")], F.max("b").over(group).alias("top"), F.min("b").over(group).alias("low"))
-        rg, rh = F.col("ag") - F.col("lg"), F.col("ah") - F.col("lh")
-        gain = score(F.col("lg"), F.col("lh")) + score(rg, rh) - score(F.col("ag"), F.col("ah"))
-        draw = F.pmod(F.xxhash64(F.lit(rule.seed), "t", "node", "f"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        allowed = (F.col("b") < F.col("top")) & (F.col("lh") >= rule.min_child_weight) & (rh >= rule.min_child_weight) & (
-            F.col("ln") >= rule.min_rows) & (F.col("an") - F.col("ln") >= rule.min_rows) & (F.col("an") >= rule.min_split)
-        if rule.random_threshold:
-            # the first occupied bin at or beyond the drawn position
-            spot = F.col("low") + F.floor(draw * (F.col("top") - F.col("low")))
-            runs = runs.withColumn("_pick", F.min(F.when(F.col("b") >= spot, F.col("b"))).over(group))
-            allowed = allowed & (F.col("b") == F.col("_pick"))
-        if rule.feature_share < 1.0:
-            keep = max(1, round(rule.feature_share * len(features)))
-            order = Window.partitionBy("t", "node").orderBy(F.xxhash64(F.lit(rule.seed + 1), "t", "node", "f"))
-            runs = runs.withColumn("_rank", F.dense_rank().over(order))
-            allowed = allowed & (F.col("_rank") <= keep)
-        best = runs.groupBy("t", "node").agg(
-            F.first("ag").alias("G"), F.first("ah").alias("H"), F.sum(F.lit(1)).alias("_n"),
-            F.max(F.when(allowed & (gain > max(rule.gamma, 1e-12)), F.struct(gain.alias("gain"), (-F.col("f")).alias("nf"), (-F.col("b")).alias("nb")))).alias("s"))
-        found = best.select("t", "node", (-shrunk(F.col("G")) / (F.col("H") + lam)).alias("v"), "s").collect()
-        open_nodes = set()
-        for r in found:
-            tree = trees[r["t"]]
-            if r["s"] is None:
-                tree.values[r["node"]] = r["v"]
-                continue
-            feature = features[-r["s"]["nf"]]
-            cut = -r["s"]["nb"]
-            tree.splits[r["node"]] = (feature, edges[feature][cut])
-            tree.gains[feature] = tree.gains.get(feature, 0.0) + r["s"]["gain"]
-            open_nodes.add((r["t"], r["node"]))
-        if not open_nodes:
+    features = list(features)
+    bins = max((len(edges[f]) for f in features), default=0) + 1
+    packed = binned.select(F.array(*[F.col(f"_b_{f}").cast("int") for f in features]).alias("bins"),
+                           F.array(*[g.cast("double") for g, _ in targets]).alias("g"), F.array(*[h.cast("double") for _, h in targets]).alias("h"))
+    # a level reads the rows once: what the targets compute is kept for the whole tree
+    packed = packed.persist()
+
+    def leaf(g: float, h: float) -> float:
+        g = math.copysign(max(abs(g) - rule.reg_alpha, 0.0), g)
+        return -g / (h + rule.reg_lambda) if h + rule.reg_lambda else 0.0
+
+    level = [(t, 1) for t in range(len(trees))]
+    wave = max(1, LEVEL_CELLS // max(len(features) * bins, 1))
+    for _ in range(rule.max_depth):
+        flat, below = [FlatTree.of(t, features, edges) for t in trees], []
+        for first in range(0, len(level), wave):
+            some = level[first:first + wave]
+            for r in sorted(_level(packed, flat, some, len(features), bins, rule), key=lambda r: r["slot"]):
+                t, node = some[r["slot"]]
+                tree = trees[t]
+                tree.values[node] = leaf(r["G"], r["H"])
+                if r["gain"] is None:
+                    continue
+                feature = features[int(r["f"])]
+                tree.splits[node] = (feature, edges[feature][int(r["b"])])
+                tree.gains[feature] = tree.gains.get(feature, 0.0) + r["gain"]
+                del tree.values[node]
+                tree.values[2 * node] = leaf(r["lg"], r["lh"])
+                tree.values[2 * node + 1] = leaf(r["G"] - r["lg"], r["H"] - r["lh"])
+                below += [(t, 2 * node), (t, 2 * node + 1)]
+        level = sorted(below)
+        if not level:
             break
+    packed.unpersist()
     return trees
 
 
@@ -252,26 +384,25 @@ class ForestModel:
         return [sum(t.gains.get(f, 0.0) for t in self.trees) for f in self.features]
 
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
-        from tablewright.functions.columns import total
-
+        k = len(self.classes or [None])
+        sums = tree_sums([self.trees[c::k] for c in range(k)], self.features)
         if self.classes is None:
-            return df.withColumn(prediction, total([t.expression() for t in self.trees]) / F.lit(float(len(self.trees))))
-        k = len(self.classes)
-        votes = F.array(*[total([t.expression() for t in self.trees[c::k]]) for c in range(k)])
+            return df.withColumn(prediction, sums[0] / F.lit(float(len(self.trees))))
+        votes = F.array(*sums)
         at = F.array_position(votes, F.array_max(votes)).cast("int")
         return df.withColumn(prediction, F.element_at(F.array(*[F.lit(c) for c in self.classes]), at))
 
 
 def fit_extra_trees(train: DataFrame, features: Sequence[str], keys: Sequence[str], label: str = "label", classification: bool = True,
                     n_estimators: int = 100, max_depth: int | None = 8, min_samples_leaf: int = 1, max_features: str | int | float | None = "sqrt",
-                    bootstrap: bool = False, seed: int = 42, batch: int = 10, min_samples_split: int = 2, bins: int = 32) -> ForestModel:
+                    bootstrap: bool = False, seed: int = 42, batch: int = 50, min_samples_split: int = 2, bins: int = 32) -> ForestModel:
     """Extremely randomised trees. Members grow in batches that share one pass per level.
 
-    ``max_depth=None`` grows until no node can be split, at most ``DEEPEST`` levels, where node numbers end.
+    ``max_depth=None`` grows until no node can be split.
     """
     features = list(features)
-    if max_depth is not None and not 1 <= max_depth <= DEEPEST:
-        raise ValueError(f"max_depth lies between 1 and {DEEPEST}")
+    if max_depth is not None and max_depth < 1:
+        raise ValueError("max_depth is at least 1, or None for no limit")
     share = feature_share(max_features, len(features))
     edges = bin_edges(train, features, bins)
     binned = with_bins(train.select(*keys, label, *features), features, edges).persist()
@@ -286,7 +417,7 @@ def fit_extra_trees(train: DataFrame, features: Sequence[str], keys: Sequence[st
             for c in classes or [None]:
                 y = F.col(label).cast("double") if c is None else (F.col(label) == c).cast("double")
                 targets.append((-y * copies, copies))
-        rule = Growth(max_depth=max_depth or DEEPEST, min_rows=min_samples_leaf, feature_share=share, random_threshold=True, seed=seed + first,
+        rule = Growth(max_depth=max_depth or NO_LIMIT, min_rows=min_samples_leaf, feature_share=share, random_threshold=True, seed=seed + first,
                       min_split=min_samples_split)
         trees += grow(binned, features, edges, targets, rule)
     binned.unpersist()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions.distances import Space
-from tablewright.operators import cluster_metrics, density, graph, hdbscan, hierarchy, kmeans, mixture, modes, neighbors, pairwise, spanning
+from tablewright.operators import cluster_metrics, density, graph, hdbscan, hierarchy, kmeans, linkage, mixture, modes, neighbors, pairwise, spanning
 
 
 def points_of(df):
@@ -120,10 +120,66 @@ def test_single_linkage_and_ward(spark, blobs):
         assert same_partition(labels_of(hierarchy.fit_agglomerative(three, ["x", "y"], "id", 3, linkage)), truth)
 
 
+def brute_linkage(x, linkage, n_clusters):
+    """One merge at a time: always the two clusters at the least distance, each new distance from all pairs of rows."""
+    groups, d = [[i] for i in range(len(x))], distances(x)
+    sums, sizes = d.copy(), np.ones(len(x))
+    far = d.copy() if linkage != "average" else d / 1.0
+    centre = x.astype(float).copy()
+    np.fill_diagonal(far, np.inf)
+    for _ in range(len(x) - n_clusters):
+        i, j = np.unravel_index(np.argmin(far), far.shape)
+        if linkage == "complete":
+            row = np.maximum(far[i], far[j])
+        elif linkage == "average":
+            sums[i] += sums[j]
+            sums[:, i] = sums[i]
+            row = sums[i] / ((sizes[i] + sizes[j]) * sizes)
+        else:
+            centre[i] = (sizes[i] * centre[i] + sizes[j] * centre[j]) / (sizes[i] + sizes[j])
+            n = sizes[i] + sizes[j]
+            row = np.sqrt(2 * n * sizes / (n + sizes)) * np.linalg.norm(centre - centre[i], axis=1)
+        row = np.where(np.isinf(far[i]) | np.isinf(far[j]), np.inf, row)
+        far[i], far[:, i], far[j], far[:, j] = row, row, np.inf, np.inf
+        sizes[i] += sizes[j]
+        groups[i] += groups[j]
+        groups[j] = []
+    labels = np.zeros(len(x), dtype=int)
+    for c, g in enumerate(groups):
+        labels[g] = c
+    return labels.tolist()
+
+
+@pytest.mark.parametrize("kind", ["ward", "complete", "average"])
+@pytest.mark.parametrize(("n", "rest"), [(200, 1024), (257, 1024), (257, 120), (1300, 1024)])
+def test_linkages_equal_one_merge_at_a_time(spark, kind, n, rest):
+    """Below and beyond any bound the same rule holds, and rounds on Spark give what one task gives."""
+    x = np.random.default_rng(n).normal(size=(n, 3))
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id bigint, x double, y double, z double")
+    got = labels_of(hierarchy.fit_agglomerative(rows, ["x", "y", "z"], "id", 7, kind, rest=rest))
+    assert same_partition(got, brute_linkage(x, kind, 7))
+
+
+def test_linkage_odd_tables(spark):
+    schema = "id bigint, x double, y double"
+    one = spark.createDataFrame([(4, 1.0, 2.0)], schema)
+    copies = spark.createDataFrame([(i, float(i // 6), 0.0) for i in range(12)] + [(20, 50.0, 0.0)], schema)
+    for kind in ("ward", "complete", "average"):
+        assert labels_of(hierarchy.fit_agglomerative(one, ["x", "y"], "id", 1, kind)) == [0]
+        assert hierarchy.fit_agglomerative(one.filter("false"), ["x", "y"], "id", 2, kind).count() == 0
+        for rest in (3, 1024) if kind == "ward" else (1024,):
+            assert labels_of(hierarchy.fit_agglomerative(copies, ["x", "y"], "id", 3, kind, rest=rest)) == [0] * 6 + [1] * 6 + [2]
+        assert labels_of(hierarchy.fit_agglomerative(copies, ["x", "y"], "id", None, kind, distance_threshold=8.0)) == [0] * 12 + [1]
+    staged = labels_of(hierarchy.fit_agglomerative(copies, ["x", "y"], "id", 2, "ward", micro_clusters=3))
+    assert same_partition(staged, [0] * 12 + [1])
+
+
 def test_ward_merge_heights():
     x = np.array([[0.0], [1.0], [10.0], [12.0], [30.0]])
-    labels = hierarchy.merge_centers(x, np.ones(5), "ward", 3, None)
-    assert same_partition(labels.tolist(), [0, 0, 1, 1, 2])
+    merges = linkage.merge_all(np.arange(5), np.ones(5), np.abs(x - x.T), "ward")
+    assert [m[:2] for m in sorted(merges, key=lambda m: m[2])] == [(0, 1), (2, 3), (0, 2), (0, 4)]
+    heights = sorted(m[2] for m in merges)
+    assert heights == pytest.approx([1.0, 2.0, np.sqrt(2 * 2 * 2 / 4) * 10.5, np.sqrt(2 * 4 * 1 / 5) * (30 - 5.75)])
 
 
 def brute_hdbscan(x, m):
