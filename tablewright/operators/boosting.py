@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import total
 from tablewright.operators.linear import VECTOR, assemble
 from tablewright.operators.quantiles import exact_quantiles
-from tablewright.operators.trees import Growth, Tree, bin_edges, feature_share, grow, with_bins
+from tablewright.operators.trees import Growth, Tree, bin_edges, feature_share, grow, with_bins, tree_sums
 from tablewright.session import cut_lineage
 
 CUT_EVERY = 8  # rounds between checkpoints of the running margins
@@ -38,7 +38,8 @@ class BoostedModel:
     classes: list[float] | None
 
     def margins(self) -> list[Column]:
-        return [F.lit(s) + total([r[c].expression() for r in self.rounds]) * F.lit(self.learning_rate) for c, s in enumerate(self.start)]
+        sums = tree_sums([[r[c] for r in self.rounds] for c in range(len(self.start))], self.features)
+        return [F.lit(s) + v * F.lit(self.learning_rate) for s, v in zip(self.start, sums)]
 
     def importances(self) -> list[float]:
         return [sum(t.gains.get(f, 0.0) for r in self.rounds for t in r) for f in self.features]

@@ -1,7 +1,7 @@
 """Models trained by data-parallel gradient steps: SGD linear models, kernel machines on feature maps, and MLPs.
 
-A step is one Spark job: every partition sums the gradients of its rows on Arrow batches,
-the sums are combined per parameter, and only the parameter vector returns to the driver.
+A step is one Spark job: every partition sums the gradients of its rows on Arrow batches to one
+array, arrays are added up as a tree, and only arrays of the parameters' size return to the driver.
 Mini-batches are drawn by hash, so a run does not depend on how rows are partitioned.
 """
 
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ PENALTIES = ("l2", "l1", "elasticnet", None)
 SCHEDULES = ("optimal", "invscaling", "constant", "adaptive")
 ACTIVATIONS = ("relu", "tanh", "logistic", "identity")
 
+FAN = 64  # partitions whose sums are added up at once
+
 BatchGradient = Callable[[np.ndarray, np.ndarray], tuple[float, np.ndarray]]
 
 
@@ -37,23 +40,36 @@ def gradient_rows(df: DataFrame, features: Sequence[str], label: str, keys: Sequ
     return df.select(F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col(label).cast("double").alias("y"), batch.alias("batch"))
 
 
-def summed_gradient(rows: DataFrame, size: int, of: BatchGradient) -> tuple[float, np.ndarray, int]:
-    """Loss sum, gradient sum and row count over ``rows``."""
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loss, grad, n = 0.0, np.zeros(size), 0
-        for pdf in batches:
-            if len(pdf):
-                add, g = of(np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy())
-                loss, grad, n = loss + add, grad + g, n + len(pdf)
-        yield pd.DataFrame({"i": np.arange(size + 2), "v": np.concatenate([[loss, n], grad])})
-
-    sums = rows.select("x", "y").mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+def summed_gradient(rows: DataFrame, size: int, of: BatchGradient, partitions: int) -> tuple[float, np.ndarray, int]:
+    """Loss sum, gradient sum and row count over ``rows``: one array for each partition, added up in tasks where there are many."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 2)
+        for batch in batches:
+            if batch.num_rows:
+                loss, grad = of(batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1), batch.column("y").to_numpy())
+                total[0], total[1] = total[0] + loss, total[1] + batch.num_rows
+                total[2:] += grad
+        yield one_array(total)
+
+    sums = rows.select("x", "y").mapInArrow(partial, "v array<double>")
+    while partitions > FAN:  # a tree of sums: no more than FAN arrays meet in a task or on the driver
+        partitions = -(-partitions // FAN)
+        part = F.pmod(F.spark_partition_id(), F.lit(partitions)).alias("part")
+        sums = sums.select(part, "v").groupBy("part").applyInArrow(lambda t: pa.table([one_array(array_sum(t["v"])).column(0)], names=["v"]), "v array<double>")
     out = np.zeros(size + 2)
-    for r in sums:
-        out[r["i"]] = r["v"]
+    for r in sums.collect():
+        out += np.array(r["v"])
     return out[0], out[2:], int(out[1])
 
 
+def one_array(values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))], names=["v"])
+
+
+def array_sum(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1).sum(axis=0)
+
+
 def loss_and_slope(name: str, y: np.ndarray, p: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     """Loss per row and its derivative by the raw score; class labels are -1 and 1."""
     m = y * p
@@ -126,7 +142,7 @@ def _fit_scores(rows: DataFrame, features: list[str], classification: bool, loss
     if loss not in known or penalty not in PENALTIES or schedule not in SCHEDULES:
         raise ValueError(f"loss is one of {known}, penalty one of {PENALTIES}, learning_rate one of {SCHEDULES}")
     rows = rows.persist()
-    d = len(rows.select("x").first()["x"])
+    d, parts = len(rows.select("x").first()["x"]), rows.rdd.getNumPartitions()
     classes = [float(r[0]) for r in rows.select("y").distinct().orderBy("y").collect()] if classification else None
     k = 1 if classes is None or len(classes) == 2 else len(classes)
     signs = None if classes is None else (classes[1:] if k == 1 else classes)
@@ -159,7 +175,7 @@ def _fit_scores(rows: DataFrame, features: list[str], classification: bool, loss
                 return worth, grad.ravel()
 
             part = rows if batches == 1 else rows.filter(F.col("batch") == b)
-            value, grad, n = summed_gradient(part, w.size, of)
+            value, grad, n = summed_gradient(part, w.size, of, parts)
             if not n:
                 continue
             total_loss, total_n, seen, turn = total_loss + value, total_n + n, seen + n, turn + 1
@@ -196,27 +212,32 @@ def _target_scale(rows: DataFrame) -> tuple[float, float]:
 
 @dataclass(frozen=True)
 class FeatureMap:
-    """Random features whose inner products approximate a kernel (Rahimi & Recht 2007), or tensor-free sketches for the others."""
+    """Features whose inner products approximate a kernel: random ones (Rahimi & Recht 2007), or kernel values against landmarks.
+
+    Landmark values are turned by ``whiten``, the inverse square root of the landmarks' own kernel matrix (Williams & Seeger 2001),
+    so inner products of mapped landmarks are their kernel values.
+    """
 
     kernel: str
     directions: np.ndarray
     offsets: np.ndarray
     degree: int
     coef0: float
+    whiten: np.ndarray | None = None
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        m = x @ self.directions.T
+        if self.kernel == "rbf":
+            return np.sqrt(2.0 / len(self.offsets)) * np.cos(m + self.offsets)
+        z = (m + self.coef0) ** self.degree if self.kernel == "poly" else np.tanh(m + self.coef0)
+        return z if self.whiten is None else z @ self.whiten
 
     def transform(self, df: DataFrame, features: Sequence[str], out: str = "_map") -> DataFrame:
-        directions, offsets, kernel, degree, coef0 = self.directions, self.offsets, self.kernel, self.degree, self.coef0
+        mapping = self
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def mapped(x: pd.Series) -> pd.Series:
-            m = np.stack(x.to_numpy()) @ directions.T
-            if kernel == "rbf":
-                z = np.sqrt(2.0 / len(offsets)) * np.cos(m + offsets)
-            elif kernel == "poly":
-                z = (m + coef0) ** degree
-            else:
-                z = np.tanh(m + coef0)
-            return pd.Series(list(z))
+            return pd.Series(list(mapping.values(np.stack(x.to_numpy()))))
 
         return df.withColumn(out, mapped(F.array(*[F.col(f).cast("double") for f in features])))
 
@@ -232,9 +253,19 @@ def kernel_map(train: DataFrame, features: Sequence[str], keys: Sequence[str], k
     rng = np.random.default_rng(seed)
     if kernel == "rbf":
         return FeatureMap(kernel, rng.normal(size=(size, d)) * math.sqrt(2 * gamma), rng.uniform(0, 2 * math.pi, size), degree, coef0)
-    # landmark features: kernel values against hash-chosen rows (Nyström)
+    # landmarks are hash-chosen rows, as many as the map is wide
     chosen = train.orderBy(F.xxhash64(F.lit(seed), *keys)).limit(size).select(*features).collect()
-    return FeatureMap(kernel, gamma * np.array([[float(v) for v in r] for r in chosen]), np.zeros(len(chosen)), degree, coef0)
+    return landmark_map(kernel, np.array([[float(v) for v in r] for r in chosen]), gamma, degree, coef0)
+
+
+def landmark_map(kernel: str, landmarks: np.ndarray, gamma: float, degree: int, coef0: float) -> FeatureMap:
+    """The Nyström map of a polynomial or sigmoid kernel. A sigmoid kernel need not be positive; its negative part counts by size."""
+    raw = FeatureMap(kernel, gamma * landmarks, np.zeros(len(landmarks)), degree, coef0)
+    own = raw.values(landmarks)
+    power, turn = np.linalg.eigh((own + own.T) / 2)
+    size = np.abs(power)
+    root = np.divide(1.0, np.sqrt(size), out=np.zeros_like(size), where=size > 1e-10 * size.max(initial=0.0))
+    return FeatureMap(kernel, raw.directions, raw.offsets, degree, coef0, (turn * root) @ turn.T)
 
 
 @dataclass(frozen=True)
@@ -346,6 +377,7 @@ def fit_mlp(train: DataFrame, features: Sequence[str], keys: Sequence[str], labe
     flat = np.concatenate([np.concatenate([rng.uniform(-1, 1, i * o) * math.sqrt(6 / (i + o)), np.zeros(o)]) for i, o in shapes])
     held = F.col("batch") % 10 == 9 if early_stopping else F.lit(False)
     table = None if classes is None else np.array(classes)
+    parts = rows.rdd.getNumPartitions()
     centre, spread = (0.0, 1.0) if classification else _target_scale(rows)
 
     def backward(flat: np.ndarray, slopes: bool) -> BatchGradient:
@@ -380,7 +412,7 @@ def fit_mlp(train: DataFrame, features: Sequence[str], keys: Sequence[str], labe
         loss_sum, count = 0.0, 0
         for b in range(batches):
             part = rows.filter(~held & (F.col("batch") % batches == b)) if batches > 1 or early_stopping else rows
-            loss, grad, n = summed_gradient(part, len(flat), backward(flat, True))
+            loss, grad, n = summed_gradient(part, len(flat), backward(flat, True), parts)
             if not n:
                 continue
             loss_sum, count, t = loss_sum + loss, count + n, t + 1
@@ -390,7 +422,7 @@ def fit_mlp(train: DataFrame, features: Sequence[str], keys: Sequence[str], labe
         mean = loss_sum / max(count, 1)
         judged = mean
         if early_stopping:
-            loss, _, n = summed_gradient(rows.filter(held), len(flat), backward(flat, False))
+            loss, _, n = summed_gradient(rows.filter(held), len(flat), backward(flat, False), parts)
             judged = loss / max(n, 1)
         stale = stale + 1 if judged > best - tol else 0
         best = min(best, judged)

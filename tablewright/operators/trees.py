@@ -262,9 +262,9 @@ def best_split(cells: np.ndarray, rule: Growth, t: int, node: int) -> tuple:
         for f in range(n_features):
             held = np.flatnonzero(cells[f, :, 2])
             if len(held):
-                # the first occupied bin at or beyond the drawn position
+                # the threshold lies behind the last occupied bin up to the drawn position, which is never the last of all
                 spot = held[0] + int(_unit(rule.seed, t, node, f) * (held[-1] - held[0]))
-                pick[f, held[np.searchsorted(held, spot)]] = True
+                pick[f, held[np.searchsorted(held, spot, side="right") - 1]] = True
         allowed &= pick
     if rule.feature_share < 1.0:
         order = sorted(range(n_features), key=lambda f: _unit(rule.seed + 1, t, node, f))

@@ -63,21 +63,22 @@ _class_query("l12_decision_tree_classifier", lambda t, f: trees.fit_tree(t, f, c
 _value_query("l12_decision_tree_regressor", lambda t, f: trees.fit_tree(t, f, classification=False))
 _class_query("l13_random_forest_classifier", lambda t, f: trees.fit_forest(t, f))
 _value_query("l13_random_forest_regressor", lambda t, f: trees.fit_forest(t, f, classification=False, max_features="all"))
-_class_query("l14_extra_trees_classifier", lambda t, f: trees.fit_extra_trees(t, f, DOC, n_estimators=8, max_depth=4))
-_value_query("l14_extra_trees_regressor", lambda t, f: trees.fit_extra_trees(t, f, PART, classification=False, n_estimators=8, max_depth=4))
-_class_query("l15_gradient_boosting_classifier", lambda t, f: boosting.fit_gradient_boosting(t, f, DOC, n_estimators=6))
+_class_query("l14_extra_trees_classifier", lambda t, f: trees.fit_extra_trees(t, f, DOC))
+_value_query("l14_extra_trees_regressor", lambda t, f: trees.fit_extra_trees(t, f, PART, classification=False))
+_class_query("l15_gradient_boosting_classifier", lambda t, f: boosting.fit_gradient_boosting(t, f, DOC))
 _value_query("l15_gradient_boosting_regressor", lambda t, f: boosting.fit_gradient_boosting(t, f, PART, classification=False, loss="huber", n_estimators=4))
 _class_query("l16_adaboost_classifier", lambda t, f: boosting.fit_adaboost(t, f, n_estimators=6))
 _value_query("l16_adaboost_regressor", lambda t, f: boosting.fit_adaboost(t, f, classification=False, n_estimators=5))
-_class_query("l17_boosted_trees_classifier", lambda t, f: boosting.fit_boosted(t, f, DOC, preset="xgboost", n_estimators=6, max_depth=4))
+_class_query("l17_boosted_trees_classifier", lambda t, f: boosting.fit_boosted(t, f, DOC, preset="xgboost"))
 _value_query("l17_boosted_trees_regressor", lambda t, f: boosting.fit_boosted(
-    t, f, PART, classification=False, preset="lightgbm", n_estimators=6, max_depth=4, subsample=0.8, colsample_bytree=0.8))
+    t, f, PART, classification=False, preset="lightgbm", subsample=0.8, colsample_bytree=0.8))
 _class_query("l18_svm_classifier", lambda t, f: gradient.fit_svm(t, f, DOC, kernel="rbf"))
+_class_query("l18_svm_polynomial", lambda t, f: gradient.fit_svm(t, f, DOC, kernel="poly", coef0=1.0))
 _value_query("l18_svm_regressor", lambda t, f: gradient.fit_svm(t, f, PART, classification=False, kernel="linear"))
-_class_query("l19_sgd_classifier", lambda t, f: gradient.fit_sgd(t, f, DOC, loss="log_loss", max_iter=10))
-_value_query("l19_sgd_regressor", lambda t, f: gradient.fit_sgd(t, f, PART, classification=False, penalty="elasticnet", max_iter=10))
-_class_query("l20_mlp_classifier", lambda t, f: gradient.fit_mlp(t, f, DOC, hidden_layer_sizes=(16,), max_iter=10, batches=2))
-_value_query("l20_mlp_regressor", lambda t, f: gradient.fit_mlp(t, f, PART, classification=False, hidden_layer_sizes=(8,), activation="tanh", max_iter=10, batches=2))
+_class_query("l19_sgd_classifier", lambda t, f: gradient.fit_sgd(t, f, DOC, loss="log_loss"))
+_value_query("l19_sgd_regressor", lambda t, f: gradient.fit_sgd(t, f, PART, classification=False, penalty="elasticnet"))
+_class_query("l20_mlp_classifier", lambda t, f: gradient.fit_mlp(t, f, DOC))
+_value_query("l20_mlp_regressor", lambda t, f: gradient.fit_mlp(t, f, PART, classification=False, activation="tanh"))
 
 
 # the first boosting round in closed form: a stump on the residuals of the mean

@@ -170,3 +170,92 @@ def test_scoring_and_constraints(spark, numbers):
     limits = scoring.input_constraints(numbers.withColumn("kind", F.lit("one")), exclude=["id"])
     strange = spark.createDataFrame([("two", 5.0)], "kind string, a double")
     assert [r["value"] for r in scoring.violations(strange, limits, ["kind", "a"]).collect()] == ["two"]
+
+
+def brute_boosting(x, y, rounds, depth, rate, lam, least):
+    """Second-order boosting on squared error over all thresholds, by plain loops."""
+    margin = np.full(len(y), y.mean())
+
+    def tree(rows, level):
+        g = margin[rows] - y[rows]
+        whole = g.sum() ** 2 / (len(rows) + lam)
+        best = None
+        for f in range(x.shape[1]):
+            for cut in np.unique(x[rows, f])[:-1]:
+                left = x[rows, f] <= cut
+                if left.sum() < least or (~left).sum() < least:
+                    continue
+                gain = g[left].sum() ** 2 / (left.sum() + lam) + g[~left].sum() ** 2 / ((~left).sum() + lam) - whole
+                if gain > 1e-12 and (best is None or gain > best[0] + 1e-12):
+                    best = gain, f, cut
+        if level == depth or best is None:
+            return {tuple(rows): -g.sum() / (len(rows) + lam)}
+        left = x[rows, best[1]] <= best[2]
+        return tree(rows[left], level + 1) | tree(rows[~left], level + 1)
+
+    for _ in range(rounds):
+        step = np.zeros(len(y))
+        for rows, value in tree(np.arange(len(y)), 0).items():
+            step[list(rows)] = value
+        margin = margin + rate * step
+    return margin
+
+
+def test_first_rounds_equal_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, size=(160, 3)).astype(float)
+    y = np.sin(x[:, 0]) * 3 + x[:, 1] + rng.normal(0, 0.1, 160)
+    rows = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id bigint, a double, b double, c double, label double").repartition(5)
+    model = boosting.fit_boosted(rows, ["a", "b", "c"], ["id"], classification=False, n_estimators=3, max_depth=3, learning_rate=0.3, reg_lambda=1.0, min_child_weight=2)
+    got = [r["prediction"] for r in model.transform(rows).orderBy("id").collect()]
+    assert np.allclose(got, brute_boosting(x, y, 3, 3, 0.3, 1.0, 2), atol=1e-9)
+
+
+def test_histograms_in_several_passes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, *map(float, rng.normal(size=2)), float(i % 3)) for i in range(400)], "id bigint, a double, b double, label double")
+    whole = trees.fit_extra_trees(rows, ["a", "b"], ["id"], n_estimators=3, max_depth=4)
+    monkeypatch.setattr(trees, "LEVEL_CELLS", 300)
+    monkeypatch.setattr(trees, "GROUP_CELLS", 100)
+    parts = trees.fit_extra_trees(rows, ["a", "b"], ["id"], n_estimators=3, max_depth=4)
+    assert [t.splits for t in whole.trees] == [t.splits for t in parts.trees]
+
+
+def test_tree_of_many_leaves(spark):
+    """A full tree of 2**17 leaves scores from flat arrays, and a deep one grows until every cell of its bins is a leaf."""
+    full = trees.Tree({n: ("x", (2 * n + 1 - 2 ** (n.bit_length())) / 2 ** n.bit_length()) for n in range(1, 2**17)}, {2**17 + i: float(i) for i in range(2**17)})
+    points = spark.range(1000).select((F.col("id") / 1000 + 0.0005).alias("x"))
+    assert points.select("x", full.expression().alias("v")).filter("v <> ceil(x * 131072) - 1").count() == 0  # a value on a threshold goes left
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, *map(float, rng.integers(0, 16, 3)), float(rng.normal())) for i in range(3000)], "id bigint, a double, b double, c double, label double")
+    forest = trees.fit_extra_trees(rows, ["a", "b", "c"], ["id"], classification=False, n_estimators=1, max_depth=None, max_features=None)
+    means = rows.groupBy("a", "b", "c").agg(F.avg("label").alias("m"))
+    assert len(forest.trees[0].values) == means.count() > 1500
+    assert forest.transform(rows).join(means, ["a", "b", "c"]).filter("abs(prediction - m) > 1e-9").count() == 0
+
+
+@pytest.mark.parametrize("kernel", ["poly", "sigmoid"])
+def test_landmark_map_is_the_kernel_on_landmarks(kernel):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 40))
+    mapping = gradient.landmark_map(kernel, x, 0.02, 3, 1.0)
+    z = mapping.values(x)
+    m = 0.02 * x @ x.T + 1.0
+    own = m**3 if kernel == "poly" else np.tanh(m)
+    if kernel == "sigmoid":  # its negative part counts by size
+        power, turn = np.linalg.eigh(own)
+        own = (turn * np.abs(power)) @ turn.T
+    assert np.allclose(z @ z.T, own, atol=1e-8 * np.abs(own).max())
+    copies = gradient.landmark_map(kernel, np.vstack([x, x]), 0.02, 3, 1.0).values(x)
+    assert np.isfinite(copies).all() and np.allclose(copies @ copies.T, own, atol=1e-6 * np.abs(own).max())
+
+
+def test_gradient_sums_as_a_tree(spark, monkeypatch):
+    rows = spark.range(600).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"), F.lit(2.0).alias("y")).repartition(9)
+    def of(x, y):
+        return float(y.sum()), (x * y[:, None]).sum(axis=0)
+
+    for fan in (2, 64):
+        monkeypatch.setattr(gradient, "FAN", fan)
+        loss, grad, n = gradient.summed_gradient(rows, 2, of, 9)
+        assert (loss, n) == (1200.0, 600) and grad.tolist() == [2.0 * 599 * 300, 1200.0]
