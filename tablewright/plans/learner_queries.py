@@ -77,7 +77,7 @@ _class_query("l18_svm_polynomial", lambda t, f: gradient.fit_svm(t, f, DOC, kern
 _value_query("l18_svm_regressor", lambda t, f: gradient.fit_svm(t, f, PART, classification=False, kernel="linear"))
 _class_query("l19_sgd_classifier", lambda t, f: gradient.fit_sgd(t, f, DOC, loss="log_loss"))
 _value_query("l19_sgd_regressor", lambda t, f: gradient.fit_sgd(t, f, PART, classification=False, penalty="elasticnet"))
-_class_query("l20_mlp_classifier", lambda t, f: gradient.fit_mlp(t, f, DOC))
+_class_query("l20_mlp_classifier", lambda t, f: gradient.fit_mlp(t, f, DOC, max_iter=50))
 _value_query("l20_mlp_regressor", lambda t, f: gradient.fit_mlp(t, f, PART, classification=False, activation="tanh"))
 
 
