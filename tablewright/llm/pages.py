@@ -5,7 +5,9 @@ ratio is its characters over its tags. Ratios are smoothed along the page, and l
 standard deviation of all form the content cluster. Content lines select regions: the articles that hold any, or without
 articles the smallest block that holds all of the content. A selected region gives all of its lines, so a short paragraph
 between long ones stays. Elements that by their tag, role, class or id are menus, headers, footers, sidebars, notices, adverts,
-forms or comments never take part; of an article's own header the heading does.
+forms or comments never take part; of an article's own header the heading does. A class or id such as ``has-sidebar`` or
+``tag-promo`` tells of something else than the element itself and does not count, and an element that is furniture by its
+names, its role or as a form, but holds most of the page's running text, is a wrapper: it stays, and what is in it is judged anew.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from tablewright.llm.shared import lean, small_batches
 
 # Element names of the HTML standard by their part here, and the class, id and role words of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOISE_TAGS = frozenset("script style noscript template nav footer aside form button select textarea option iframe object svg canvas head title dialog menu audio video math".split())
+NOISE_TAGS = frozenset("script style noscript template nav footer aside button label legend select textarea option iframe object svg canvas head title dialog menu audio video math".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
  head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption title""".split())
 REGIONS = frozenset("article main".split())
@@ -39,6 +41,9 @@ NOISE_WORDS = frozenset("""ad ads adbox adsense adslot advert adverts advertisem
  pager login search copyright legal disclaimer skip skiplink teaser outbrain taboola paywall feedback responses guestbook""".split())
 NOISE_STEMS = ("advert", "adsense", "adslot", "adunit", "adbanner", "adcontainer", "sponsor", "promo", "cookie", "sidebar", "navbar", "navigation", "breadcrumb",
                "newsletter", "subscri", "recommend", "popup", "paginat", "disqus", "commentlist", "commentform")
+COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus discussion feedback responses guestbook".split())
+# words before a furniture word by which a class tells of the page's build or subject
+MODIFIERS = frozenset("has have with without no not is in tag tags category cat topic subject format layout theme type status supports js".split())
 HEADER_WORDS = frozenset("header masthead".split())
 ARTICLE_WORDS = frozenset("article post entry story content".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -51,10 +56,15 @@ RADIUS = 2
 class _Lines(HTMLParser):
     """Collects ``(text, tags, link characters, region, in an article, in a list item, first heading)`` for each line."""
 
-    def __init__(self) -> None:
+    def __init__(self, wrappers: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        # open elements: (tag, in furniture, in a header (1: of the page, 2: of an article), region, in an article, in a link, list item, heading, h1)
-        self.open: list[tuple[str, bool, int, int, bool, bool, bool, bool, bool]] = [("", False, 0, 0, False, False, False, False, False)]
+        self.wrappers = wrappers  # start tags, by number, that are no furniture whatever their names
+        self.starts = 0
+        # furniture by names, role or form: (start tag, enclosing one, of comments, in an article); and [characters, in links, in articles] of each, 0 for the page
+        self.boxes: list[tuple[int, int, bool, bool]] = [(0, -1, False, False)]
+        self.sizes = [[0, 0, 0]]
+        # open elements: (tag, in furniture (-1: by its tag, else a box), in a header (1: of the page, 2: of an article), region, in an article, in a link, list item, heading, h1)
+        self.open: list[tuple[str, int, int, int, bool, bool, bool, bool, bool]] = [("", 0, 0, 0, False, False, False, False, False)]
         self.count: dict[str, int] = {}  # open elements by tag
         self.parent = [-1]  # enclosing region of each region
         self.lines: list[tuple[str, int, int, int, bool, bool, bool]] = []
@@ -71,6 +81,7 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        self.starts += 1
         if tag == "br":
             self.text.append(" ")
         if tag in BLOCKS:
@@ -86,8 +97,14 @@ class _Lines(HTMLParser):
         if tag in REGIONS or tag in HOLDERS and not inside:
             self.parent.append(region)
             region, inside = len(self.parent) - 1, inside or tag in REGIONS
-        if not noise:
-            noise = tag in NOISE_TAGS or bool(attrs) and self._furniture(tag, attrs)
+        if noise >= 0 and (tag in NOISE_TAGS or attrs and self._hidden(attrs)):
+            noise = -1
+        elif noise >= 0 and (tag == "form" or attrs) and self.starts not in self.wrappers:
+            words = self._furniture(tag, attrs)
+            if words or tag == "form":
+                self.boxes.append((self.starts, noise, bool(words & COMMENT_WORDS), inside))
+                self.sizes.append([0, 0, 0])
+                noise = len(self.boxes) - 1
         if not header:
             header = 1 if tag == "header" else self._header(tag, attrs) if attrs else 0
             header = 2 if header and inside else header
@@ -100,18 +117,26 @@ class _Lines(HTMLParser):
         words = {w.lower() for name, value in attrs if value and name in ("class", "id") for w in _NAMES.findall(value) + _PARTS.findall(value)}
         return 0 if not words & HEADER_WORDS else 2 if words & ARTICLE_WORDS else 1
 
-    def _furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _hidden(self, attrs: list[tuple[str, str | None]]) -> bool:
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower()
+                   for name, value in attrs)
+
+    def _furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+        """The words of role, class and id that make the element furniture."""
+        found: set[str] = set()
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
             if not value or tag in ("html", "body", "main"):
                 continue
-            if name == "role" and value.lower() in NOISE_ROLES or name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
-            if name in ("class", "id") and any(
-                    p in NOISE_WORDS or p.startswith(NOISE_STEMS) for p in map(str.lower, _NAMES.findall(value) + _PARTS.findall(value))):
-                return True
-        return False
+            if name == "role" and value.lower() in NOISE_ROLES:
+                found.add(value.lower())
+            if name in ("class", "id"):
+                for each in value.split():
+                    parts = [p.lower() for p in _PARTS.findall(each)]
+                    words = [w.lower() for w in _NAMES.findall(each)] + parts
+                    first = next((i for i, p in enumerate(parts) if p in MODIFIERS), len(parts))
+                    told = set(parts[first + 1:]) - set(parts[:first])
+                    found |= {w for w in words if (w in NOISE_WORDS or w.startswith(NOISE_STEMS)) and w not in told}
+        return found
 
     def _close(self, tag: str, within: frozenset[str]) -> None:
         """Close an open ``tag``, and what is open in it, unless an element of ``within`` hides it."""
@@ -134,6 +159,12 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         _, noise, header, region, inside, link, item, heading, first = self.open[-1]
+        size = len(data.strip()) if noise >= 0 else 0
+        if size:
+            sizes = self.sizes[noise]
+            sizes[0] += size
+            sizes[1] += size if link else 0
+            sizes[2] += size if inside else 0
         if noise or header == 1 or header == 2 and not heading:
             return
         if not self.text:
@@ -150,15 +181,44 @@ def smooth(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return np.convolve(values, kernel, "full")[radius:len(values) + radius] / np.convolve(np.ones(len(values)), kernel, "full")[radius:len(values) + radius]
 
 
-def main_text(html: str) -> str:
-    """The main text of one page, a line for each block; empty if there is none."""
-    parser = _Lines()
+def _wrappers(parser: _Lines) -> frozenset[int]:
+    """Start tags of furniture that holds most of the running text, from the outside in."""
+    boxes, sizes = parser.boxes, [list(x) for x in parser.sizes]
+    inner: list[list[int]] = [[] for _ in boxes]
+    for box in range(len(boxes) - 1, 0, -1):
+        if not boxes[box][2]:  # readers' comments may be longer than the article
+            inner[boxes[box][1]].append(box)
+            sizes[boxes[box][1]] = [a + b for a, b in zip(sizes[boxes[box][1]], sizes[box])]
+    found, at, articles = set(), 0, 0
+    while inner[at]:
+        articles += sizes[at][2] - sum(sizes[box][2] for box in inner[at])
+        box = max(inner[at], key=lambda b: sizes[b][0])
+        (held, linked, in_article), total = sizes[box], sizes[at][0]
+        most = 4 * held > 3 * total if articles else 2 * held > total or in_article and 4 * held > total
+        if 2 * linked > held or not most or articles and not boxes[box][3]:
+            break
+        found.add(boxes[box][0])
+        at = box
+    return frozenset(found)
+
+
+def _parse(html: str, wrappers: frozenset[int] = frozenset()) -> _Lines:
+    parser = _Lines(wrappers)
     # past the last ">" no tag is complete: what looks like the begin of one is dropped, as at a page's end, without trying every "<"
     end = html.rfind(">") + 1
     parser.feed(html[:end])
     parser.close()
     parser.handle_data(unescape(_UNFINISHED.split(html[end:], maxsplit=1)[0]))
     parser._cut()
+    return parser
+
+
+def main_text(html: str) -> str:
+    """The main text of one page, a line for each block; empty if there is none."""
+    parser = _parse(html)
+    wrappers = _wrappers(parser)
+    if wrappers:
+        parser = _parse(html, wrappers)
     # a list item that is nothing but a link is a menu entry, unless it stands in an article
     lines = [x for x in parser.lines if x[4] or not (x[5] and x[2] >= len(x[0]))]
     if not lines:
