@@ -66,13 +66,16 @@ def assign_shards(df: DataFrame, key: str, shards: Sequence[str], size: int = TA
 def write_shards(df: DataFrame, path: str, key: str, shards: Sequence[str], size: int = TABLE_SIZE, files: int = 1) -> None:
     """Write each shard to its own folder ``shard=<name>``, in ``files`` files that share its rows by slot and row order.
 
-    A shard's rows are spread over ``files`` tasks by a hash of slot and text of the row, so a key that holds much of the
-    table does not end in one file unless ``files`` is 1.
+    A shard's rows are spread over ``files`` tasks by a hash of all their values, so a key that holds much of the table does
+    not end in one file unless ``files`` is 1, and a task that runs again deals its rows as before. Equal rows meet in one file.
     """
     placed = assign_shards(df, key, shards, size)
     plain = [c for c in placed.columns if c not in ("slot", "shard")]
-    spread = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in plain], F.rand(7)), F.lit(files))
-    placed.withColumn("_file", spread).repartition(len(shards) * files, "shard", "_file").drop("_file", "slot").write.partitionBy("shard").parquet(path)
+    file = "_file"
+    while file in placed.columns:
+        file += "_"
+    spread = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in plain]), F.lit(files))
+    placed.withColumn(file, spread).repartition(len(shards) * files, "shard", file).drop(file, "slot").write.partitionBy("shard").parquet(path)
 
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
