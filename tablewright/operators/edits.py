@@ -81,8 +81,17 @@ def update_cell(df: DataFrame, target: int, column: str, value: str | float | No
 
 
 def apply_cell_edits(df: DataFrame, edits: DataFrame, column: str, row_id: str = ROW_ID) -> DataFrame:
-    """Many edits of one column at once: ``edits`` holds ``(row_id, value)``, value may be NULL."""
-    patch = edits.select(F.col(row_id), F.col("value").alias("_value"), F.lit(True).alias("_hit"))
+    """Many edits of one column at once: ``edits`` holds ``(row_id, value)``, value may be NULL.
+
+    A cell that is named more than once takes the value of its largest ``order``, if ``edits`` has such a column; values that differ
+    without an order between them end the job with an error.
+    """
+    order = F.col("order") if "order" in edits.columns else F.lit(0)
+    last = edits.groupBy(row_id, order.alias("_o")).agg(
+        F.max("value").alias("_value"), (F.coalesce(F.min("value") != F.max("value"), F.lit(False)) | ((F.count("value") > 0) & (F.count("value") < F.count("*")))).alias("_torn"))
+    newest = last.groupBy(row_id).agg(F.max_by(F.struct("_value", "_torn"), "_o").alias("_e"))
+    torn = F.raise_error(F.lit("edits give a cell two values")).cast(edits.schema["value"].dataType)
+    patch = newest.select(F.col(row_id), F.when(F.col("_e._torn"), torn).otherwise(F.col("_e._value")).alias("_value"), F.lit(True).alias("_hit"))
     joined = df.join(patch, row_id, "left")
     merged = F.when(F.col("_hit"), F.col("_value").cast(df.schema[column].dataType)).otherwise(F.col(column))
     return joined.withColumn(column, merged).select(*df.columns)

@@ -358,3 +358,32 @@ def test_streamed_centres_survive_a_restart(spark, blobs, tmp_path):
     assert got.weights == want.weights and all(abs(a - b) < 1e-9 for p, q in zip(got.centers, want.centers) for a, b in zip(p, q))
     again = online.update_on_stream(online.read_stream(spark, folder, blobs, 1), start, progress)  # nothing new
     assert again.centers == got.centers
+
+
+def test_leading_vectors_against_numpy(spark):
+    from tablewright.operators.spectral import leading_vectors, normalised_edges
+    rng = np.random.default_rng(4)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 150, (700, 2)) if a != b}
+    rows = [(a, b, float(rng.uniform(0.2, 1))) for a, b in sorted(pairs)]
+    w = np.zeros((150, 150))
+    for a, b, v in rows:
+        w[a, b] = w[b, a] = v
+    d = w.sum(axis=1)
+    values, vectors = np.linalg.eigh(w / np.sqrt(np.outer(d, d)))
+    frame, got = leading_vectors(normalised_edges(spark.createDataFrame(rows, "src bigint, dst bigint, weight double")), 4)
+    pdf = frame.toPandas().set_index("id").sort_index()
+    assert np.allclose(got, values[::-1][:4], atol=1e-6)
+    for j in range(4):
+        want = vectors[:, -1 - j]
+        have = pdf[f"e{j}"].to_numpy()
+        assert np.abs(have * np.sign(have @ want) - want).max() < 1e-4
+
+
+def test_edits_of_one_cell(spark):
+    from tablewright.operators import edits
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "_row_id bigint, v double")
+    twice = spark.createDataFrame([(1, 5.0, 1), (1, 6.0, 2), (2, None, 1), (2, None, 1), (9, 1.0, 1)], "_row_id bigint, value double, order int")
+    got = edits.apply_cell_edits(df, twice, "v")
+    assert {r["_row_id"]: r.v for r in got.collect()} == {1: 6.0, 2: None, 3: 3.0} and got.count() == 3
+    with pytest.raises(Exception, match="two values"):
+        edits.apply_cell_edits(df, twice.drop("order"), "v").collect()
