@@ -14,6 +14,8 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.shared import private_names
+
 # Equivalent spellings, as whole words of a line in lower case without punctuation; applied in this order.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "non commercial": "noncommercial",
@@ -178,19 +180,20 @@ def scan_licenses(df: DataFrame, text: str = "text", licenses: Mapping[str, tupl
     """
     kept = [c for c in df.columns if c not in ("license", "licenses", "license_units")]
     known = known_digests(df.sparkSession, licenses)
-    rows = df.select(*kept, canonical_blocks(F.coalesce(text, F.lit(""))).alias("_blocks"))
-    rows = rows.withColumn("_whole", F.sha2(canonical_text(F.flatten("_blocks")), 256))
-    rows = rows.join(F.broadcast(known.withColumnRenamed("digest", "_whole")), "_whole", "left")
+    blocks, whole, found = private_names(df.columns, "_blocks", "_whole", "_found")
+    rows = df.select(*kept, canonical_blocks(F.coalesce(text, F.lit(""))).alias(blocks))
+    rows = rows.withColumn(whole, F.sha2(canonical_text(F.flatten(blocks)), 256))
+    rows = rows.join(F.broadcast(known.withColumnRenamed("digest", whole)), whole, "left")
     # the digests of all units, distinct; the known ones are looked up in constant maps, one for each first byte as a map is searched in turn
-    parts = F.concat(F.array(canonical_text(F.flatten("_blocks"))), F.transform("_blocks", canonical_text), F.flatten("_blocks"))
+    parts = F.concat(F.array(canonical_text(F.flatten(blocks))), F.transform(blocks, canonical_text), F.flatten(blocks))
     digests = F.transform(F.array_distinct(F.filter(parts, lambda u: u != "")), lambda u: F.sha2(u, 256))
     maps: list[dict[str, str]] = [{} for _ in range(256)]
     for r in known.collect():  # as many as the list
         maps[int(r["digest"][:2], 16)][r["digest"]] = r["license"]
     names = F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>")  # one literal, folded once, in place of one for each digest
-    rows = rows.withColumn("_found", F.filter(F.transform(digests, lambda d: F.element_at(
+    rows = rows.withColumn(found, F.filter(F.transform(digests, lambda d: F.element_at(
         F.element_at(names, F.conv(F.substring(d, 1, 2), 16, 10).cast("int") + 1), d)), lambda n: n.isNotNull()))
-    return rows.select(*kept, "license", F.array_sort(F.array_distinct("_found")).alias("licenses"), F.size("_found").cast("bigint").alias("license_units"))
+    return rows.select(*kept, "license", F.array_sort(F.array_distinct(found)).alias("licenses"), F.size(found).cast("bigint").alias("license_units"))
 
 
 def license_sql(licenses: Mapping[str, tuple[str, ...]] = LICENSES) -> str:

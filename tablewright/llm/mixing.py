@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.shared import broadcast_if_small
+from tablewright.llm.shared import broadcast_if_small, private_names
 from tablewright.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,17 +120,17 @@ def mix_sources(df: DataFrame, levels: Mapping[str, Column], weights: Weights, p
     Rows with equal keys stand at one place and are taken together. A document is taken only if the prefix up to it fits the
     budget. Columns of ``df`` are returned unchanged; one named ``epoch`` is replaced. An empty table gives no rows.
     """
-    names = [f"_level_{n}" for n in levels]
+    *names, full, cut, times = private_names(df.columns, *[f"_level_{n}" for n in levels], "_full", "_cut", "_times")
     source = df.drop("epoch").select("*", *[F.coalesce(e.cast("string"), F.lit("")).alias(n) for n, e in zip(names, levels.values())])
     count = (word_count(text) if tokens is None else tokens).cast("bigint")
     counted = cut_lineage(source.select(F.col(key).alias("_key"), *names, count.alias("tokens")))
-    renamed = {f"_level_{n}": dict(values) for n, values in weights.items()}
-    cuts = leaf_cuts(counted, names, "_key", renamed, percent, epochs, seed)
-    cuts = cuts.select(*names, F.col("full").alias("_full"), F.col("cut").alias("_cut")).filter("_full > 0 OR _cut IS NOT NULL")
+    targets = {name: dict(weights[n]) for name, n in zip(names, levels) if n in weights}
+    cuts = leaf_cuts(counted, names, "_key", targets, percent, epochs, seed)
+    cuts = cuts.select(*names, F.col("full").alias(full), F.col("cut").alias(cut)).filter((F.col(full) > 0) | F.col(cut).isNotNull())
     taken = source.join(broadcast_if_small(cuts), names)
-    times = F.col("_full") + F.coalesce(order_hash(key, "_full", seed) <= F.col("_cut"), F.lit(False)).cast("int")
-    taken = taken.withColumn("_times", times).filter("_times > 0")
-    return taken.select(*[c for c in df.columns if c != "epoch"], F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch"))
+    count_taken = F.col(full) + F.coalesce(order_hash(key, full, seed) <= F.col(cut), F.lit(False)).cast("int")
+    taken = taken.withColumn(times, count_taken).filter(F.col(times) > 0)
+    return taken.select(*[c for c in df.columns if c != "epoch"], F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias("epoch"))
 
 
 # The tree and the targets of the registered query, and the first hex digits that mark a domain.

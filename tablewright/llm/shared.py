@@ -19,6 +19,14 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if size <= limit else df
 
 
+def private_names(columns: Sequence[str], *stems: str) -> list[str]:
+    """Names for columns made on the way: the stems, lengthened alike until none of them is one of ``columns``."""
+    taken, tail = {c.lower() for c in columns}, ""
+    while any((stem + tail).lower() in taken for stem in stems):
+        tail += "_"
+    return [stem + tail for stem in stems]
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches that hold whole groups, and where each group begins, from batches sorted by integer ``keys``.
 

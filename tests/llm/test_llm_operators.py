@@ -35,6 +35,7 @@ def odd(spark):
             (3, None, None, "src1", 3), (None, "lost id", "fr", "src2", 4), (4, long, "es", "src0", 5), (5, long + " more", "es", None, 6),
             (6, " \n\t ", "en", "src1", 7), (7, "Released under the MIT License.", "en", "src1", 8), (8, "mail a@b.co", None, None, None)]
     names = "key comp unit digest score ids pii shard slot license licenses epoch n_words kept text_ tokens".split()
+    names += "_blocks _whole _found _times _full _cut _level_lang _key _score".split()
     return spark.createDataFrame(rows, DOC).select("*", *[F.lit("x").alias(n) for n in names])
 
 
@@ -180,6 +181,7 @@ def test_mixing_odd(odd, none):
     levels = {"lang": F.col("lang"), "source": F.col("source")}
     whole = mixing.mix_sources(odd, levels, {}, percent=100)
     assert sorted(whole.columns) == sorted(odd.columns) and whole.filter("doc_id = 1").count() == 2 and whole.filter("text <> '' AND trim(text) = ''").count() <= 1
+    assert whole.filter("_times = 'x' AND _full = 'x' AND _level_lang = 'x'").count() == whole.count()
     assert mixing.mix_sources(odd, levels, {"lang": {"*": 0}}, percent=100).count() == 0
     assert mixing.mix_sources(none, levels, {}).count() == 0
 
@@ -196,6 +198,7 @@ def test_sharding_odd(odd, none, spark, tmp_path):
 def test_licenses_odd(odd, none, spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(odd).collect()}
     assert got[7].license == "MIT" and got[7].licenses == ["MIT"] and got[7].license_units == 1
+    assert all(r["_blocks"] == r["_whole"] == r["_found"] == "x" for r in got.values())
     assert got[3].license is None and got[2].licenses == [] and got[4].license_units == 0
     assert licenses.scan_licenses(none).count() == 0
     text = "Copyright (c) 2020 A. Name\n\n" + licenses._MIT.upper().replace("SUBLICENSE", "SUB-LICENSE").replace(" ", "  ").replace(".", " .")
@@ -322,7 +325,8 @@ def test_pipeline(spark, sf, db):
 
 
 def test_pipeline_stages_odd(spark, sf, odd, none):
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", "_score", "_times", "_full")
+    assert set(corpus_pipeline.keep_good(spark, docs, sf).columns) == set(docs.columns)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none.select(*docs.columns), sf).count() == 0, name
         out = stage(spark, docs, sf)
