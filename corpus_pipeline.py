@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import minhash, mixing, pii, quality, subwords
 from tablewright.llm.queries import KEEP_FROM, held_out, piece_model, table, token_digests
+from tablewright.llm.shared import private_names
 from tablewright.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels that are not held out."""
+    """Documents that the quality classifier accepts; it learns from the labels that are not held out.
+
+    NULL and empty texts are judged as texts without words, long ones whole; equal texts get equal verdicts.
+    """
     labels = table(spark, sf_dir, "labels")
     model = quality.fit_quality(docs, labels.filter(~held_out()))
-    return quality.score_quality(docs, model, score="_score").filter(F.col("_score") >= KEEP_FROM).drop("_score")
+    (score,) = private_names(docs.columns, "_score")
+    return quality.score_quality(docs, model, score=score).filter(F.col(score) >= KEEP_FROM).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +37,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with marks in place of personal data and secrets."""
+    """All documents, with marks in place of personal data and secrets, in texts of any length. NULL and empty texts stay as they are."""
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """90 % of the tokens, in the shares of the target weights as far as one pass over each leaf can meet them."""
+    """90 % of the tokens, in the shares of the target weights as far as one pass over each leaf can meet them.
+
+    A NULL language or source is a leaf of its own; texts without words go with their place in the order, and rows of one id go together.
+    """
     return mixing.mix_sources(docs, mixing.corpus_levels(), mixing.WEIGHTS, percent=90, epochs=1, seed=1).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of the ids and of the decoded text, for each document."""
+    """Number of tokens and digests of the ids and of the decoded text, for each document. NULL and empty texts hold the end id only."""
     ids = subwords.encode_pieces(docs.select("doc_id", "text"), piece_model()).drop("text")
     return token_digests(subwords.decode_pieces(ids, piece_model()))
 
