@@ -6,16 +6,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.functions.columns import total
 from tablewright.functions.distances import Space, cross_distances
 from tablewright.operators.density import _spread_to_copies, distinct_points
 from tablewright.operators.graph import number_clusters
+from tablewright.operators.kmeans import fit_kmeans
 from tablewright.operators.neighbors import nearest_neighbors
 from tablewright.operators.pairwise import as_points, near_blocks
 from tablewright.operators.quantiles import exact_quantiles
+from tablewright.operators.spectral import leading_vectors, normalised_edges
 from tablewright.session import cut_lineage
 
 FEW_SEEDS = 2000  # seeds that may travel with the task instead of being joined
@@ -234,7 +236,10 @@ def fit_affinity_propagation(df: DataFrame, features: Sequence[str], id_col: str
 
 def fit_spectral(df: DataFrame, features: Sequence[str], id_col: str, n_clusters: int = 3, affinity: str = "rbf", n_neighbors: int = 10,
                  gamma: float = 1.0, degree: float = 3.0, coef0: float = 1.0, max_iter: int = 20) -> DataFrame:
-    """``(id, cluster)`` by power iteration (Lin & Cohen 2010) on a sparse affinity table."""
+    """``(id, cluster)`` by k-means over the leading eigenvectors of a sparse normalised affinity, rows scaled to length 1 (Ng et al. 2002).
+
+    Rows without any affinity are -1. Iteration stops at ``max_iter`` filters or at residuals below 1e-4.
+    """
     metric = "cosine" if affinity == "cosine" else "sqeuclidean"
     near = nearest_neighbors(df, df, features, id_col, n_neighbors, metric, skip_self=True)
     edges = near.select(F.col(id_col).cast("bigint").alias("src"), F.col("neighbor").cast("bigint").alias("dst"), "distance")
@@ -258,6 +263,10 @@ def fit_spectral(df: DataFrame, features: Sequence[str], id_col: str, n_clusters
     # each pair once: both directions of a neighbour relation add up
     undirected = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), weight.alias("weight"))
     table = undirected.groupBy("src", "dst").agg((F.sum("weight") / 2).alias("weight")).filter("weight > 0")
-    found = PowerIterationClustering(k=n_clusters, maxIter=max_iter, initMode="degree", weightCol="weight").assignClusters(table)
+    vectors, _ = leading_vectors(normalised_edges(table), n_clusters, max_iter, tol=1e-4)
+    axes = vectors.columns[1:]
+    length = F.sqrt(total([F.col(e) * F.col(e) for e in axes]))
+    rows = cut_lineage(vectors.select("id", *[F.when(length > 0, F.col(e) / length).otherwise(0.0).alias(e) for e in axes]))
+    found = fit_kmeans(rows, axes, n_clusters).transform(rows).select("id", "cluster") if axes else rows.withColumn("cluster", F.lit(0))
     alone = df.select(F.col(id_col).cast("bigint").alias("id")).join(found, "id", "left")
     return alone.select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster"))
