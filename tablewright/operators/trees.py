@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.linear import SparkModel, VECTOR, assemble
+from tablewright.session import spread
 
 MAX_SPARK_DEPTH = 30  # fixed value: deepest tree Spark accepts
 SMALL_TREE = 31  # splits of a tree that is written as column arithmetic
 NO_LIMIT = 10**9  # levels; growth ends when no node can be split
 LEVEL_CELLS = 4_000_000  # histogram cells that a task fills in one pass
 GROUP_CELLS = 200_000  # cells that are judged together
+GROUP_BYTES = 64 << 20  # of histograms that one task receives from all partitions together
 
 
 def _tree_params(max_depth: int | None, min_samples_leaf: int, min_weight_fraction: float, min_gain: float, seed: int,
@@ -102,7 +104,7 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label",
               "featureSubsetStrategy": _subset(max_features), **params}
     kind = RandomForestClassifier if classification else RandomForestRegressor
     estimator = kind(impurity=_impurity(criterion, classification), **common)
-    return SparkModel(list(features), estimator.fit(assemble(train, features)))
+    return SparkModel(list(features), estimator.fit(spread(assemble(train, features))))
 
 
 def feature_importance(model, spark, top: int | None = None) -> DataFrame:
@@ -277,13 +279,19 @@ def best_split(cells: np.ndarray, rule: Growth, t: int, node: int) -> tuple:
     return float(whole[0]), float(whole[1]), float(gain[f, b]), f, b, float(run[f, b, 0]), float(run[f, b, 1])
 
 
-def _level(packed: DataFrame, flat: list[FlatTree], nodes: list[tuple[int, int]], n_features: int, bins: int, rule: Growth) -> list:
+def judged_together(size: int, parts: int) -> int:
+    """How many nodes of ``size`` cells a task judges: each of ``parts`` partitions sends it their histograms."""
+    return max(1, min(GROUP_CELLS, GROUP_BYTES // (24 * max(parts, 1))) // size)
+
+
+def _level(packed: DataFrame, flat: list[FlatTree], nodes: list[tuple[int, int]], n_features: int, bins: int, rule: Growth,
+           target: list[int], parts: int) -> list:
     """The best split of each open node ``(tree, node)``: histograms within partitions, summed as arrays, judged per group of nodes."""
     by_tree: dict[int, list[tuple[int, int]]] = {}
     for slot, (t, node) in enumerate(nodes):
         by_tree.setdefault(t, []).append((slot, node))
     size = n_features * bins
-    group = max(1, GROUP_CELLS // size)
+    group = judged_together(size, parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(nodes), size, 3))
@@ -297,10 +305,11 @@ def _level(packed: DataFrame, flat: list[FlatTree], nodes: list[tuple[int, int]]
             x, g, h = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("bins", "g", "h"))
             for t, own in by_tree.items():
                 slot = slots[t][flat[t].leaves(x)]
-                keep = np.flatnonzero((slot >= 0) & (h[:, t] > 0))
+                c = target[t]
+                keep = np.flatnonzero((slot >= 0) & (h[:, c] > 0))
                 cell = (slot[keep, None] * size + np.arange(n_features) * bins + x[keep]).ravel()
                 part = total[own[0][0]:own[0][0] + len(own)].reshape(-1, 3)
-                for i, w in enumerate((g[keep, t], h[keep, t], None)):
+                for i, w in enumerate((g[keep, c], h[keep, c], None)):
                     part[:, i] += np.bincount(cell, None if w is None else np.repeat(w, n_features), minlength=len(part))
         held = np.flatnonzero(total[:, :, 2].any(axis=1))
         for k in range(0, len(held), group):
@@ -328,15 +337,19 @@ def grow(binned: DataFrame, features: Sequence[str], edges: dict[str, list[float
     Gain and leaf weight follow Chen & Guestrin (2016): G²/(H+λ), −G/(H+λ), with soft-thresholded G for ``reg_alpha``.
     ``random_threshold`` lets a hash draw one threshold per node and feature, as extremely randomised trees do. Each partition
     fills one array of histograms; open nodes whose arrays would pass ``LEVEL_CELLS`` are taken in several passes. A level sends
-    the driver one row for each open node.
+    the driver one row for each open node. A pair that several trees share is held once.
     """
     trees = [Tree() for _ in targets]
+    pairs = {id(p): p for p in targets}
+    place = {name: c for c, name in enumerate(pairs)}
+    target = [place[id(p)] for p in targets]
     features = list(features)
     bins = max((len(edges[f]) for f in features), default=0) + 1
     packed = binned.select(F.array(*[F.col(f"_b_{f}").cast("int") for f in features]).alias("bins"),
-                           F.array(*[g.cast("double") for g, _ in targets]).alias("g"), F.array(*[h.cast("double") for _, h in targets]).alias("h"))
+                           F.array(*[g.cast("double") for g, _ in pairs.values()]).alias("g"), F.array(*[h.cast("double") for _, h in pairs.values()]).alias("h"))
     # a level reads the rows once: what the targets compute is kept for the whole tree
     packed = packed.persist()
+    parts = packed.rdd.getNumPartitions()
 
     def leaf(g: float, h: float) -> float:
         g = math.copysign(max(abs(g) - rule.reg_alpha, 0.0), g)
@@ -348,7 +361,7 @@ def grow(binned: DataFrame, features: Sequence[str], edges: dict[str, list[float
         flat, below = [FlatTree.of(t, features, edges) for t in trees], []
         for first in range(0, len(level), wave):
             some = level[first:first + wave]
-            for r in sorted(_level(packed, flat, some, len(features), bins, rule), key=lambda r: r["slot"]):
+            for r in sorted(_level(packed, flat, some, len(features), bins, rule, target, parts), key=lambda r: r["slot"]):
                 t, node = some[r["slot"]]
                 tree = trees[t]
                 tree.values[node] = leaf(r["G"], r["H"])
@@ -393,6 +406,12 @@ class ForestModel:
         return df.withColumn(prediction, F.element_at(F.array(*[F.lit(c) for c in self.classes]), at))
 
 
+def _forest_pair(label: str, value: float | None, copies: Column) -> tuple[Column, Column]:
+    """Gradient and hessian of a forest's member: the label, or whether it is ``value``, times the copies of the row."""
+    y = F.col(label).cast("double") if value is None else (F.col(label) == value).cast("double")
+    return -y * copies, copies
+
+
 def fit_extra_trees(train: DataFrame, features: Sequence[str], keys: Sequence[str], label: str = "label", classification: bool = True,
                     n_estimators: int = 100, max_depth: int | None = 8, min_samples_leaf: int = 1, max_features: str | int | float | None = "sqrt",
                     bootstrap: bool = False, seed: int = 42, batch: int = 50, min_samples_split: int = 2, bins: int = 32) -> ForestModel:
@@ -405,18 +424,20 @@ def fit_extra_trees(train: DataFrame, features: Sequence[str], keys: Sequence[st
         raise ValueError("max_depth is at least 1, or None for no limit")
     share = feature_share(max_features, len(features))
     edges = bin_edges(train, features, bins)
-    binned = with_bins(train.select(*keys, label, *features), features, edges).persist()
+    binned = spread(with_bins(train.select(*keys, label, *features), features, edges)).persist()
     classes = [float(r[0]) for r in binned.select(label).distinct().orderBy(label).collect()] if classification else None
     trees: list[Tree] = []
+    plain = None if bootstrap else [_forest_pair(label, c, F.lit(1.0)) for c in classes or [None]]
     for first in range(0, n_estimators, batch):
         targets = []
         for m in range(first, min(first + batch, n_estimators)):
+            if plain is not None:  # all members see the same rows
+                targets += plain
+                continue
             # a row enters a bootstrap sample about e^-1 … times: drawn by hash, 0, 1, 2 or 3 copies
             u = F.pmod(F.xxhash64(F.lit(seed + m), *keys), F.lit(1_000_003)) / F.lit(1_000_003.0)
-            copies = F.when(u < 0.3679, 0.0).when(u < 0.7358, 1.0).when(u < 0.9197, 2.0).otherwise(3.0) if bootstrap else F.lit(1.0)
-            for c in classes or [None]:
-                y = F.col(label).cast("double") if c is None else (F.col(label) == c).cast("double")
-                targets.append((-y * copies, copies))
+            copies = F.when(u < 0.3679, 0.0).when(u < 0.7358, 1.0).when(u < 0.9197, 2.0).otherwise(3.0)
+            targets += [_forest_pair(label, c, copies) for c in classes or [None]]
         rule = Growth(max_depth=max_depth or NO_LIMIT, min_rows=min_samples_leaf, feature_share=share, random_threshold=True, seed=seed + first,
                       min_split=min_samples_split)
         trees += grow(binned, features, edges, targets, rule)
