@@ -10,8 +10,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.distances import Space
-from tablewright.operators.pairwise import as_points, near_blocks
+from tablewright.functions.distances import MANY_DIMENSIONS, Space, pair_distances
+from tablewright.operators.pairwise import as_points, divide, matrix, near_blocks
+from tablewright.session import cut_lineage
+
+
+def nearest_columns(d: np.ndarray, k: int, exact=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and distances of the k least of each row, of equal ones the first columns.
+
+    ``exact(rows, columns)`` gives the distances behind a matrix that holds them to about eleven digits; without it they stand in ``d``.
+    """
+    k = min(k, d.shape[1])
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1:k]
+    rows, cols = np.nonzero(d <= (kth if exact is None else kth * (1 + 1e-9)))
+    values = d[rows, cols] if exact is None else exact(rows, cols)
+    order = np.lexsort((cols, values, rows))
+    rows, cols, values = rows[order], cols[order], values[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = (place < k) & np.isfinite(values)
+    return rows[keep], cols[keep], values[keep]
 
 
 def nearest_neighbors(
@@ -21,7 +38,8 @@ def nearest_neighbors(
     """``(id, rank, neighbor, distance, carry…)``: the k nearest points of each query, ties by smaller id.
 
     Of equal points only the k with the smallest ids can ever be chosen, so copies beyond
-    that are dropped before anything is compared; that keeps hot copies cheap and exact.
+    that are dropped before anything is compared; that keeps hot copies cheap and exact. Where the points fall into cells, a
+    query meets its nearest cell first: the k-th distance found there is what tells which other cells can matter.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -33,6 +51,8 @@ def nearest_neighbors(
     id_type = points.schema[id_col].dataType.simpleString()
     carried = "".join(f", {c} {points.schema[c].dataType.simpleString()}" for c in carry)
     names = list(carry)
+    space = Space(metric, p)
+    product = space.base == "euclidean" and len(features) >= MANY_DIMENSIONS
 
     def best(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
         ids, own = b[id_col].to_numpy(), a[id_col].to_numpy()
@@ -40,16 +60,32 @@ def nearest_neighbors(
         b, ids, d = b.iloc[order], ids[order], d[:, order]
         if skip_self:
             d = np.where(own[:, None] == ids[None, :], np.inf, d)
-        top = np.argsort(d, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), top.shape[1])
-        cols = top.ravel()
-        found = pd.DataFrame({id_col: own[rows], "neighbor": ids[cols], "distance": d[rows, cols]})
+
+        def exact(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+            x, y = space.rows(matrix(a["vec"])), space.rows(matrix(b["vec"]))
+            values = space.outward(pair_distances(x, y, rows, cols))
+            return np.where(np.isfinite(d[rows, cols]), values, np.inf)
+
+        rows, cols, values = nearest_columns(d, k, exact if product else None)
+        if "_bound" in a:  # what lies beyond the k rows already met cannot be among the nearest
+            near = values <= a["_bound"].to_numpy()[rows] * (1 + 1e-9)
+            rows, cols, values = rows[near], cols[near], values[near]
+        found = pd.DataFrame({id_col: own[rows], "neighbor": ids[cols], "distance": values})
         for c in names:
             found[c] = b[c].to_numpy()[cols]
-        return found[np.isfinite(found["distance"])]
+        return found
 
     schema = f"{id_col} {queries.schema[id_col].dataType.simpleString()}, neighbor {id_type}, distance double{carried}"
-    partial = near_blocks(left, right, id_col, best, schema, Space(metric, p), nearest=keep_k)
+    cells = divide(right, id_col, space)
+    if cells.pivots is None:
+        partial = near_blocks(left, cells, id_col, best, schema, space, nearest=keep_k, quick=product)
+    else:
+        met = near_blocks(left, cells, id_col, best, schema, space, nearest=keep_k, own_cell=True, quick=product)
+        # a query with fewer than k rows found so far has no bound yet and visits every cell
+        kth = met.groupBy(id_col).agg(F.count("*").alias("_n"), F.sort_array(F.collect_list("distance")).alias("_d")).select(
+            id_col, F.when(F.col("_n") >= k, F.col("_d")[k - 1]).alias("_bound"))
+        known = left.join(kth, id_col, "left").withColumn("_bound", F.coalesce("_bound", F.lit(float("inf"))))
+        partial = near_blocks(cut_lineage(known), cells, id_col, best, schema, space, bound="_bound", quick=product)
     order = Window.partitionBy(id_col).orderBy("distance", "neighbor")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

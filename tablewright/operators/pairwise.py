@@ -9,10 +9,11 @@ and a kernel reduces each pair of blocks to a few numbers per left row.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,11 @@ from tablewright.functions.distances import Space
 from tablewright.operators.ranking import row_hash
 
 BLOCK = 4096  # rows of one side held by a task
+STRIP_CELLS = 1 << 21  # distances held at a time, where a kernel takes left rows one by one
+TASK_PAIRS = 200_000_000  # distances that a task should compute at most
+MOST_TASKS = 4000
+FEW_PAIRS = 50_000_000  # below this the session's own number of partitions serves
+WORTH = 0.5  # cells are visited one by one if that spares at least this share of the pairs
 _SMALL = 4096  # below this one cell suffices
 _MAX_PIVOTS = 1024
 
@@ -35,49 +41,87 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
+def _numbers(values: Sequence[int], cell) -> Column:
+    """The number of a cell, from one literal however many cells there are."""
+    return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>"), cell + 1)
+
+
 def _spread(counts: dict[int, int], cells: int):
     """Blocks per cell as an expression over the cell number."""
     blocks = [max(-(-counts.get(c, 0) // BLOCK), 1) for c in range(cells)]
-    return lambda cell: F.element_at(F.array(*[F.lit(b) for b in blocks]), cell + 1)
+    return blocks, lambda cell: _numbers(blocks, cell)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """The right side, each row with its nearest pivot: ``cell`` and ``_far``, and each cell's rows and radius."""
+
+    rows: int
+    pivots: np.ndarray | None
+    placed: DataFrame
+    stats: dict[int, tuple[int, float]]
+
+
+def divide(right: DataFrame, id_col: str, space: Space, prune: bool = True) -> Cells:
+    # fresh column identities, so that one table may stand on both sides
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    rows = right.count()
+    pivots = _pick_pivots(right, id_col, rows, space) if space.prunable and prune else None
+    placed = _place(right, pivots, space)
+    if pivots is None:
+        return Cells(rows, None, placed, {0: (rows, np.inf)})
+    placed = placed.persist()
+    return Cells(rows, pivots, placed, {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(
+        F.count("*").alias("n"), F.max("_far").alias("radius")).collect()})
 
 
 def near_blocks(
     left: DataFrame,
-    right: DataFrame,
+    right: DataFrame | Cells,
     id_col: str,
     kernel: Kernel,
     schema: str,
     space: Space,
     radius: float | None = None,
     nearest: int | None = None,
+    bound: str | None = None,
+    own_cell: bool = False,
+    by_row: bool = True,
+    quick: bool = False,
+    flags: bool = False,
 ) -> DataFrame:
     """Apply ``kernel(left block, right block, distances)`` to every pair of blocks that matters.
 
     ``radius`` asks for all right rows within that distance, ``nearest`` for the k
-    nearest ones; with neither, every block pair is visited. Both inputs carry
-    ``id_col`` and ``vec``. The kernel must reduce: its rows are later merged per id.
+    nearest ones, ``bound`` for those within the distance that a left column names; with none
+    of them, every block pair is visited. ``own_cell`` visits only the nearest cells that hold ``nearest`` rows.
+    Both inputs carry ``id_col`` and ``vec``. The kernel must reduce: its rows are later merged per id.
+
+    A kernel that looks at each left row by itself (``by_row``) is handed a strip of the left block at a time. ``quick`` allows
+    distances of eleven digits, which compare with ``radius`` as exact ones do. ``flags`` hands it ``distance <= radius`` for the whole
+    block in place of distances.
     """
-    # fresh column identities, so that one table may stand on both sides
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    right_rows = right.count()
-    pivots = _pick_pivots(right, id_col, right_rows, space) if space.prunable and (radius is not None or nearest) else None
-    cells = 1 if pivots is None else len(pivots)
-    placed = _place(right, pivots, space)
-    if pivots is None:
-        stats = {0: (right_rows, np.inf)}
-    else:
-        placed = placed.persist()
-        stats = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(
-            F.count("*").alias("n"), F.max("_far").alias("radius")).collect()}
+    asks = radius is not None or nearest or bound is not None
+    side = right if isinstance(right, Cells) else divide(right, id_col, space, bool(asks))
     limit = None if radius is None else space.inward(radius)
-    wanted = _candidates(left, pivots, stats, space, limit, nearest)
-    if pivots is None:
-        asked = {0: left.count()}
+    left_rows = None
+    if side.pivots is not None:
+        left = left.persist()
+        asked = _asked(left, side, space, limit, nearest, bound, own_cell)
+        pairs = sum(n * side.stats[c][0] for c, n in asked.items())
+        if not own_cell:
+            left_rows = left.count()
+            if pairs > (1 - WORTH) * left_rows * side.rows:
+                # cells that almost every row must visit only multiply the rows
+                side = Cells(side.rows, None, side.placed.withColumns({"cell": F.lit(0), "_far": F.lit(0.0)}), {0: (side.rows, np.inf)})
+    if side.pivots is None:
+        wanted, asked = left.withColumn("cell", F.lit(0)), {0: left.count() if left_rows is None else left_rows}
+        pairs = asked[0] * side.rows
     else:
-        wanted = wanted.persist()
-        asked = {r["cell"]: r["count"] for r in wanted.groupBy("cell").count().collect()}
-    right_blocks = _spread({c: s[0] for c, s in stats.items()}, cells)
-    left_blocks = _spread(asked, cells)
+        wanted = _candidates(left, side, space, limit, nearest, bound, own_cell)
+    cells = 1 if side.pivots is None else len(side.pivots)
+    right_counts, right_blocks = _spread({c: s[0] for c, s in side.stats.items()}, cells)
+    left_counts, left_blocks = _spread(asked, cells)
     salt = F.xxhash64(id_col)
     lefts = (
         wanted.withColumn("_lb", F.pmod(salt, left_blocks(F.col("cell"))).cast("int"))
@@ -85,19 +129,33 @@ def near_blocks(
     )
     visited = sorted(asked)
     rights = (
-        placed.drop("_far").filter(F.col("cell").isin(visited) if len(visited) < cells else F.lit(True))
+        side.placed.drop("_far").filter(_numbers([int(c in asked) for c in range(cells)], F.col("cell")) == 1 if len(visited) < cells else F.lit(True))
         .withColumn("_rb", F.pmod(salt, right_blocks(F.col("cell"))).cast("int"))
         .withColumn("_lb", F.explode(F.sequence(F.lit(0), left_blocks(F.col("cell")) - 1)))
     )
+    key = ["cell", "_lb", "_rb"]
+    if pairs > FEW_PAIRS:
+        # few bytes stand for much work here, so tasks are dealt by the distances to compute and not by size
+        block_pairs = sum(left_counts[c] * right_counts[c] for c in visited)
+        tasks = int(min(block_pairs, max(-(-pairs // TASK_PAIRS), 64), MOST_TASKS))
+        lefts, rights = lefts.repartition(tasks, *key), rights.repartition(tasks, *key)
     empty = pd.DataFrame({f.name: [] for f in T.StructType.fromDDL(schema).fields})
+    measure = space.quick if quick else (lambda x, y, _=None: space.between(x, y))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return empty
-        d = space.outward(space.between(space.rows(matrix(a["vec"])), space.rows(matrix(b["vec"]))))
-        return kernel(a, b, d)
+        x, y = space.rows(matrix(a["vec"])), space.rows(matrix(b["vec"]))
+        step = max(1, STRIP_CELLS // len(b))
+        strips = range(0, len(a), step)
+        if flags:
+            return kernel(a, b, np.concatenate([space.outward(measure(x[i:i + step], y, limit)) <= radius for i in strips]))
+        if not by_row:
+            return kernel(a, b, space.outward(measure(x, y, limit)))
+        out = [kernel(a.iloc[i:i + step], b, space.outward(measure(x[i:i + step], y, limit))) for i in strips]
+        out = [part for part in out if len(part)]
+        return pd.concat(out, ignore_index=True) if out else empty
 
-    key = ["cell", "_lb", "_rb"]
     return lefts.groupBy(*key).cogroup(rights.groupBy(*key)).applyInPandas(run, schema)
 
 
@@ -120,43 +178,78 @@ def _place(right: DataFrame, pivots: np.ndarray | None, space: Space) -> DataFra
     schema = T.StructType([*right.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("_far", T.DoubleType())])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _pieces(batches, len(pivots)):
             if len(pdf):
-                d = space.between(space.rows(matrix(pdf["vec"])), pivots)
+                d = space.quick(space.rows(matrix(pdf["vec"])), pivots)
                 at = d.argmin(axis=1)
                 yield pdf.assign(cell=at.astype("int32"), _far=d[np.arange(len(d)), at])
 
     return right.mapInPandas(place, schema)
 
 
-def _candidates(
-    left: DataFrame, pivots: np.ndarray | None, stats: dict, space: Space, limit: float | None, nearest: int | None
-) -> DataFrame:
+def _chooser(side: Cells, space: Space, limit: float | None, nearest: int | None, bound: str | None, own_cell: bool):
+    """A function of some left rows: the place of a row and the number of a cell that can hold a match, for each such pair."""
+    used = np.array(sorted(side.stats))
+    counts = np.array([side.stats[c][0] for c in used])
+    reach = np.array([side.stats[c][1] for c in used])
+    centres = side.pivots[used]
+
+    def choose(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        d = space.quick(space.rows(matrix(pdf["vec"])), centres)
+        if bound is not None:
+            most = np.array([space.inward(v) for v in pdf[bound]])
+        elif limit is not None:
+            most = np.full(len(d), limit)
+        else:
+            # farthest any row of a cell can be; enough cells for k rows bound the k-th distance
+            far = d + reach
+            order = (d if own_cell else far).argsort(axis=1, kind="stable")
+            enough = np.cumsum(counts[order], axis=1) >= nearest
+            first = np.where(enough.any(axis=1), enough.argmax(axis=1), len(used) - 1)
+            if own_cell:
+                rows, at = np.nonzero(np.arange(len(used)) <= first[:, None])
+                return rows, used[order[rows, at]]
+            most = far[np.arange(len(d)), order[np.arange(len(d)), first]]
+        slack = 1e-9 * (1.0 + np.abs(most))
+        rows, at = np.nonzero(d - reach <= (most + slack)[:, None])
+        return rows, used[at]
+
+    return choose
+
+
+def _pieces(batches: Iterator[pd.DataFrame], cells: int) -> Iterator[pd.DataFrame]:
+    """Batches cut so that their distances to all cells stay few."""
+    step = max(1, STRIP_CELLS // cells)
+    for pdf in batches:
+        for i in range(0, len(pdf), step):
+            yield pdf.iloc[i:i + step]
+
+
+def _asked(left: DataFrame, side: Cells, *how) -> dict[int, int]:
+    """How many left rows visit each cell, counted within partitions first."""
+    choose, cells = _chooser(side, *how), len(side.pivots)
+    kept = ["vec", *([how[3]] if how[3] else [])]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(cells, dtype="int64")
+        for pdf in _pieces(batches, cells):
+            n += np.bincount(choose(pdf)[1], minlength=cells)
+        held = np.flatnonzero(n)
+        yield pd.DataFrame({"cell": held.astype("int32"), "n": n[held]})
+
+    rows = left.select(*kept).mapInPandas(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    return {r["cell"]: r["n"] for r in rows}
+
+
+def _candidates(left: DataFrame, side: Cells, *how) -> DataFrame:
     """One row per left row and cell that can hold a match."""
-    if pivots is None:
-        return left.withColumn("cell", F.lit(0))
-    used = np.array(sorted(stats))
-    counts = np.array([stats[c][0] for c in used])
-    reach = np.array([stats[c][1] for c in used])
-    centres = pivots[used]
+    choose, cells = _chooser(side, *how), len(side.pivots)
     schema = T.StructType([*left.schema.fields, T.StructField("cell", T.IntegerType())])
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = space.between(space.rows(matrix(pdf["vec"])), centres)
-            if limit is not None:
-                bound = np.full(len(d), limit)
-            else:
-                # farthest any row of a cell can be; enough cells for k rows bound the k-th distance
-                far = d + reach
-                order = far.argsort(axis=1)
-                enough = np.cumsum(counts[order], axis=1) >= nearest
-                first = np.where(enough.any(axis=1), enough.argmax(axis=1), len(used) - 1)
-                bound = far[np.arange(len(d)), order[np.arange(len(d)), first]]
-            slack = 1e-9 * (1.0 + np.abs(bound))
-            rows, at = np.nonzero(d - reach <= (bound + slack)[:, None])
-            yield pdf.iloc[rows].assign(cell=used[at].astype("int32"))
-
-    return left.mapInPandas(choose, schema)
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _pieces(batches, cells):
+            rows, at = choose(pdf)
+            for i in range(0, len(rows), 10_000):
+                yield pdf.iloc[rows[i:i + 10_000]].assign(cell=at[i:i + 10_000].astype("int32"))
+
+    return left.mapInPandas(find, schema)

@@ -89,7 +89,7 @@ def spanning_tree(points: DataFrame, space: Space, core: str | None = None, smal
             x, y, w = x[wanted], y[wanted], w[wanted]
         return pd.DataFrame({"a": np.minimum(ia[x], ib[y]), "b": np.maximum(ia[x], ib[y]), "w": w})
 
-    found = near_blocks(points, points, "id", tree_of, "a bigint, b bigint, w double", space, radius=radius)
+    found = near_blocks(points, points, "id", tree_of, "a bigint, b bigint, w double", space, radius=radius, by_row=False)
     edges = cut_lineage(found if radius is None else found.groupBy("a", "b").agg(F.min("w").alias("w")))
     return reduce_forest(points.select("id"), edges, small)
 
