@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -56,13 +57,21 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system; a C library without ``malloc_trim`` keeps its own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lean(run):
-    """``run`` over batches, giving memory that Arrow keeps for later back to the system when it ends: workers outlive their tasks."""
+    """``run`` over batches, giving unused memory back to the system when it ends: workers outlive their tasks."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            release_memory()
 
     return wrapped

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tablewright.llm.shared import lean, small_batches
+from tablewright.llm.shared import lean, release_memory, small_batches
 from tablewright.llm.texts import bounded
 
 SPACE = "▁"
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 _FAR = np.int64(1) << 40
-CACHE_CHARS = 3_000_000  # fragments a worker remembers, in characters
+CACHE_CHARS = 1_000_000  # fragments a worker remembers, in characters; a character costs some forty bytes
 PART_BYTES = 1 << 20  # text encoded together
 DECODE_IDS = 1 << 18  # ids decoded together
 ROUND_CHARS = 200_000  # characters merged together, so that the arrays of a round stay in the processor's cache
@@ -245,7 +245,9 @@ def decode_ids(model: PieceModel, ids: list[int]) -> str:
 
 @lru_cache(maxsize=2)
 def load_encoder(path: str) -> Encoder:
-    return Encoder(PieceModel(path))
+    encoder = Encoder(PieceModel(path))
+    release_memory()  # the tables are read through dicts several times their size
+    return encoder
 
 
 @lru_cache(maxsize=2)
