@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import total
 from tablewright.operators.linear import VECTOR, assemble
 from tablewright.operators.ranking import row_hash
+from tablewright.session import spread
 
 
 @dataclass(frozen=True)
@@ -146,7 +147,7 @@ def elbow(df: DataFrame, features: Sequence[str], max_clusters: int = 10, curve:
     """``(k, inertia, is_elbow)`` for k = 1..max; without a knee, half of the maximum is marked."""
     if not 2 <= max_clusters <= 20:
         raise ValueError("max_clusters lies between 2 and 20")
-    cached = df.select(*features).persist()
+    cached = spread(df.select(*features)).persist()
     costs = [fit_kmeans(cached, features, k, seed=seed, n_init=1 if k == 1 else 2).cost(cached) for k in range(1, max_clusters + 1)]
     cached.unpersist()
     knee = find_knee(list(range(1, max_clusters + 1)), costs, curve, direction) or max_clusters // 2
