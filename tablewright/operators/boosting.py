@@ -15,7 +15,7 @@ from tablewright.functions.columns import total
 from tablewright.operators.linear import VECTOR, assemble
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.trees import Growth, Tree, bin_edges, feature_share, grow, with_bins, tree_sums
-from tablewright.session import cut_lineage
+from tablewright.session import cut_lineage, spread
 
 CUT_EVERY = 8  # rounds between checkpoints of the running margins
 
@@ -96,7 +96,7 @@ def fit_boosted(train: DataFrame, features: Sequence[str], keys: Sequence[str],
     p = {**PRESETS[preset], **knobs}
     features = list(features)
     edges = bin_edges(train, features, bins)
-    base = with_bins(train.select(*keys, label, *features), features, edges)
+    base = spread(with_bins(train.select(*keys, label, *features), features, edges))
     classes, start = _outputs(base, label, classification)
     if preset == "xgboost" and len(start) > 1:
         start = [0.5] * len(start)
@@ -139,7 +139,7 @@ def fit_gradient_boosting(train: DataFrame, features: Sequence[str], keys: Seque
         raise ValueError(f"loss is one of {losses}")
     features = list(features)
     edges = bin_edges(train, features, bins)
-    base = with_bins(train.select(*keys, label, *features), features, edges)
+    base = spread(with_bins(train.select(*keys, label, *features), features, edges))
     classes, start = _outputs(base, label, classification)
     if loss == "exponential":
         if len(classes) > 2:
@@ -246,7 +246,7 @@ def fit_adaboost(train: DataFrame, features: Sequence[str], label: str = "label"
     """SAMME (Zhu 2009) on stumps, or AdaBoost.R2 (Drucker 1997) on trees of depth 3."""
     if loss not in ("linear", "square", "exponential"):
         raise ValueError("loss is linear, square or exponential")
-    rows = assemble(train, features).select(label, VECTOR)
+    rows = spread(assemble(train, features).select(label, VECTOR))
     n = rows.count()
     rows = rows.withColumn("_w", F.lit(1.0 / n)).persist()
     classes = [float(r[0]) for r in rows.select(label).distinct().orderBy(label).collect()] if classification else None
