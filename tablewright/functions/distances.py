@@ -104,6 +104,8 @@ class Space:
         self.base = "euclidean" if name in ("cosine", "correlation", "sqeuclidean") else name
         # Bray-Curtis breaks the triangle inequality, Minkowski does below p = 1
         self.prunable = not (name == "braycurtis" or (name == "minkowski" and p < 1))
+        # the distance is at least the difference in any one coordinate
+        self.by_coordinate = self.base in ("euclidean", "manhattan", "chebyshev") or (name == "minkowski" and p >= 1)
 
     def rows(self, m: np.ndarray) -> np.ndarray:
         if self.name == "correlation":

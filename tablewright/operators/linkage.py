@@ -4,8 +4,8 @@ These linkages are reducible: two clusters that are each other's nearest neighbo
 merges elsewhere. So each round merges all such pairs at once, and the merges with their heights are the edges of the same
 tree that merging one pair at a time gives. A round is a few DataFrame jobs; nothing on the driver grows with the points.
 
-Ward needs only a centroid and a size for each cluster: nearest neighbours are searched between blocks and no distance is
-kept. Complete and average linkage keep a table of cluster distances, from which a round's merges are one grouped aggregate:
+Ward needs only a centroid and a size for each cluster: nearest neighbours are searched between blocks, near ones only, and no
+distance is kept. Complete and average linkage keep a table of cluster distances, from which a round's merges are one grouped aggregate:
 the largest distance, or the sum of all distances of a pair of clusters, is additive over merged clusters.
 
 Once no more than ``REST`` clusters are left, one task finishes them with the same rule.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.distances import Space, cross_distances
-from tablewright.operators.pairwise import matrix, near_blocks
+from tablewright.operators.pairwise import divide, matrix, near_blocks
 from tablewright.session import cut_lineage
 
 REST = 1024  # clusters that one task merges to the end
@@ -83,7 +83,13 @@ def _rest(rows: DataFrame, run, schema: str = MERGES) -> DataFrame:
 
 
 def _ward_nearest(clusters: DataFrame, space: Space) -> DataFrame:
-    """``(id, other, w)``: each cluster's nearest by the growth of the squared distances to centroids."""
+    """``(id, other, w)``: each cluster's nearest by the growth of the squared distances to centroids.
+
+    A cluster first meets those of its own cell. What it finds there bounds how far off the centroid of a nearer one can be, since
+    none has fewer rows than the smallest.
+    """
+    schema = "id bigint, other bigint, w double"
+
     def kernel(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
         ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
         na, nb = a["weight"].to_numpy(float)[:, None], b["weight"].to_numpy(float)[None, :]
@@ -94,7 +100,16 @@ def _ward_nearest(clusters: DataFrame, space: Space) -> DataFrame:
         keep = np.isfinite(least)
         return pd.DataFrame({"id": ia[keep], "other": ib[at][keep], "w": least[keep]})
 
-    found = near_blocks(clusters, clusters, "id", kernel, "id bigint, other bigint, w double", space)
+    cells = divide(clusters, "id", space)
+    if cells.pivots is None:
+        found = near_blocks(clusters, cells, "id", kernel, schema, space)
+    else:
+        met = near_blocks(clusters, cells, "id", kernel, schema, space, nearest=2, own_cell=True)
+        least = float(clusters.agg(F.min("weight")).first()[0])
+        reach = F.col("_w") / F.sqrt(2 * F.col("weight") * F.lit(least) / (F.col("weight") + F.lit(least)))
+        known = clusters.join(met.groupBy("id").agg(F.min("w").alias("_w")), "id", "left")
+        known = cut_lineage(known.withColumn("_bound", F.coalesce(reach * (1 + 1e-9), F.lit(float("inf")))).drop("_w"))
+        found = near_blocks(known, cells, "id", kernel, schema, space, bound="_bound")
     best = F.min(F.struct("w", F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi"), "other")).alias("m")
     return found.groupBy("id").agg(best).select("id", "m.other", "m.w")
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.distances import Space
+from tablewright.functions.distances import MANY_DIMENSIONS, Space
 from tablewright.operators.ranking import row_hash
 
 BLOCK = 4096  # rows of one side held by a task
@@ -25,6 +25,8 @@ STRIP_CELLS = 1 << 21  # distances held at a time, where a kernel takes left row
 TASK_PAIRS = 200_000_000  # distances that a task should compute at most
 MOST_TASKS = 4000
 FEW_PAIRS = 50_000_000  # below this the session's own number of partitions serves
+STRIP_ROWS = 64  # left rows that share a window of the right block
+OWN_REACH = 512  # right rows on either side of a strip that a first look takes
 WORTH = 0.5  # cells are visited one by one if that spares at least this share of the pairs
 _SMALL = 4096  # below this one cell suffices
 _MAX_PIVOTS = 1024
@@ -97,7 +99,8 @@ def near_blocks(
     of them, every block pair is visited. ``own_cell`` visits only the nearest cells that hold ``nearest`` rows.
     Both inputs carry ``id_col`` and ``vec``. The kernel must reduce: its rows are later merged per id.
 
-    A kernel that looks at each left row by itself (``by_row``) is handed a strip of the left block at a time. ``quick`` allows
+    A kernel that looks at each left row by itself (``by_row``) is handed a strip of the left block at a time, in few dimensions with
+    those right rows alone that one coordinate leaves within reach. ``quick`` allows
     distances of eleven digits, which compare with ``radius`` as exact ones do. ``flags`` hands it ``distance <= radius`` for the whole
     block in place of distances.
     """
@@ -140,25 +143,61 @@ def near_blocks(
         tasks = int(min(block_pairs, max(-(-pairs // TASK_PAIRS), 64), MOST_TASKS))
         lefts, rights = lefts.repartition(tasks, *key), rights.repartition(tasks, *key)
     empty = pd.DataFrame({f.name: [] for f in T.StructType.fromDDL(schema).fields})
+    windows = by_row and not flags and space.by_coordinate and (limit is not None or bound is not None or own_cell)
     measure = space.quick if quick else (lambda x, y, _=None: space.between(x, y))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return empty
         x, y = space.rows(matrix(a["vec"])), space.rows(matrix(b["vec"]))
-        step = max(1, STRIP_CELLS // len(b))
-        strips = range(0, len(a), step)
+        if windows:
+            a, b, x, y, strips = _windows(a, b, x, y, space, limit, bound, max(OWN_REACH, nearest or 0) if own_cell else None)
+        else:
+            step = max(1, STRIP_CELLS // len(b))
+            strips = [(i, i + step, 0, len(b)) for i in range(0, len(a), step)]
         if flags:
-            return kernel(a, b, np.concatenate([space.outward(measure(x[i:i + step], y, limit)) <= radius for i in strips]))
+            return kernel(a, b, np.concatenate([space.outward(measure(x[i:j], y, limit)) <= radius for i, j, _, _ in strips]))
         if not by_row:
             return kernel(a, b, space.outward(measure(x, y, limit)))
-        out = [kernel(a.iloc[i:i + step], b, space.outward(measure(x[i:i + step], y, limit))) for i in strips]
+        out = [kernel(a.iloc[i:j], b.iloc[k:m], space.outward(measure(x[i:j], y[k:m], limit))) for i, j, k, m in strips if k < m]
         out = [part for part in out if len(part)]
         return pd.concat(out, ignore_index=True) if out else empty
 
     return lefts.groupBy(*key).cogroup(rights.groupBy(*key)).applyInPandas(run, schema)
 
 
+def _windows(a: pd.DataFrame, b: pd.DataFrame, x: np.ndarray, y: np.ndarray, space: Space, limit: float | None, bound: str | None, reach: int | None):
+    """Both blocks in the order of their widest coordinate, and strips ``(first, end, first right, end right)`` of left rows.
+
+    No right row outside its window is within the asked distance of the strip, since points differ no more in one coordinate than in all.
+    With ``reach`` a window is that many rows on either side.
+    """
+    if x.shape[1] >= MANY_DIMENSIONS:
+        step = max(1, STRIP_CELLS // len(b))
+        return a, b, x, y, [(i, min(i + step, len(a)), 0, len(b)) for i in range(0, len(a), step)]
+    axis = int(np.ptp(y, axis=0).argmax())
+    left, right = np.argsort(x[:, axis], kind="stable"), np.argsort(y[:, axis], kind="stable")
+    a, b, x, y = a.iloc[left], b.iloc[right], x[left], y[right]
+    at, to = x[:, axis], y[:, axis]
+    most = None
+    if reach is None:
+        most = np.full(len(a), limit, dtype=float) if bound is None else np.array([space.inward(v) for v in a[bound]])
+        most = most + 1e-9 * (1.0 + np.abs(most) + np.abs(at))
+    strips = []
+    for i in range(0, len(a), STRIP_ROWS):
+        j = min(i + STRIP_ROWS, len(a))
+        if most is None:
+            k, m = np.searchsorted(to, at[i]) - reach, np.searchsorted(to, at[j - 1], side="right") + reach
+            m = max(m, 2 * reach)
+            k = min(k, len(b) - 2 * reach)
+        else:
+            k, m = np.searchsorted(to, (at[i:j] - most[i:j]).min()), np.searchsorted(to, (at[i:j] + most[i:j]).max(), side="right")
+        k, m = max(int(k), 0), min(int(m), len(b))
+        step = max(1, STRIP_CELLS // max(m - k, 1))
+        strips += [(n, min(n + step, j), k, m) for n in range(i, j, step)]
+    return a, b, x, y, strips
+
+
 def _pick_pivots(right: DataFrame, id_col: str, rows: int, space: Space) -> np.ndarray | None:
     if rows <= _SMALL:
         return None
@@ -201,6 +240,8 @@ def _chooser(side: Cells, space: Space, limit: float | None, nearest: int | None
         elif limit is not None:
             most = np.full(len(d), limit)
         else:
+            if own_cell and counts.min() >= nearest:
+                return np.arange(len(d)), used[d.argmin(axis=1)]
             # farthest any row of a cell can be; enough cells for k rows bound the k-th distance
             far = d + reach
             order = (d if own_cell else far).argsort(axis=1, kind="stable")
