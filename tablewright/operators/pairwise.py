@@ -56,12 +56,18 @@ def _spread(counts: dict[int, int], cells: int):
 
 @dataclass(frozen=True)
 class Cells:
-    """The right side, each row with its nearest pivot: ``cell`` and ``_far``, and each cell's rows and radius."""
+    """The right side, each row with its nearest pivot: ``cell`` and ``_far``, and each cell's rows and radius.
+
+    With ``apart``, a column of both sides, only rows of different values matter: a cell whose rows all share the value that
+    ``sole`` gives is not visited by rows of that value.
+    """
 
     rows: int
     pivots: np.ndarray | None
     placed: DataFrame
     stats: dict[int, tuple[int, float]]
+    apart: str | None = None
+    sole: dict[int, int] | None = None
 
 
 def divide(right: DataFrame, id_col: str, space: Space, prune: bool = True) -> Cells:
@@ -116,7 +122,7 @@ def near_blocks(
             left_rows = left.count()
             if pairs > (1 - WORTH) * left_rows * side.rows:
                 # cells that almost every row must visit only multiply the rows
-                side = Cells(side.rows, None, side.placed.withColumns({"cell": F.lit(0), "_far": F.lit(0.0)}), {0: (side.rows, np.inf)})
+                side = Cells(side.rows, None, side.placed.withColumns({"cell": F.lit(0), "_far": F.lit(0.0)}), {0: (side.rows, np.inf)}, side.apart)
     if side.pivots is None:
         wanted, asked = left.withColumn("cell", F.lit(0)), {0: left.count() if left_rows is None else left_rows}
         pairs = asked[0] * side.rows
@@ -210,6 +216,33 @@ def _pick_pivots(right: DataFrame, id_col: str, rows: int, space: Space) -> np.n
     return np.unique(space.rows(np.array([r["vec"] for r in picked], dtype=float)), axis=0)
 
 
+def least_reach(left: DataFrame, side: Cells, space: Space, core: str | None = None, cores: dict[int, float] | None = None) -> DataFrame:
+    """``(value, most)``: for each value of ``side.apart`` a distance within which one of its rows meets a row of another value.
+
+    Any row of a cell is within the cell's radius of its pivot. ``core`` and each cell's largest (``cores``) raise distances.
+    """
+    used = np.array(sorted(side.stats))
+    reach = np.array([side.stats[c][1] for c in used])
+    sole = np.array([c in side.sole for c in used])
+    held = np.array([side.sole.get(c, 0) for c in used])
+    tops = None if cores is None else np.array([cores[c] for c in used])
+    centres, apart = side.pivots[used], side.apart
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _pieces(batches, len(used)):
+            if not len(pdf):
+                continue
+            value = pdf[apart].to_numpy()
+            d = space.outward(space.quick(space.rows(matrix(pdf["vec"])), centres) + reach)
+            if core:
+                d = np.maximum(d, np.maximum(pdf[core].to_numpy()[:, None], tops))
+            d[sole & (held == value[:, None])] = np.inf
+            yield pd.DataFrame({"value": value, "most": d.min(axis=1)}).groupby("value", as_index=False).min()
+
+    kept = ["vec", apart, *([core] if core else [])]
+    return left.select(*kept).mapInPandas(run, "value bigint, most double").groupBy("value").agg(F.min("most").alias("most"))
+
+
 def _place(right: DataFrame, pivots: np.ndarray | None, space: Space) -> DataFrame:
     """Each right row with its nearest pivot and the distance to it."""
     if pivots is None:
@@ -232,9 +265,14 @@ def _chooser(side: Cells, space: Space, limit: float | None, nearest: int | None
     counts = np.array([side.stats[c][0] for c in used])
     reach = np.array([side.stats[c][1] for c in used])
     centres = side.pivots[used]
+    sole = np.array([c in (side.sole or {}) for c in used])
+    held = np.array([(side.sole or {}).get(c, 0) for c in used])
+    apart = side.apart
 
     def choose(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         d = space.quick(space.rows(matrix(pdf["vec"])), centres)
+        if apart is not None:
+            d[sole & (held == pdf[apart].to_numpy()[:, None])] = np.inf
         if bound is not None:
             most = np.array([space.inward(v) for v in pdf[bound]])
         elif limit is not None:
@@ -252,7 +290,7 @@ def _chooser(side: Cells, space: Space, limit: float | None, nearest: int | None
                 return rows, used[order[rows, at]]
             most = far[np.arange(len(d)), order[np.arange(len(d)), first]]
         slack = 1e-9 * (1.0 + np.abs(most))
-        rows, at = np.nonzero(d - reach <= (most + slack)[:, None])
+        rows, at = np.nonzero((d - reach <= (most + slack)[:, None]) & np.isfinite(d))
         return rows, used[at]
 
     return choose
@@ -269,7 +307,7 @@ def _pieces(batches: Iterator[pd.DataFrame], cells: int) -> Iterator[pd.DataFram
 def _asked(left: DataFrame, side: Cells, *how) -> dict[int, int]:
     """How many left rows visit each cell, counted within partitions first."""
     choose, cells = _chooser(side, *how), len(side.pivots)
-    kept = ["vec", *([how[3]] if how[3] else [])]
+    kept = ["vec", *([how[3]] if how[3] else []), *([side.apart] if side.apart else [])]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(cells, dtype="int64")
