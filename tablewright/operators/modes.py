@@ -15,23 +15,147 @@ from tablewright.operators.density import _spread_to_copies, distinct_points
 from tablewright.operators.graph import number_clusters
 from tablewright.operators.kmeans import fit_kmeans
 from tablewright.operators.neighbors import nearest_neighbors
-from tablewright.operators.pairwise import as_points, near_blocks
+from tablewright.operators.pairwise import as_points, divide, matrix, near_blocks
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.spectral import leading_vectors, normalised_edges
 from tablewright.session import cut_lineage
 
 FEW_SEEDS = 2000  # seeds that may travel with the task instead of being joined
+LEAF_ROWS = 64  # points of a leaf of a small table
+MOST_LEAVES = 16_000  # leaves whose boxes may travel with a task; a larger table has larger leaves
+GROUP_ROWS = 8192  # points whose distances a task looks for, about
+MOST_GROUPS = 1000
 _BINS = 64
 _PASSES = 5  # 64**5 steps: the distance is found to nine digits of the range
 
 
 def kth_distances(points: DataFrame, k: int, space: Space | None = None) -> DataFrame:
-    """``(id, distance)`` to the k-th nearest point, the point itself included.
+    """``(id, weight, distance)`` to the k-th nearest point, the point itself included.
 
-    ``k`` may be a large share of the table, so no neighbour list is kept: every pass
-    counts distances per point into 64 bins and descends into the bin holding rank k.
+    ``k`` may be a large share of the table, so no neighbour list is kept. Points stand in leaves with a bounding box. The boxes
+    alone bound the distance of all points of a leaf from both sides: leaves nearer than that are counted whole, farther ones not at all,
+    and only those between are met point by point. Other spaces than the euclidean one count distances into bins.
     """
-    space = space or Space("euclidean")
+    if space is not None and space.name != "euclidean":
+        return _kth_by_bins(points, k, space)
+    weighted = points if "weight" in points.columns else points.withColumn("weight", F.lit(1).cast("bigint"))
+    side = divide(weighted.select("id", "weight", "vec"), "id", Space("euclidean"))
+    size = max(LEAF_ROWS, -(-side.rows // MOST_LEAVES) * 2)
+    group_of = _groups(side, min(max(1, side.rows // GROUP_ROWS), MOST_GROUPS))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, out = matrix(pdf["vec"]), []
+        ids, weight, cell = pdf["id"].to_numpy(), pdf["weight"].to_numpy(), int(pdf["cell"].iloc[0])
+        for n, at in enumerate(_halves(x, np.argsort(ids), size)):
+            own = np.ascontiguousarray(x[at], dtype=float)
+            out.append((cell << 32 | n, group_of[cell], own.min(axis=0), own.max(axis=0), int(weight[at].sum()), own.tobytes(),
+                        weight[at].astype("int64").tobytes(), ids[at].astype("int64").tobytes()))
+        return pd.DataFrame(out, columns=["leaf", "grp", "lo", "hi", "mass", "x", "w", "ids"])
+
+    leaves = cut_lineage(side.placed.groupBy("cell").applyInPandas(
+        pack, "leaf bigint, grp int, lo array<double>, hi array<double>, mass bigint, x binary, w binary, ids binary"))
+    boxes = leaves.select("leaf", "grp", "lo", "hi", "mass").orderBy("leaf").collect()  # few thousand rows whatever the table
+    groups = sorted({r["grp"] for r in boxes})
+    spark = points.sparkSession
+    held = spark.sparkContext.broadcast((np.array([r["leaf"] for r in boxes]), np.array([r["grp"] for r in boxes]), np.array([r["lo"] for r in boxes]),
+                                         np.array([r["hi"] for r in boxes]), np.array([r["mass"] for r in boxes])))
+
+    def torn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaf, grp, lo, hi, mass = held.value
+        for pdf in batches:
+            for g in pdf["grp"]:
+                met = np.zeros(len(leaf), dtype=bool)
+                for i in np.flatnonzero(grp == g):
+                    met |= _bracket(lo[i], hi[i], lo, hi, mass, k)[3]
+                yield pd.DataFrame({"grp": g, "leaf": leaf[met]})
+
+    def find(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        leaf, _, lo, hi, mass = held.value
+        d = lo.shape[1]
+        order = np.argsort(b["leaf"].to_numpy())
+        blobs = b.iloc[order]
+        place = np.searchsorted(leaf, blobs["leaf"].to_numpy())
+        x = np.concatenate([np.frombuffer(v).reshape(-1, d) for v in blobs["near_x"]])
+        w = np.concatenate([np.frombuffer(v, dtype=np.int64) for v in blobs["near_w"]])
+        rows = np.array([len(v) // 8 for v in blobs["near_w"]])
+        ids, weights, found = [], [], []
+        for name, own, own_w, own_ids in a[["leaf", "x", "w", "ids"]].itertuples(index=False):
+            i = int(np.searchsorted(leaf, name))
+            least, most, before, met = _bracket(lo[i], hi[i], lo, hi, mass, k)
+            some = np.repeat(met[place], rows)
+            columns, near_w = np.ascontiguousarray(x[some].T), w[some]
+            for point in np.frombuffer(own).reshape(-1, d):
+                far = np.zeros(columns.shape[1])
+                for c in range(d):
+                    diff = columns[c] - point[c]
+                    far += diff * diff
+                inside = np.flatnonzero((far >= least * least) & (far <= most * most)) if least > 0 else np.flatnonzero(far <= most * most)
+                already = before + (int(near_w[far < least * least].sum()) if least > 0 else 0)
+                near = np.argsort(far[inside])
+                at = int(np.searchsorted(np.cumsum(near_w[inside[near]]), k - already))
+                found.append(np.sqrt(far[inside[near[min(at, len(near) - 1)]]]))
+            ids.append(np.frombuffer(own_ids, dtype=np.int64))
+            weights.append(np.frombuffer(own_w, dtype=np.int64))
+        return pd.DataFrame({"id": np.concatenate(ids), "weight": np.concatenate(weights), "distance": found})
+
+    asked = spark.createDataFrame([(g,) for g in groups], "grp int").repartition(len(groups))
+    pairs = asked.mapInPandas(torn, "grp int, leaf bigint")
+    # few bytes stand for much work here, so tasks are dealt by groups and not by size
+    lefts = leaves.select("grp", "leaf", "x", "w", "ids").repartition(len(groups), "grp")
+    rights = pairs.join(leaves.select("leaf", F.col("x").alias("near_x"), F.col("w").alias("near_w")), "leaf").repartition(len(groups), "grp")
+    out = lefts.groupBy("grp").cogroup(rights.groupBy("grp")).applyInPandas(find, "id bigint, weight bigint, distance double")
+    return cut_lineage(out)
+
+
+def _groups(side, wanted: int) -> dict[int, int]:
+    """Cells dealt to ``wanted`` groups of cells that lie together, each with about as many points."""
+    used = sorted(side.stats)
+    if side.pivots is None or wanted <= 1:
+        return dict.fromkeys(used, 0)
+    rows, open_parts = np.array([side.stats[c][0] for c in used]), [np.arange(len(used))]
+    while len(open_parts) < min(wanted, len(used)):
+        largest = max((i for i in range(len(open_parts)) if len(open_parts[i]) > 1), key=lambda i: rows[open_parts[i]].sum())
+        part = open_parts.pop(largest)
+        at = side.pivots[np.array(used)[part]]
+        part = part[np.argsort(at[:, int(np.ptp(at, axis=0).argmax())], kind="stable")]
+        run = np.cumsum(rows[part])
+        cut = min(max(int(np.searchsorted(run, run[-1] / 2)), 1), len(part) - 1)
+        open_parts += [part[:cut], part[cut:]]
+    return {used[i]: g for g, part in enumerate(open_parts) for i in part}
+
+
+def _halves(x: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+    """The rows ``at`` cut in halves along their widest coordinate until none has more than ``size``."""
+    done, parts = [], [at]
+    while parts:
+        part = parts.pop()
+        if len(part) <= size:
+            done.append(part)
+            continue
+        own = x[part]
+        part = part[np.argsort(own[:, int(np.ptp(own, axis=0).argmax())], kind="stable")]
+        parts += [part[len(part) // 2:], part[:len(part) // 2]]
+    return done
+
+
+def _bracket(own_lo: np.ndarray, own_hi: np.ndarray, lo: np.ndarray, hi: np.ndarray, mass: np.ndarray, k: int) -> tuple[float, float, int, np.ndarray]:
+    """Bounds of the k-th distance of every point of a box, the points that are nearer for all of them, and which boxes lie between."""
+    gap = np.maximum(np.maximum(lo - own_hi, own_lo - hi), 0.0)
+    span = np.maximum(hi - own_lo, own_hi - lo)
+    nearest, farthest = np.sqrt((gap * gap).sum(axis=1)), np.sqrt((span * span).sum(axis=1))
+
+    def reached(d: np.ndarray) -> float:
+        order = np.argsort(d, kind="stable")
+        return float(d[order[min(int(np.searchsorted(np.cumsum(mass[order]), k)), len(d) - 1)]])
+
+    least, most = reached(nearest), reached(farthest)
+    least, most = max(least - 1e-9 * (1.0 + least), 0.0), most + 1e-9 * (1.0 + most)
+    inside = farthest < least
+    return least, most, int(mass[inside].sum()), ~inside & (nearest <= most)
+
+
+def _kth_by_bins(points: DataFrame, k: int, space: Space) -> DataFrame:
+    """The distance to nine digits of the range: every pass counts distances per point into 64 bins and descends into the bin holding rank k."""
     weighted = points if "weight" in points.columns else points.withColumn("weight", F.lit(1).cast("bigint"))
     spans = weighted.agg(*[
         F.struct(F.min(F.col("vec")[j]).alias("lo"), F.max(F.col("vec")[j]).alias("hi")).alias(f"x{j}")
