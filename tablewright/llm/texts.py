@@ -51,11 +51,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range: a polynomial over keyed bytes, from one running sum for all ranges."""
+def running_sum(data: np.ndarray) -> np.ndarray:
+    """The sums behind ``hash_spans``, for callers that hash several ranges of the same bytes."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE_KEYS[data] * _POWERS.upto(len(data)), out=total[1:])
+    return total
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each byte range: a polynomial over keyed bytes, from one running sum for all ranges."""
+    total = running_sum(data) if total is None else total
+    with np.errstate(over="ignore"):
         spans = (total[ends] - total[starts]) * _INVERSES.upto(len(data) + 1)[starts]
         return mix(spans + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm.shared import broadcast_if_small, lean, small_batches
-from tablewright.llm.texts import Words, hash_spans, mix, slices, split_terms
+from tablewright.llm.texts import Words, hash_spans, mix, running_sum, slices, split_terms
 from tablewright.session import cut_lineage
 
 BITS, WIDTH = 18, 8  # 2**BITS vectors of WIDTH numbers
@@ -37,7 +37,7 @@ BLOCK_BYTES = 256 << 10  # text that is coded together
 STATE_ROWS = 4096  # rows of the network's state that are averaged together
 MARGIN_STEP = 1 / 1024  # margins of texts kept apart are counted by steps of this size
 EPOCHS, BATCH, RATE, DROP = 12, 32, 0.05, 0.1
-WINDOWS = 1 << 16  # windows whose filters are computed at a time
+WINDOWS = 1 << 13  # windows whose filters are computed at a time
 THRESHOLD = 0.3  # score from which a text counts as toxic
 
 # fixed values: the commonest function words of each language
@@ -59,12 +59,12 @@ def _word_numbers(words: list[str]) -> np.ndarray:
 _KNOWN = {n: np.sort(_word_numbers(w.split())) for n, w in FUNCTION_WORDS.items()}
 
 
-def languages(hashes: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+def languages(distinct: np.ndarray, number: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """Each text's number in ``LANGUAGES``: that of most function words, the first of equals, the last if there are none."""
     counts = np.zeros((len(LANGUAGES), docs))
     for i, known in enumerate(_KNOWN.values()):
-        near = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        counts[i] = np.bincount(doc[known[near] == hashes], minlength=docs)
+        near = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+        counts[i] = np.bincount(doc[(known[near] == distinct)[number]], minlength=docs)
     counts[-1] = 0.5
     return counts.argmax(axis=0)
 
@@ -89,16 +89,17 @@ class Coded:
 
 
 def coded(words: Words) -> Coded:
-    hashes = words.hashes()
+    total = running_sum(words.data)
+    hashes = hash_spans(words.data, words.starts, words.ends, total)
     distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
     starts, ends = words.starts[first], words.ends[first]
     own = [distinct]
     for n in BEGINNINGS:
-        own.append(hash_spans(words.data, starts, np.minimum(starts + n, ends)) + np.uint64(n))
+        own.append(hash_spans(words.data, starts, np.minimum(starts + n, ends), total) + np.uint64(n))
     features = np.stack([(mix(h) >> np.uint64(64 - BITS)).astype(np.int32) + 1 for h in own], axis=1)
     for i, n in enumerate(BEGINNINGS):  # a word no longer than a beginning is that beginning already
         features[ends - starts <= n, i + 1] = 0
-    return Coded(distinct, number.astype(np.int32), words.doc.astype(np.int32), words.docs, features, languages(hashes, words.doc, words.docs))
+    return Coded(distinct, number.astype(np.int32), words.doc.astype(np.int32), words.docs, features, languages(distinct, number, words.doc, words.docs))
 
 
 def coded_texts(texts: list[str]) -> Coded:
@@ -376,16 +377,41 @@ def _unpacked(batches: Iterator[pa.RecordBatch], apart: bool) -> Iterator[tuple[
                 yield pickle.loads(pa.decompress(whole.as_buffer(), size.as_py(), codec="zstd"))
 
 
-def _rows_of(values: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows of a table ``values`` that ``held`` names, by groups of ``STATE_ROWS``."""
+def _short(rows: np.ndarray) -> bytes:
+    """What a shard changed of some vectors, in 20 bytes each in place of 64: moves as 127ths of the vector's largest one, which
+    goes along, and additions to the squares behind its rate as sixths of a power of two (6 % at most; below 2**-26 none)."""
+    moved, square = rows[:, :WIDTH], rows[:, WIDTH:]
+    scale = np.abs(moved).max(axis=1, keepdims=True).astype(np.float32) / np.float32(127)
+    move = np.rint(moved / np.where(scale > 0, scale, 1)).astype(np.int8)
+    power = np.rint(6 * np.log2(np.maximum(square, 1e-30))) + _POWER_0
+    return scale.tobytes() + move.tobytes() + np.clip(power, 0, 255).astype(np.uint8).tobytes()
+
+
+def _from_short(raw: bytes) -> np.ndarray:
+    n = len(raw) // (4 + 2 * WIDTH)
+    scale = np.frombuffer(raw, dtype=np.float32, count=n).reshape(-1, 1)
+    move = np.frombuffer(raw, dtype=np.int8, count=n * WIDTH, offset=4 * n).reshape(-1, WIDTH)
+    power = np.frombuffer(raw, dtype=np.uint8, count=n * WIDTH, offset=(4 + WIDTH) * n).reshape(-1, WIDTH)
+    return np.concatenate([scale * move, np.where(power > 0, 2.0 ** ((power.astype(float) - _POWER_0) / 6), 0)], axis=1)
+
+
+_POWER_0 = 160  # the code of an addition of 1; at most 2**15.8
+
+
+def _rows_of(values: np.ndarray, held: np.ndarray, short: int = 0) -> Iterator[pa.RecordBatch]:
+    """The rows of a table ``values`` that ``held`` names, ascending, by groups of ``STATE_ROWS``; whole groups of the first ``short`` rows in short form."""
     shard = TaskContext.get().partitionId()
     for block in np.unique(held // STATE_ROWS):
         at = held[held // STATE_ROWS == block]
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([shard], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()),
-                                          pa.array([values[at].astype(np.float32).tobytes()], pa.binary())], names=["block", "shard", "at", "held"])
+        there = np.zeros(STATE_ROWS, dtype=bool)
+        there[at - block * STATE_ROWS] = True
+        brief = bool((block + 1) * STATE_ROWS <= short)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([shard], pa.int32()), pa.array([brief]), pa.array([np.packbits(there).tobytes()], pa.binary()),
+                                          pa.array([_short(values[at]) if brief else values[at].astype(np.float32).tobytes()], pa.binary())],
+                                         names=["block", "shard", "brief", "at", "held"])
 
 
-_ROWS = "block int, shard int, at binary, held binary"
+_ROWS = "block int, shard int, brief boolean, at binary, held binary"
 
 
 def _summed(parts: DataFrame, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -394,9 +420,9 @@ def _summed(parts: DataFrame, size: int, width: int) -> tuple[np.ndarray, np.nda
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iloc[0])
         total, n = np.zeros((STATE_ROWS, width)), np.zeros(STATE_ROWS, dtype=np.int32)
-        for at, held in pdf.sort_values("shard")[["at", "held"]].itertuples(index=False):  # one order, so one result
-            rows = np.frombuffer(at, dtype=np.int32) - block * STATE_ROWS
-            total[rows] += np.frombuffer(held, dtype=np.float32).reshape(-1, width)
+        for brief, at, held in pdf.sort_values("shard")[["brief", "at", "held"]].itertuples(index=False):  # one order, so one result
+            rows = np.flatnonzero(np.unpackbits(np.frombuffer(at, dtype=np.uint8)))
+            total[rows] += _from_short(held) if brief else np.frombuffer(held, dtype=np.float32).reshape(-1, width)
             n[rows] += 1
         return pd.DataFrame({"block": [block], "n": [n.tobytes()], "total": [total.astype(np.float32).tobytes()]})
 
@@ -439,7 +465,7 @@ def _learn(blocks: DataFrame, epochs: int, seed: int = 11) -> ToxicityModel:
             for texts, y in _unpacked(batches, False):
                 _epoch(own, rates, texts, y, toxic, rng)
             moved = _to_state(own, rates) - before
-            yield from _rows_of(moved, np.flatnonzero(moved.any(axis=1)))
+            yield from _rows_of(moved, np.flatnonzero(moved.any(axis=1)), 1 << BITS)  # the last vector and all but the vectors stay in full
 
         total, n = _summed(blocks.mapInArrow(lean(run), _ROWS), *state.shape)
         state = state + total / np.maximum(n, 1)[:, None]
@@ -499,7 +525,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, bounds in slices(batch.column(text)):
+            for first, last, data, bounds in slices(batch.column(text), BLOCK_BYTES):  # so small that a step's arrays stay in cache
                 yield batch.slice(first, last - first).append_column(score, pa.array(held.value.score(data, bounds), pa.float64()))
 
     return small_batches(df.select(*kept)).mapInArrow(lean(run), schema)

@@ -45,3 +45,16 @@ def test_equal_margins_share_a_side():
     margin, y = np.array([0.0, 1.0, 1.0, 2.0]), np.array([0, 0, 1, 1])
     cuts = toxicity.calibrate(margin, np.zeros(4, dtype=int), y, np.array([5, 4, 6, 3]))
     assert cuts[0] == 0.5
+
+
+def test_a_shard_sends_its_changes_in_short_form():
+    """A third of the bytes: with whole numbers the check projected disk of 5 times the input."""
+    rng = np.random.default_rng(3)
+    moved = rng.normal(0, 1, (500, toxicity.WIDTH)) * 10.0 ** rng.integers(-6, 1, (500, 1))
+    square = 10.0 ** rng.uniform(-7, 3, (500, toxicity.WIDTH))
+    moved[0], square[1, :3] = 0, 0
+    raw = toxicity._short(np.concatenate([moved, square], axis=1).astype(np.float32))
+    again = toxicity._from_short(raw)
+    assert len(raw) <= 500 * 20
+    assert (np.abs(again[:, :toxicity.WIDTH] - moved) <= np.abs(moved).max(axis=1, keepdims=True) / 250).all()
+    assert np.allclose(again[:, toxicity.WIDTH:], square, rtol=0.07, atol=1e-30) and (again[0, :toxicity.WIDTH] == 0).all()
