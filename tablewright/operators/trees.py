@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,7 @@ NO_LIMIT = 10**9  # levels; growth ends when no node can be split
 LEVEL_CELLS = 4_000_000  # histogram cells that a task fills in one pass
 GROUP_CELLS = 200_000  # cells that are judged together
 GROUP_BYTES = 64 << 20  # of histograms that one task receives from all partitions together
+NODE_ROWS = 50_000  # rows of a node, copies included, below which one task grows all that lies under it
 
 
 def _tree_params(max_depth: int | None, min_samples_leaf: int, min_weight_fraction: float, min_gain: float, seed: int,
@@ -97,13 +99,18 @@ def _impurity(criterion: str | None, classification: bool) -> str:
 def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label", classification: bool = True, n_estimators: int = 100,
                max_depth: int | None = None, min_samples_leaf: int = 1, min_weight_fraction_leaf: float = 0.0,
                max_features: str | float | None = "sqrt", min_impurity_decrease: float = 0.0, bootstrap: bool = True,
-               criterion: str | None = None, seed: int = 42, min_samples_split: int = 2, max_bins: int = 32) -> SparkModel:
+               criterion: str | None = None, seed: int = 42, min_samples_split: int = 2, max_bins: int = 32) -> SparkModel | MeanForest:
+    """Classes: Spark's own forest. Values: ``fit_mean_forest``, since trees of thousands of leaves take Spark a dense histogram for each node."""
     min_samples_leaf = least_leaf(min_samples_leaf, min_samples_split)
     params = _tree_params(max_depth, min_samples_leaf, min_weight_fraction_leaf, min_impurity_decrease, seed, max_bins)
+    impurity = _impurity(criterion, classification)
+    if not classification:
+        rule = Growth(max_depth=params["maxDepth"], min_child_weight=min_samples_leaf, min_decrease=min_impurity_decrease, seed=seed,
+                      feature_share=features_tried(_subset(max_features), len(features), n_estimators) / len(features))
+        return fit_mean_forest(train, features, label, n_estimators, rule, min_weight_fraction_leaf, bootstrap, max_bins)
     common = {"featuresCol": VECTOR, "labelCol": label, "numTrees": n_estimators, "bootstrap": bootstrap,
               "featureSubsetStrategy": _subset(max_features), **params}
-    kind = RandomForestClassifier if classification else RandomForestRegressor
-    estimator = kind(impurity=_impurity(criterion, classification), **common)
+    estimator = RandomForestClassifier(impurity=impurity, **common)
     return SparkModel(list(features), estimator.fit(spread(assemble(train, features))))
 
 
@@ -229,6 +236,7 @@ class Growth:
     random_threshold: bool = False
     seed: int = 42
     min_split: int = 2
+    min_decrease: float = 0.0  # of the mean gain of a node's rows
 
 
 def _unit(*parts: int) -> float:
@@ -271,7 +279,7 @@ def best_split(cells: np.ndarray, rule: Growth, t: int, node: int) -> tuple:
     if rule.feature_share < 1.0:
         order = sorted(range(n_features), key=lambda f: _unit(rule.seed + 1, t, node, f))
         allowed[order[max(1, round(rule.feature_share * n_features)):]] = False
-    gain = np.where(allowed & (gain > max(rule.gamma, 1e-12)), gain, -np.inf)
+    gain = np.where(allowed & (gain > max(rule.gamma, 1e-12)) & (gain >= rule.min_decrease * whole[1]), gain, -np.inf)
     at = int(gain.argmax())  # of equal gains the first feature and bin
     f, b = divmod(at, bins)
     if not np.isfinite(gain[f, b]):
@@ -285,8 +293,11 @@ def judged_together(size: int, parts: int) -> int:
 
 
 def _level(packed: DataFrame, flat: list[FlatTree], nodes: list[tuple[int, int]], n_features: int, bins: int, rule: Growth,
-           target: list[int], parts: int) -> list:
-    """The best split of each open node ``(tree, node)``: histograms within partitions, summed as arrays, judged per group of nodes."""
+           target: list[int], parts: int, drawn: Callable[[np.ndarray, int], np.ndarray] | None = None) -> list:
+    """The best split of each open node ``(tree, node)``: histograms within partitions, summed as arrays, judged per group of nodes.
+
+    ``drawn`` gives the copies of rows in a tree's sample from their column ``u``.
+    """
     by_tree: dict[int, list[tuple[int, int]]] = {}
     for slot, (t, node) in enumerate(nodes):
         by_tree.setdefault(t, []).append((slot, node))
@@ -305,11 +316,14 @@ def _level(packed: DataFrame, flat: list[FlatTree], nodes: list[tuple[int, int]]
             x, g, h = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("bins", "g", "h"))
             for t, own in by_tree.items():
                 slot = slots[t][flat[t].leaves(x)]
-                c = target[t]
-                keep = np.flatnonzero((slot >= 0) & (h[:, c] > 0))
+                gt, ht = g[:, target[t]], h[:, target[t]]
+                if drawn is not None:
+                    copies = drawn(batch.column("u").to_numpy(), t)
+                    gt, ht = gt * copies, ht * copies
+                keep = np.flatnonzero((slot >= 0) & (ht > 0))
                 cell = (slot[keep, None] * size + np.arange(n_features) * bins + x[keep]).ravel()
                 part = total[own[0][0]:own[0][0] + len(own)].reshape(-1, 3)
-                for i, w in enumerate((g[keep, c], h[keep, c], None)):
+                for i, w in enumerate((gt[keep], ht[keep], None)):
                     part[:, i] += np.bincount(cell, None if w is None else np.repeat(w, n_features), minlength=len(part))
         held = np.flatnonzero(total[:, :, 2].any(axis=1))
         for k in range(0, len(held), group):
@@ -443,3 +457,222 @@ def fit_extra_trees(train: DataFrame, features: Sequence[str], keys: Sequence[st
         trees += grow(binned, features, edges, targets, rule)
     binned.unpersist()
     return ForestModel(features, trees, classes)
+
+
+# --- forests of deep trees of values -------------------------------------------------------
+
+
+def features_tried(subset: str, size: int, n_trees: int) -> int:
+    """Features that a node tries, by the names that Spark's forests know, a count or a share."""
+    if subset == "all" or (subset == "auto" and n_trees == 1):
+        return size
+    known = {"auto": size / 3, "onethird": size / 3, "sqrt": size ** 0.5, "log2": math.log2(size) if size > 1 else 1.0}
+    if subset in known:
+        return max(1, math.ceil(known[subset]))
+    if subset.isdigit() and int(subset) > 0:
+        return min(int(subset), size)
+    if 0 < float(subset) <= 1:
+        return max(1, math.ceil(float(subset) * size))
+    raise ValueError("max_features is all, auto, onethird, sqrt, log2, a count or a share")
+
+
+def split_edges(df: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """Edges between all values of a feature that has at most ``bins``, else those of ``bin_edges``."""
+    edges = bin_edges(df, features, bins)
+    about = df.agg(*[F.approx_count_distinct(f, 0.02).alias(f) for f in features]).first()
+    for f in features:
+        if about[f] <= 1.2 * bins:
+            held = sorted(float(r[0]) for r in df.select(f).where(F.col(f).isNotNull()).distinct().limit(2 * bins).collect())
+            if len(held) <= bins:
+                edges[f] = [(a + b) / 2 for a, b in zip(held, held[1:])]
+    return edges
+
+
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])  # of mean 1
+
+
+def bootstrap_copies(u: np.ndarray, member: int) -> np.ndarray:
+    """How often rows of random numbers ``u`` stand in the sample of a member: 0, 1, 2, ..., once on average."""
+    with np.errstate(over="ignore"):
+        x = u.astype(np.int64).view(np.uint64) + np.uint64((member + 1) * 0x9E3779B97F4A7C15 & _MASK)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)) / 2.0**53, side="right").astype(float)
+
+
+def grow_rows(x: np.ndarray, y: np.ndarray, copies: np.ndarray, bins: int, depth: int, rule: Growth, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """``(feature, bin, left, value, gains)`` of a tree over the binned rows ``x``: least squares, all nodes of a level at once.
+
+    The right child stands behind the left one; a leaf has feature -1. ``gains`` are sums by feature.
+    """
+    size = x.shape[1]
+    tried = max(1, round(rule.feature_share * size))
+    centre = float(y @ copies / copies.sum())
+    d, gains, levels = y - centre, np.zeros(size), []
+    row, slot, open_nodes, after = np.arange(len(y)), np.zeros(len(y), dtype=np.int64), 1, 1
+    while open_nodes:
+        w, wd = copies[row], copies[row] * d[row]
+        H, G, S = (np.bincount(slot, v, minlength=open_nodes) for v in (w, wd, wd * d[row]))
+        feature, cut, left = np.full(open_nodes, -1, dtype=np.int16), np.zeros(open_nodes, dtype=np.int32), np.zeros(open_nodes, dtype=np.int32)
+        worth = np.flatnonzero((H >= 2 * rule.min_child_weight) & (S - G * G / H > 1e-12 * S)) if len(levels) < depth else np.zeros(0, dtype=np.int64)
+        place = np.full(open_nodes, -1)
+        place[worth] = np.arange(len(worth))
+        keep = np.flatnonzero(place[slot] >= 0)
+        keep = keep[np.argsort(place[slot[keep]], kind="stable")]
+        row, slot, w, wd = row[keep], slot[keep], w[keep], wd[keep]
+        wave = max(1, LEVEL_CELLS // (size * bins))
+        for a in range(0, len(worth), wave):
+            some = worth[a:a + wave]
+            i, j = np.searchsorted(place[slot], [a, a + len(some)])
+            cell = (((place[slot[i:j]] - a)[:, None] * size + np.arange(size)) * bins + x[row[i:j]]).ravel()
+            h, g = (np.cumsum(np.bincount(cell, np.repeat(v[i:j], size), minlength=len(some) * size * bins).reshape(-1, size, bins), axis=2) for v in (w, wd))
+            H1, G1 = H[some, None, None], G[some, None, None]
+            allowed = (h >= rule.min_child_weight) & (H1 - h >= rule.min_child_weight)
+            if tried < size:
+                allowed &= (rng.random((len(some), size)).argsort(axis=1).argsort(axis=1) < tried)[:, :, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(allowed, g * g / h + (G1 - g) ** 2 / (H1 - h), -np.inf).reshape(len(some), -1)
+            best = gain.argmax(axis=1)  # of equal gains the first feature and bin
+            top = gain[np.arange(len(some)), best] - G[some] ** 2 / H[some]
+            good = (top > 1e-12 * S[some]) & (top >= rule.min_decrease * H[some])
+            feature[some[good]], cut[some[good]] = best[good] // bins, best[good] % bins
+            gains += np.bincount(best[good] // bins, top[good], minlength=size)
+        parted = np.flatnonzero(feature >= 0)
+        left[parted] = after + 2 * np.arange(len(parted))
+        levels.append((feature, cut, left, G / H + centre))
+        keep = feature[slot] >= 0
+        row, slot = row[keep], slot[keep]
+        slot = left[slot] - after + (x[row, feature[slot]] > cut[slot])
+        open_nodes = 2 * len(parted)
+        after += open_nodes
+    return *(np.concatenate(c) for c in zip(*levels)), gains
+
+
+@dataclass(frozen=True)
+class MeanForest:
+    """Trees of values as flat arrays, averaged; ``gains`` holds a row for each tree."""
+
+    features: list[str]
+    trees: list[FlatTree]
+    gains: np.ndarray
+
+    def importances(self) -> list[float]:
+        whole = self.gains.sum(axis=1, keepdims=True)
+        return [float(v) for v in (self.gains / np.where(whole > 0, whole, 1)).sum(axis=0)]
+
+    def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
+        held = df.sparkSession.sparkContext.broadcast(self.trees)
+
+        @F.pandas_udf(T.DoubleType())
+        def mean(x: pd.Series) -> pd.Series:
+            rows = np.array(list(x), dtype=float).reshape(len(x), -1)
+            return pd.Series(sum((t.value[t.leaves(rows)] for t in held.value), np.zeros(len(rows))) / len(held.value))
+
+        return df.withColumn(prediction, mean(F.array(*[F.col(f).cast("double") for f in self.features])))
+
+
+def fit_mean_forest(train: DataFrame, features: Sequence[str], label: str, n_estimators: int, rule: Growth, min_fraction: float = 0.0,
+                    bootstrap: bool = True, bins: int = 32) -> MeanForest:
+    """Trees of least squares. Nodes of more than ``NODE_ROWS`` rows are split level by level from histograms of all partitions;
+    the rows under a smaller node meet in one task, which grows the rest of its tree. The driver holds the finished trees.
+    """
+    features, size = list(features), len(features)
+    edges = split_edges(train, features, bins)
+    bins = max(len(edges[f]) for f in features) + 1
+    rows = spread(with_bins(train.select(F.col(label).cast("double").alias("_y"), *features), features, edges)).select(
+        F.array(*[F.col(f"_b_{f}").cast("int") for f in features]).alias("bins"), F.array(-F.col("_y")).alias("g"), F.array(F.lit(1.0)).alias("h"),
+        F.xxhash64(F.lit(rule.seed), F.monotonically_increasing_id()).alias("u")).persist()
+    n, parts = rows.count(), rows.rdd.getNumPartitions()
+    rule = replace(rule, min_child_weight=max(rule.min_child_weight, 1.0, min_fraction * n))
+    drawn = bootstrap_copies if bootstrap else lambda u, member: np.ones(len(u))
+
+    tops = [Tree() for _ in range(n_estimators)]
+    level, small = [(t, 1) for t in range(n_estimators)], []
+    if n <= NODE_ROWS:
+        level, small = [], level
+    wave = max(1, LEVEL_CELLS // (size * bins))
+    for _ in range(rule.max_depth):
+        flat, below = [FlatTree.of(t, features, edges) for t in tops], []
+        for first in range(0, len(level), wave):
+            some = level[first:first + wave]
+            for r in sorted(_level(rows, flat, some, size, bins, rule, [0] * n_estimators, parts, drawn), key=lambda r: r["slot"]):
+                t, node = some[r["slot"]]
+                tops[t].values[node] = -r["G"] / r["H"]
+                if r["gain"] is None:
+                    continue
+                feature = features[int(r["f"])]
+                tops[t].splits[node] = (feature, edges[feature][int(r["b"])])
+                tops[t].gains[feature] = tops[t].gains.get(feature, 0.0) + r["gain"]
+                del tops[t].values[node]
+                for child, g, h in ((2 * node, r["lg"], r["lh"]), (2 * node + 1, r["G"] - r["lg"], r["H"] - r["lh"])):
+                    tops[t].values[child] = -g / h
+                    (small if h <= NODE_ROWS else below).append((t, child))
+        level = sorted(below)
+        if not level:
+            break
+    small.sort()
+    flat = [FlatTree.of(t, features, edges) for t in tops]
+    group_of = [np.full(len(f.names), -1) for f in flat]
+    for group, (t, node) in enumerate(small):
+        group_of[t][flat[t].names.index(node)] = group
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            x, y = batch.column("bins").flatten().to_numpy().reshape(batch.num_rows, -1), -batch.column("g").flatten().to_numpy()
+            groups, packed = [], []
+            for t in range(n_estimators):
+                copies, group = drawn(batch.column("u").to_numpy(), t), group_of[t][flat[t].leaves(x)]
+                keep = np.flatnonzero((copies > 0) & (group >= 0))
+                keep = keep[np.argsort(group[keep], kind="stable")]
+                own, begin = np.unique(group[keep], return_index=True)
+                for name, i in zip(own, np.split(keep, begin[1:])):
+                    groups.append(int(name))
+                    packed.append(y[i].tobytes() + x[i].astype(np.int32).tobytes() + copies[i].astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(np.full(len(groups), at)), pa.array(packed, pa.binary())], names=["group", "at", "rows"])
+            at += 1
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        group, ys, xs, ws = int(pdf["group"].iloc[0]), [], [], []
+        for raw in pdf.sort_values("at")["rows"]:
+            k = len(raw) // (9 + 4 * size)
+            ys.append(np.frombuffer(raw, np.float64, k))
+            xs.append(np.frombuffer(raw, np.int32, k * size, 8 * k).reshape(k, size))
+            ws.append(np.frombuffer(raw, np.uint8, k, (8 + 4 * size) * k))
+        depth = rule.max_depth - (small[group][1].bit_length() - 1)
+        grown = grow_rows(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws).astype(float), bins, depth, rule, np.random.default_rng([rule.seed, group]))
+        return pd.DataFrame({"group": [group], **{c: [v.tobytes()] for c, v in zip(_GROWN, grown)}})
+
+    found = {}
+    if small:
+        tasks = min(len(small), max(4 * rows.sparkSession.sparkContext.defaultParallelism, n * n_estimators // 1_000_000))
+        dealt = rows.mapInArrow(deal, "group int, at bigint, rows binary").repartition(tasks, "group")
+        grown = dealt.groupBy("group").applyInPandas(finish, "group int, " + ", ".join(f"{c} binary" for c in _GROWN))
+        found = {r["group"]: [np.frombuffer(r[c], kind) for c, kind in _GROWN.items()] for r in grown.collect()}
+    rows.unpersist()
+    trees, gains = [], np.zeros((n_estimators, size))
+    for t, top in enumerate(tops):
+        gains[t] = [top.gains.get(f, 0.0) for f in features]
+        whole = FlatTree.of(top, features)
+        columns = [[c] for c in (whole.feature, whole.threshold, whole.left, whole.right, whole.value)]
+        end = len(whole.names)
+        for place, group in enumerate(group_of[t]):
+            if group < 0 or group not in found:
+                continue
+            feature, cut, left, value, gain = found[group]
+            gains[t] += gain
+            inner = feature >= 0
+            threshold = np.zeros(len(feature))
+            threshold[inner] = [edges[features[f]][b] for f, b in zip(feature[inner], cut[inner])]
+            left = np.where(inner, left + end - 1, 0)  # the first node takes the place of the top's leaf, the others follow
+            under = (feature, threshold, left, np.where(inner, left + 1, 0), np.where(inner, 0.0, value))
+            for column, part in zip(columns, under):
+                column[0][place] = part[0]
+                column.append(part[1:])
+            end += len(feature) - 1
+        trees.append(FlatTree(*(np.concatenate(c) for c in columns), []))
+    return MeanForest(features, trees, gains)
+
+
+_GROWN = {"feature": np.int16, "cut": np.int32, "left": np.int32, "value": np.float64, "gains": np.float64}
