@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.distances import Space
+from tablewright.functions.distances import MANY_DIMENSIONS, Space
 from tablewright.operators.graph import connected_components, number_clusters
 from tablewright.operators.groups import join_groups
 from tablewright.operators.neighbors import nearest_neighbors
@@ -102,8 +102,18 @@ def _label(df: DataFrame, features: Sequence[str], id_col: str, points: DataFram
 
 def core_distances(df: DataFrame, features: Sequence[str], id_col: str, min_samples: int, metric: str = "euclidean",
                    p: float = 2.0) -> DataFrame:
-    """Distinct points ``(id, weight, vec, core)`` with the distance to their ``min_samples``-th neighbour, itself included."""
+    """Distinct points ``(id, weight, vec, core)`` with the distance to their ``min_samples``-th neighbour, itself included.
+
+    Boxes of leaves bound it where there are few dimensions, so no lists of neighbours are made.
+    """
+    from tablewright.operators.modes import kth_distances  # modes builds on this module
+
     points = cut_lineage(distinct_points(df, features, id_col))
+    space = Space(metric, p)
+    if space.name == "euclidean" and len(features) < MANY_DIMENSIONS:
+        if (points.agg(F.sum("weight")).first()[0] or 0) < min_samples:
+            return points.withColumn("core", F.lit(float("inf")))
+        return cut_lineage(points.join(kth_distances(points, min_samples, space).select("id", F.col("distance").alias("core")), "id"))
     queries = points.select(F.col("id").alias(id_col), *[F.col("vec")[i].alias(f) for i, f in enumerate(features)])
     near = nearest_neighbors(queries, df, features, id_col, min_samples, metric, p)
     kth = near.filter(F.col("rank") == min_samples).select(F.col(id_col).cast("bigint").alias("id"), F.col("distance").alias("core"))
