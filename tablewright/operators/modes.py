@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import total
-from tablewright.functions.distances import Space, cross_distances
+from tablewright.functions.distances import Space, cross_distances, pair_distances
 from tablewright.operators.density import _spread_to_copies, distinct_points
 from tablewright.operators.graph import number_clusters
 from tablewright.operators.kmeans import fit_kmeans
@@ -18,9 +18,15 @@ from tablewright.operators.neighbors import nearest_neighbors
 from tablewright.operators.pairwise import as_points, divide, matrix, near_blocks
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.spectral import leading_vectors, normalised_edges
-from tablewright.session import cut_lineage
+from tablewright.session import cut_lineage, fits_broadcast
 
 FEW_SEEDS = 2000  # seeds that may travel with the task instead of being joined
+PART_ROWS = 500_000  # points of one index, where a table is too large for one that travels
+SEED_ROWS = 20_000  # seeds a task climbs, about
+STRIP_SEEDS = 4096  # seeds looked up at a time
+FEW_MODES = 2000  # densest modes settled at a time
+FEW_PASSES = 20  # over the modes before they are settled in rounds
+COLUMN_ROWS = 64  # points of a column of a small table
 LEAF_ROWS = 64  # points of a leaf of a small table
 MOST_LEAVES = 16_000  # leaves whose boxes may travel with a task; a larger table has larger leaves
 GROUP_ROWS = 8192  # points whose distances a task looks for, about
@@ -208,19 +214,15 @@ def fit_mean_shift(df: DataFrame, features: Sequence[str], id_col: str, bandwidt
         seeds = points.groupBy(cell.alias("_c")).agg(F.min("id").alias("id")).select(
             "id", F.transform("_c", lambda x: x * width).alias("vec"))
 
-    def climb(a: pd.DataFrame, b: pd.DataFrame, dist: np.ndarray) -> pd.DataFrame:
-        near = (dist <= width) * b["weight"].to_numpy()[None, :]
-        sums = near @ np.stack(b["vec"].to_numpy())
-        return pd.DataFrame({"id": a["id"].to_numpy(), "n": near.sum(axis=1).astype("int64"), **{f"s{j}": sums[:, j] for j in range(d)}})
-
     schema = "id bigint, n bigint, " + ", ".join(f"s{j} double" for j in range(d))
     moving, settled = cut_lineage(seeds), None
     climbers = moving.limit(FEW_SEEDS + 1).collect()
     if len(climbers) <= FEW_SEEDS:
         settled = _climb_few(climbers, points.persist(), width, schema, max_iter)
+    elif fits_broadcast(points.count(), d):
+        settled = _climb_all(moving, points, width, d, max_iter)
     for turn in range(max_iter if settled is None else 0):
-        partial = near_blocks(moving, points, "id", climb, schema, space, radius=width)
-        sums = partial.groupBy("id").agg(
+        sums = _ball_sums(moving, points, width, schema, d).groupBy("id").agg(
             F.sum("n").alias("n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
         target = F.array(*[F.col(f"s{j}") / F.col("n") for j in range(d)])
         stepped = moving.join(sums, "id").filter("n > 0").withColumn("_to", target)
@@ -246,6 +248,117 @@ def fit_mean_shift(df: DataFrame, features: Sequence[str], id_col: str, bandwidt
     return _spread_to_copies(df, features, id_col, points.join(best.select("id", cluster.alias("cluster")), "id"), "cluster")
 
 
+class BallSums:
+    """The number and the sum of the weighted points within a distance of any place, without meeting each of them.
+
+    Points stand in columns along the coordinate of most values, in order, with running sums. A column is thin in the other coordinates, or of
+    no extent where these have few values; so a ball covers a run of it, and only at both ends of the run points are looked at one by one.
+    """
+
+    def __init__(self, x: np.ndarray, weight: np.ndarray):
+        self.along = int(np.argmax([len(np.unique(x[:, j])) for j in range(x.shape[1])]))
+        self.across = [j for j in range(x.shape[1]) if j != self.along]
+        size, self.columns, parts = max(COLUMN_ROWS, int(len(x) ** 0.5)), [], [np.arange(len(x))]
+        while parts:
+            part = parts.pop()
+            extent = np.ptp(x[np.ix_(part, self.across)], axis=0) if self.across else np.zeros(1)
+            if extent.max() > 0 and len(part) > size:
+                axis = self.across[int(extent.argmax())]
+                part = part[np.argsort(x[part, axis], kind="stable")]
+                values = x[part, axis]
+                cut = int(np.searchsorted(values, values[len(part) // 2])) or int(np.searchsorted(values, values[0], side="right"))
+                parts += [part[:cut], part[cut:]]
+                continue
+            part = part[np.argsort(x[part, self.along], kind="stable")]
+            own = x[part]
+            rows = np.column_stack([weight[part], own * weight[part][:, None]]).astype(float)
+            thin = own[:, self.across]
+            self.columns.append((own, rows, np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, axis=0)]), thin.min(axis=0), thin.max(axis=0)))
+
+    def sums(self, places: np.ndarray, width: float) -> np.ndarray:
+        """A row for each place: the weight of the points within ``width``, and the sum of each coordinate."""
+        out = np.zeros((len(places), places.shape[1] + 1))
+        for i in range(0, len(places), STRIP_SEEDS):
+            self._add(places[i:i + STRIP_SEEDS], width, out[i:i + STRIP_SEEDS])
+        return out
+
+    def _add(self, places: np.ndarray, width: float, out: np.ndarray) -> None:
+        at, thin, square = places[:, self.along], places[:, self.across], width * width
+        for own, rows, running, lo, hi in self.columns:
+            gap = (np.maximum(np.maximum(lo - thin, thin - hi), 0.0) ** 2).sum(axis=1)
+            met = np.flatnonzero(gap <= square * (1 + 1e-9))
+            if not len(met):
+                continue
+            span = (np.maximum(hi - thin[met], thin[met] - lo) ** 2).sum(axis=1)
+            y, values = at[met], own[:, self.along]
+            most = np.sqrt(np.maximum(square * (1 + 1e-9) - gap[met], 0.0))
+            sure = square * (1 - 1e-9) - span
+            least = np.sqrt(np.maximum(sure, 0.0))
+            first, end = np.searchsorted(values, y - most), np.searchsorted(values, y + most, side="right")
+            inner, last = np.searchsorted(values, y - least), np.searchsorted(values, y + least, side="right")
+            inner, last = np.where(sure > 0, inner, first), np.where(sure > 0, last, first)
+            out[met] += running[last] - running[inner]
+            for a, b in ((first, inner), (last, end)):
+                size = b - a
+                if not size.any():
+                    continue
+                who = np.repeat(np.arange(len(met)), size)
+                which = np.arange(len(who)) + np.repeat(a - (np.cumsum(size) - size), size)
+                inside = pair_distances(places, own, met[who], which) <= width
+                np.add.at(out, met[who[inside]], rows[which[inside]])
+
+
+def _climb_all(seeds: DataFrame, points: DataFrame, width: float, d: int, max_iter: int) -> DataFrame:
+    """Seeds of any number climb to the end in their tasks; the points' running sums, of a measured size, travel to them.
+
+    Seeds that meet are one from there on, named by the least id.
+    """
+    held = points.select("weight", *[F.col("vec")[j].alias(f"x{j}") for j in range(d)]).toPandas()
+    sent = points.sparkSession.sparkContext.broadcast((held[[f"x{j}" for j in range(d)]].to_numpy(float), held["weight"].to_numpy()))
+
+    def climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [pdf for pdf in batches if len(pdf)]
+        if not parts:
+            return
+        ball, whole = BallSums(*sent.value), pd.concat(parts, ignore_index=True)
+        ids, at = whole["id"].to_numpy(), matrix(whole["vec"]).astype(float)
+        for turn in range(max_iter):
+            sums = ball.sums(at, width)
+            some = sums[:, 0] > 0  # a seed without points has no mode
+            ids, at, n = ids[some], at[some], sums[some, 0]
+            to = sums[some, 1:] / n[:, None]
+            still = np.linalg.norm(to - at, axis=1) <= 1e-3 * width if turn + 1 < max_iter else np.ones(len(to), dtype=bool)
+            if still.any():
+                yield pd.DataFrame({"id": ids[still], "vec": list(to[still]), "n": n[still].astype("int64")})
+            if still.all():
+                return
+            at, named = np.unique(to[~still], axis=0, return_inverse=True)
+            least = np.full(len(at), np.iinfo(np.int64).max)
+            np.minimum.at(least, named.ravel(), ids[~still])
+            ids = least
+
+    tasks = max(-(-seeds.count() // SEED_ROWS), 1)
+    return cut_lineage(seeds.repartitionByRange(tasks, "vec").mapInPandas(climb, "id bigint, vec array<double>, n bigint"))
+
+
+def _ball_sums(seeds: DataFrame, points: DataFrame, width: float, schema: str, d: int) -> DataFrame:
+    """``(id, n, s0..)`` of each seed and part of the points: a part's running sums are made where some of the seeds meet it."""
+    parts, groups = (max(-(-t.count() // PART_ROWS), 1) for t in (points, seeds))
+    left = seeds.select("id", "vec").withColumns({"_g": F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"), "_p": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    right = points.select("weight", "vec").withColumns({"_p": F.pmod(F.xxhash64("vec"), F.lit(parts)).cast("int"),
+                                                        "_g": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "n": [], **{f"s{j}": [] for j in range(d)}})
+        sums = BallSums(matrix(b["vec"]).astype(float), b["weight"].to_numpy()).sums(matrix(a["vec"]).astype(float), width)
+        return pd.DataFrame({"id": a["id"].to_numpy(), "n": sums[:, 0].astype("int64"), **{f"s{j}": sums[:, j + 1] for j in range(d)}})
+
+    tasks = parts * groups
+    left, right = left.repartition(tasks, "_p", "_g"), right.repartition(tasks, "_p", "_g")
+    return left.groupBy("_p", "_g").cogroup(right.groupBy("_p", "_g")).applyInPandas(run, schema)
+
+
 def _climb_few(climbers: list, points: DataFrame, width: float, schema: str, max_iter: int) -> DataFrame:
     """A bounded number of seeds travels to the points instead of the points being shuffled."""
     at = {r["id"]: np.array(r["vec"], dtype=float) for r in climbers}
@@ -281,8 +394,31 @@ def _climb_few(climbers: list, points: DataFrame, width: float, schema: str, max
 
 
 def _strongest(modes: DataFrame, width: float, space: Space) -> DataFrame:
-    """Modes with no denser surviving mode within ``width``: settled in rounds, denser ones first."""
-    open_modes, kept = modes, None
+    """Modes with no denser surviving mode within ``width``, denser ones first.
+
+    The densest few thousand are settled by themselves, and what they absorb goes; modes that are left after some passes are many and far
+    apart, and are settled in rounds.
+    """
+    open_modes, kept, order = modes, None, [F.desc("n"), F.col("id")]
+    for _ in range(FEW_PASSES):
+        top, chosen = open_modes.orderBy(*order).limit(FEW_MODES).collect(), []
+        at = np.array([r["vec"] for r in top], dtype=float)
+        while len(at):
+            chosen.append(top[0])
+            far = np.flatnonzero(cross_distances(at[:1], at, "euclidean")[0] > width)
+            at, top = at[far], [top[i] for i in far]
+        if not chosen:
+            return cut_lineage(kept)
+        winners = modes.sparkSession.createDataFrame([tuple(r) for r in chosen], modes.schema)
+        kept = winners if kept is None else kept.unionByName(winners)
+        centres = np.array([r["vec"] for r in chosen], dtype=float)
+
+        def beyond(batches: Iterator[pd.DataFrame], centres=centres) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield pdf[(cross_distances(matrix(pdf["vec"]), centres, "euclidean") > width).all(axis=1)]
+
+        open_modes = cut_lineage(open_modes.mapInPandas(beyond, modes.schema))
 
     def rival(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
         na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
@@ -290,18 +426,17 @@ def _strongest(modes: DataFrame, width: float, space: Space) -> DataFrame:
         beats = (d <= width) & ((nb > na) | ((nb == na) & (ib < ia)))
         return pd.DataFrame({"id": a["id"].to_numpy(), "beaten": beats.any(axis=1)})
 
-    while True:
+    while not open_modes.isEmpty():
         beaten = near_blocks(open_modes, open_modes, "id", rival, "id bigint, beaten boolean", space, radius=width)
         flags = beaten.groupBy("id").agg(F.max("beaten").alias("beaten"))
         judged = cut_lineage(open_modes.join(flags, "id", "left"))
         winners = judged.filter("NOT coalesce(beaten, false)").drop("beaten")
-        kept = winners if kept is None else kept.unionByName(winners)
+        kept = kept.unionByName(winners)
         rest = judged.filter("beaten").drop("beaten")
         near_winner = near_blocks(rest, winners, "id", lambda a, b, d: pd.DataFrame({"id": a["id"].to_numpy()[(d <= width).any(axis=1)]}),
                                   "id bigint", space, radius=width).distinct()
         open_modes = cut_lineage(rest.join(near_winner, "id", "left_anti"))
-        if open_modes.isEmpty():
-            return cut_lineage(kept)
+    return cut_lineage(kept)
 
 
 def similarity_edges(df: DataFrame, features: Sequence[str], id_col: str, n_neighbors: int) -> DataFrame:

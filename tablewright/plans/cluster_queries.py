@@ -200,7 +200,7 @@ def _(spark, sf):
 
 @query("c9_mean_shift")
 def _(spark, sf):
-    return modes.fit_mean_shift(customer_points(spark, sf), CUSTOMER_FEATURES, "c_custkey", bin_seeding=True, max_iter=40)
+    return modes.fit_mean_shift(customer_points(spark, sf), CUSTOMER_FEATURES, "c_custkey")
 
 
 @query("c9_bandwidth", f"""WITH {_POINTS}, d AS (SELECT a.c_custkey, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM pts a, pts b),
