@@ -13,25 +13,22 @@ from tablewright.operators.rowid import add_row_id
 from tablewright.session import cut_lineage
 
 
-SMALL_GRAPH = 200_000  # measured number of edges one task may resolve
+SMALL_GRAPH = 2_000_000  # measured number of edges one task may resolve
 
 
 def join_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vertices and their component's least vertex, for a bounded list of edges."""
     names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(names)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(at[:len(a)].tolist(), at[len(a):].tolist()):
-        x, y = find(x), find(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return names, names[[find(x) for x in range(len(names))]]
+    parent, x, y = np.arange(len(names)), at[:len(a)], at[len(a):]
+    while True:
+        x, y = parent[x], parent[y]
+        apart = x != y
+        if not apart.any():
+            return names, names[parent]
+        x, y = x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))  # every root but the least of its neighbours gives way
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,6 +15,7 @@ from tablewright.operators.affinity import all_pairs_exemplars
 from tablewright.operators.density import _spread_to_copies, distinct_points
 from tablewright.operators.graph import number_clusters
 from tablewright.operators.kmeans import fit_kmeans
+from tablewright.operators.leaves import cell_groups, halves as _halves
 from tablewright.operators.neighbors import nearest_neighbors
 from tablewright.operators.pairwise import as_points, divide, matrix, near_blocks
 from tablewright.operators.quantiles import exact_quantiles
@@ -48,7 +49,7 @@ def kth_distances(points: DataFrame, k: int, space: Space | None = None) -> Data
     weighted = points if "weight" in points.columns else points.withColumn("weight", F.lit(1).cast("bigint"))
     side = divide(weighted.select("id", "weight", "vec"), "id", Space("euclidean"))
     size = max(LEAF_ROWS, -(-side.rows // MOST_LEAVES) * 2)
-    group_of = _groups(side, min(max(1, side.rows // GROUP_ROWS), MOST_GROUPS))
+    group_of = cell_groups(side, min(max(1, side.rows // GROUP_ROWS), MOST_GROUPS))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         x, out = matrix(pdf["vec"]), []
@@ -114,37 +115,6 @@ def kth_distances(points: DataFrame, k: int, space: Space | None = None) -> Data
     return cut_lineage(out)
 
 
-def _groups(side, wanted: int) -> dict[int, int]:
-    """Cells dealt to ``wanted`` groups of cells that lie together, each with about as many points."""
-    used = sorted(side.stats)
-    if side.pivots is None or wanted <= 1:
-        return dict.fromkeys(used, 0)
-    rows, open_parts = np.array([side.stats[c][0] for c in used]), [np.arange(len(used))]
-    while len(open_parts) < min(wanted, len(used)):
-        largest = max((i for i in range(len(open_parts)) if len(open_parts[i]) > 1), key=lambda i: rows[open_parts[i]].sum())
-        part = open_parts.pop(largest)
-        at = side.pivots[np.array(used)[part]]
-        part = part[np.argsort(at[:, int(np.ptp(at, axis=0).argmax())], kind="stable")]
-        run = np.cumsum(rows[part])
-        cut = min(max(int(np.searchsorted(run, run[-1] / 2)), 1), len(part) - 1)
-        open_parts += [part[:cut], part[cut:]]
-    return {used[i]: g for g, part in enumerate(open_parts) for i in part}
-
-
-def _halves(x: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
-    """The rows ``at`` cut in halves along their widest coordinate until none has more than ``size``."""
-    done, parts = [], [at]
-    while parts:
-        part = parts.pop()
-        if len(part) <= size:
-            done.append(part)
-            continue
-        own = x[part]
-        part = part[np.argsort(own[:, int(np.ptp(own, axis=0).argmax())], kind="stable")]
-        parts += [part[len(part) // 2:], part[:len(part) // 2]]
-    return done
-
-
 def _bracket(own_lo: np.ndarray, own_hi: np.ndarray, lo: np.ndarray, hi: np.ndarray, mass: np.ndarray, k: int) -> tuple[float, float, int, np.ndarray]:
     """Bounds of the k-th distance of every point of a box, the points that are nearer for all of them, and which boxes lie between."""
     gap = np.maximum(np.maximum(lo - own_hi, own_lo - hi), 0.0)

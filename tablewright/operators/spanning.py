@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.distances import Space
+from tablewright.functions.distances import MANY_DIMENSIONS, Space
 from tablewright.operators.graph import connected_components
+from tablewright.operators.leaf_tree import leaf_tree
 from tablewright.operators.linkage import nearest_first
 from tablewright.operators.pairwise import Cells, divide, least_reach, near_blocks
-from tablewright.session import cut_lineage
+from tablewright.session import cut_lineage, spread
 
 
 SMALL_FOREST = 500_000  # measured number of candidate edges one task may reduce
@@ -69,7 +70,13 @@ def spanning_tree(points: DataFrame, space: Space, core: str | None = None, smal
     """
     points = points.select(F.col("id").cast("bigint").alias("id"), "vec", *([core] if core else []))
     if space.prunable and points.count() > MANY_POINTS:
+        points = spread(points)
         cells = divide(points, "id", space)
+        if cells.pivots is not None and space.name == "euclidean" and len(cells.pivots[0]) < MANY_DIMENSIONS:
+            tree = leaf_tree(points, cells, core, radius)
+            if tree is not None:
+                cells.placed.unpersist()
+                return tree
         if cells.pivots is not None:
             return _tree_by_nearest(points, cells, space, core, small, radius)
     return _tree_of_blocks(points, space, core, small, radius)
