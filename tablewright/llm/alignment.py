@@ -25,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import lean, small_batches
+from tablewright.llm.shared import lean, small_batches, whole_groups
 from tablewright.llm.texts import slices
 from tablewright.session import scratch_path
 
 BLOCK_BYTES = 1 << 20  # text of a block, about
 PAIR_ROWS = 4_000_000  # linked pairs expanded at a time
 LONG_RUN = 20_000
+FILE_BLOCKS = 16  # blocks of a file: a reader takes the rows of a file's row group at once, and a row is some MB
+TASK_BLOCKS = 8  # blocks of a task that adds up, about
 
 EMPTY_PAIRS = pa.table({"doc": pa.array([], pa.int32()), "a": pa.array([], pa.int32()), "b": pa.array([], pa.int32()), "times": pa.array([], pa.int64())})
 BLOCK_SCHEMA = ("block bigint, keys array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, digests array<string>, "
@@ -236,7 +238,7 @@ def align_blocks(docs: DataFrame, first: str, second: str, key: str = "doc_id",
 
     path = path or scratch_path(docs.sparkSession, "aligned")
     texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    small_batches(texts).mapInArrow(lean(run), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    small_batches(texts).mapInArrow(lean(run), BLOCK_SCHEMA).write.option("compression", "zstd").option("maxRecordsPerFile", FILE_BLOCKS).parquet(path)
     return docs.sparkSession.read.schema(BLOCK_SCHEMA).parquet(path)
 
 
@@ -261,12 +263,22 @@ def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: s
     blocks = align_blocks(docs, first, second, key, text)
     counts = pair_counts(blocks)
     asked = blocks.select("block", F.posexplode(F.arrays_zip("pair_a", "pair_b")).alias("pair", "p")).select("block", "pair", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"))
-    held = asked.join(counts, ["a", "b"]).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pair", "docs", "best"))).alias("counts"))
-    whole = blocks.drop("pair_a", "pair_b", "pair_docs").join(held, "block", "left")
-    whole = whole.withColumn("docs", F.col("counts.docs")).withColumn("best", F.col("counts.best")).drop("counts", "block")
+    # pairs come back to their block in order and are packed one block after another; a task's batches hold few blocks however many there are
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // TASK_BLOCKS))
+    held = asked.join(counts, ["a", "b"]).select("block", "pair", "docs", "best").repartition(tasks, "block").sortWithinPartitions("block", "pair")
+    packed = small_batches(held).mapInArrow(lean(_packed), "block bigint, docs array<bigint>, best array<boolean>").repartition(tasks, "block")
+    whole = blocks.drop("pair_a", "pair_b", "pair_docs").repartition(tasks, "block").join(packed, "block", "left").drop("block")
     return small_batches(whole).mapInArrow(lean(_summed), f"{key} bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block, with what belongs to its pairs in their order."""
+    for batch, heads in whole_groups(batches, ("block",)):
+        ends = pa.array(np.append(heads, batch.num_rows), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, batch.column(n)) for n in ("docs", "best")]
+        yield pa.RecordBatch.from_arrays([batch.column("block").take(pa.array(heads)), *lists], names=["block", "docs", "best"])
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):

@@ -112,3 +112,17 @@ def test_fast_encoder_equals_the_files_own_library(tools):
     fast = alignment.byte_level(queries.byte_model()).encode
     texts = ["it's  we'll　x  y", "١٢٣ ⅷ 漢字かな", "tab\t\tnew\n\n line ", "é Ǆ ß", "'S 's 're'RE", "‍﻿\u0085 z"]
     assert fast(texts) == [tools[0].encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_task_holds_few_blocks(spark, sf, monkeypatch):
+    """Files, and the batches that are added up, hold a bounded number of blocks; a row of a block is some MB."""
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 2000)
+    paths = queries.byte_model(), queries.piece_model()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").coalesce(1)
+    blocks = alignment.align_blocks(docs, *paths)
+    files = [r["count"] for r in blocks.groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) > 50 and max(files) <= alignment.FILE_BLOCKS
+    found = alignment.align(docs, *paths)
+    assert found.rdd.getNumPartitions() >= sum(files) // alignment.TASK_BLOCKS
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and found.count() == docs.count()
